@@ -86,7 +86,7 @@ class Workspace:
 
     def drop(self, name: str, keep_last: int = 1) -> None:
         """Delete the older writes under a name, for loops that replace a table."""
-        own = [p for p in self.kept if p.rsplit("/", 1)[1].rsplit("-", 1)[0] == name and p]
+        own = [p for p in self.kept if p and p.rsplit("/", 1)[1].rsplit("-", 1)[0] == name]
         for p in own[: len(own) - keep_last]:
             self._delete(p)
             self.kept[self.kept.index(p)] = ""
