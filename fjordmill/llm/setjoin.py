@@ -6,8 +6,8 @@ first ``|A| - ceil(s |A|) + c`` tokens of A and the like of B (their prefixes) s
 - A small set enumerates the c-token subsets of its prefix; two small sets meet in a common subset.
 - A large set (whose prefix has too many subsets) is scanned through inverted lists of single tokens (c = 1); every
   set that can be similar to a large set puts the tokens of its prefix into these lists too.
-The union of both is filtered: by the sizes, by an upper bound of the overlap from 512-bit signatures, and by the
-exact similarity. Of all keys that a pair shares only the least makes the pair, so none comes twice.
+The union of both is filtered: by the sizes, by an upper bound of the overlap from 128-bit signatures, and by the
+exact similarity. Of all keys that a pair shares only that of its first common tokens makes the pair, so none comes twice.
 
 The rows of one key are compared in blocks: a list longer than a block is cut into blocks by the row's hash and every
 two blocks of it meet in a task of their own, so a hot token is divided among tasks, and no pair is dropped. Pairs
@@ -25,7 +25,6 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +33,9 @@ from fjordmill.session import Workspace
 #: Tokens whose frequency is looked up; the others are rarer than any of these and ordered by hash.
 HEAVY = 20_000
 #: Rows of one key that are compared with each other in one task.
-BLOCK = 1024
+BLOCK = 4096
+#: Subsets of a prefix from which a set counts as large.
 SUBSETS = 96
-SIGNATURE = 8  # 64-bit words
 
 
 def on_positions(bits: Column) -> Column:
@@ -76,23 +75,29 @@ def _order(flat: np.ndarray, heavy: dict | None) -> np.ndarray:
 
 
 def signature(rows: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
-    """(n, SIGNATURE) bit signatures of sets given as (row, token)."""
-    bit = _mix(tokens.view(np.uint64)) >> np.uint64(55)
-    out = np.zeros((n, SIGNATURE), np.uint64)
+    """(n, 2) words: the bit signatures of sets given as (row, token)."""
+    bit = _mix(tokens.view(np.uint64)) >> np.uint64(57)
+    out = np.zeros((n, 2), np.uint64)
     np.bitwise_or.at(out, (rows, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
     return out
 
 
+def _key(tokens: np.ndarray) -> np.ndarray:
+    """Key of the subsets in the last axis, whatever the order of their tokens (32-bit hashes)."""
+    return _mix(_mix(tokens.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)).sum(axis=-1, dtype=np.uint64))
+
+
 def _keyed(heavy_bytes, s: float, c: int):
-    """(field, id, tokens) -> (field, key, block hash, id, size, tokens sorted by order), one row per key."""
+    """(field, id, tokens) -> one row per key. Keys of subsets are odd, those of single tokens even."""
     shapes: dict[int, tuple[np.ndarray, int]] = {}
 
     def shape(size: int):
         """Index combinations of the subset keys, and how many single-token keys a set of this size has."""
         if size not in shapes:
-            subs = np.zeros((0, c), np.int64) if is_large(size, s, c) else np.array(list(combinations(range(prefix(size, s, c)), c)), np.int64).reshape(-1, c)
-            with_large = any(is_large(t, s, c) for t in range(size, int(size / s + 1e-9) + 1)) or is_large(size, s, c)
-            shapes[size] = subs, prefix(size, s, 1) if with_large else 0
+            large = is_large(size, s, c)
+            subs = np.zeros((0, c), np.int64) if large else np.array(list(combinations(range(prefix(size, s, c)), c)), np.int64).reshape(-1, c)
+            near_large = large or any(is_large(t, s, c) for t in range(size, int(size / s + 1e-9) + 1))
+            shapes[size] = subs, prefix(size, s, 1) if near_large else 0
         return shapes[size]
 
     def run(batches):
@@ -109,126 +114,146 @@ def _keyed(heavy_bytes, s: float, c: int):
             off = off - off[0]
             sizes = np.diff(off)
             row = np.repeat(np.arange(b.num_rows), sizes)
-            order = np.lexsort((_order(flat, heavy), row))
+            order = np.lexsort((flat, _order(flat, heavy), row))
             flat = flat[order]
-            keys, owner = [], []
+            sig = signature(row, flat, b.num_rows).view(np.int64)
+            short = (_mix(flat.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+            ids = b.column(1).to_numpy(zero_copy_only=False)
+            spread = _mix(ids.view(np.uint64)).view(np.int64)
             for size in np.unique(sizes).tolist():
-                at = np.nonzero(sizes == size)[0]
-                mat = flat[off[at][:, None] + np.arange(size)]
                 subs, singles = shape(size)
-                if len(subs):
-                    picked = _mix(mat[:, subs.ravel()].reshape(len(at), len(subs), c).view(np.uint64) + np.arange(1, c + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    keys.append((_mix(picked.sum(axis=2, dtype=np.uint64)) | np.uint64(1)).ravel())
-                    owner.append(np.repeat(at, len(subs)))
-                if singles:
-                    keys.append((_mix(mat[:, :singles].view(np.uint64)) & ~np.uint64(1)).ravel())
-                    owner.append(np.repeat(at, singles))
-            if not keys:
-                continue
-            owner = np.concatenate(owner)
-            sorted_lists = pa.LargeListArray.from_arrays(pa.array(off.astype(np.int64)), pa.array(flat))
-            take = pa.array(owner)
-            ids = b.column(1)
-            spread = _mix(ids.to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64)
-            for cut in range(0, len(owner), 1 << 16):
-                t = take.slice(cut, 1 << 16)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(t), pa.array(np.concatenate(keys)[cut : cut + (1 << 16)].view(np.int64)), pa.array(spread[owner[cut : cut + (1 << 16)]]), ids.take(t), sorted_lists.take(t).cast(pa.list_(pa.int64()))],
-                    names=["field", "key", "spread", "id", "tokens"],
-                )
+                width = prefix(size, s, c) if len(subs) else singles
+                width = max(width, singles)
+                per = max(1, (1 << 16) // max(1, len(subs) + singles))
+                every = np.nonzero(sizes == size)[0]
+                for cut in range(0, len(every), per):
+                    at = every[cut : cut + per]
+                    head = short[off[at][:, None] + np.arange(width)]
+                    parts = []
+                    if len(subs):
+                        parts.append(_key(head[:, subs]) | np.uint64(1))
+                    if singles:
+                        parts.append(_key(head[:, :singles, None]) & ~np.uint64(1))
+                    keys = np.concatenate(parts, axis=1)
+                    own = np.repeat(at, keys.shape[1])
+                    heads = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width * 4), len(at), [None, pa.py_buffer(np.ascontiguousarray(head).tobytes())])
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pa.array(own)), pa.array(keys.ravel().view(np.int64)), pa.array(spread[own]), pa.array(ids[own]), pa.array(np.full(len(own), size, np.int32)), pa.array(sig[own, 0]), pa.array(sig[own, 1]),
+                         heads.take(pa.array(np.repeat(np.arange(len(at)), keys.shape[1]))).cast(pa.binary())],
+                        names=["field", "key", "spread", "id", "size", "s0", "s1", "head"],
+                    )
 
     return run
 
 
-def _pairs_of(bounds: np.ndarray, side: np.ndarray | None):
-    """Index pairs (i < j) within each run of rows; with sides given, only between side 0 and side 1."""
+def _index_pairs(bounds: np.ndarray, n_small: int):
+    """Index pairs (i < j) within each run of at most n_small rows, in turns."""
     n = np.diff(bounds)
-    i_all, j_all = [], []
-    for size in np.unique(n[n > 1]).tolist():
+    for size in np.unique(n[(n > 1) & (n <= n_small)]).tolist():
         starts = bounds[:-1][n == size]
         i, j = np.triu_indices(size, 1)
-        step = max(1, (1 << 21) // len(i))
+        step = max(1, (1 << 20) // len(i))
         for cut in range(0, len(starts), step):
             s = starts[cut : cut + step, None]
             yield (s + i).ravel(), (s + j).ravel()
 
 
-def _verify(s: float):
-    """Rows sorted by (field, key, ba, bb) -> similar pairs. A run holds the rows of block ba, and of block bb if they
-    differ; only pairs that a run is responsible for are compared."""
+def _candidates(s: float, c: int):
+    """Rows sorted by (field, key, ba, bb) -> pairs that may be similar. A run holds the rows of block ba, and of
+    block bb where they differ; it is responsible for the pairs between them."""
 
     def compare(t: pa.Table, run_id: np.ndarray):
         n = t.num_rows
         bounds = np.concatenate([[0], np.nonzero(run_id[1:] != run_id[:-1])[0] + 1, [n]])
-        lists = t.column("tokens").combine_chunks()
-        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-        off = lists.offsets.to_numpy()
-        flat = lists.values.to_numpy(zero_copy_only=False)
-        sizes = np.diff(off)
-        flat = flat[off[0] : off[-1]]
-        off = off - off[0]
-        row = np.repeat(np.arange(n), sizes)
-        sig = signature(row, flat, n)
-        filled = np.bitwise_count(sig).sum(axis=1).astype(np.int64)
-        spare = sizes - filled
-        ids, block, ba, bb = (t.column(x).to_numpy() for x in ("id", "block", "ba", "bb"))
-        single = (t.column("key").to_numpy() & 1) == 0
-        fields = t.column("field").combine_chunks()
-        out = []
-        for i, j in _pairs_of(bounds, None):
+        ids, block, ba, bb, key, sizes = (t.column(x).to_numpy() for x in ("id", "block", "ba", "bb", "key", "size"))
+        sig = [t.column(x).to_numpy().view(np.uint64) for x in ("s0", "s1")]
+        sizes = sizes.astype(np.int64)
+        spare = sizes - np.bitwise_count(sig[0]) - np.bitwise_count(sig[1])
+        # what i needs at least from any partner; a token of the overlap that the signatures don't show is spare in both
+        floor = np.clip(np.ceil(s * sizes - 1e-9) - spare, 0, 255).astype(np.uint8)
+        large = np.array([is_large(x, s, c) for x in range(int(sizes.max()) + 1)])[sizes]
+        single = (key & 1) == 0
+        hits = []
+
+        def keep(i, j):
             need = np.ceil(s / (1 + s) * (sizes[i] + sizes[j]) - 1e-9)
-            ok = (np.minimum(sizes[i], sizes[j]) >= s * np.maximum(sizes[i], sizes[j]) - 1e-9) & ((ba[i] == bb[i]) | (block[i] != block[j]))
-            i, j, need = i[ok], j[ok], need[ok]
-            if not len(i):
-                continue
-            common = np.bitwise_count(sig[i] & sig[j]).sum(axis=1).astype(np.int64)
-            ok = common + np.minimum(spare[i], spare[j]) >= need
-            i, j, need = i[ok], j[ok], need[ok]
-            for cut in range(0, len(i), 1 << 15):
-                a, b_ = i[cut : cut + (1 << 15)], j[cut : cut + (1 << 15)]
-                na, nb = sizes[a], sizes[b_]
-                total = na + nb
-                at = np.concatenate([[0], np.cumsum(total)[:-1]])
-                own = np.repeat(np.arange(len(a)), total)
-                place = np.arange(int(total.sum())) - np.repeat(at, total)
-                first = place < np.repeat(na, total)
-                src = np.where(first, np.repeat(off[a], total) + place, np.repeat(off[b_], total) + place - np.repeat(na, total))
-                tok = flat[src]
-                order = np.lexsort((tok, own))
-                tok, own2 = tok[order], own[order]
-                twin = (tok[1:] == tok[:-1]) & (own2[1:] == own2[:-1])
-                shared = np.bincount(own2[1:][twin], minlength=len(a))
-                hit = shared >= need[cut : cut + (1 << 15)]
-                out.append((a[hit], b_[hit]))
-        if not out:
+            ok = (np.minimum(sizes[i], sizes[j]) >= s * np.maximum(sizes[i], sizes[j]) - 1e-9) & ((ba[i] == bb[i]) | (block[i] != block[j])) & (ids[i] != ids[j])
+            ok &= ~single[i] | large[i] | large[j]
+            common = np.bitwise_count(sig[0][i] & sig[0][j]).astype(np.int64) + np.bitwise_count(sig[1][i] & sig[1][j])
+            ok &= common + np.minimum(spare[i], spare[j]) >= need
+            if ok.any():
+                hits.append((i[ok], j[ok]))
+
+        for i, j in _index_pairs(bounds, 24):
+            common = np.bitwise_count(sig[0][i] & sig[0][j]) + np.bitwise_count(sig[1][i] & sig[1][j])
+            ok = common >= floor[i]
+            keep(i[ok], j[ok])
+        lengths = np.diff(bounds)
+        for r in np.nonzero(lengths > 24)[0]:
+            lo, hi = bounds[r], bounds[r + 1]
+            for x in range(lo, hi, 128):
+                y = min(x + 128, hi)
+                common = np.bitwise_count(sig[0][x:y, None] & sig[0][None, x:hi])
+                common += np.bitwise_count(sig[1][x:y, None] & sig[1][None, x:hi])
+                i, j = np.nonzero(common >= floor[x:y, None])
+                up = i < j
+                keep(i[up] + x, j[up] + x)
+        if not hits:
             return None
-        a, b_ = (np.concatenate(x) for x in zip(*out))
-        x, y = np.minimum(ids[a], ids[b_]), np.maximum(ids[a], ids[b_])
-        keep = x != y
-        code = np.unique(np.stack([fields.dictionary_encode().indices.to_numpy()[a][keep].astype(np.int64), x[keep], y[keep]]), axis=1)
-        names = fields.dictionary_encode().dictionary
-        return pa.RecordBatch.from_arrays([names.take(pa.array(code[0])), pa.array(code[1]), pa.array(code[2])], names=["field", "a", "b"])
+        i, j = (np.concatenate(x) for x in zip(*hits))
+        swap = ids[i] > ids[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        i, j = _responsible(t.column("head"), key, i, j, c)
+        return pa.RecordBatch.from_arrays([t.column("field").combine_chunks().take(pa.array(i)), pa.array(ids[i]), pa.array(ids[j])], names=["field", "a", "b"])
 
     def run(batches):
-        held = None
+        held, rows = [], 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
-            if t.num_rows < 1 << 15:
-                held = t
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if rows < 1 << 16:
                 continue
+            t = pa.Table.from_batches(held).combine_chunks()
             ids = _run_ids(t)
             last = int(np.searchsorted(ids, ids[-1]))
             if last and (r := compare(t.slice(0, last).combine_chunks(), ids[:last])) is not None:
                 yield r
-            held = t.slice(last)
-        if held is not None and (r := compare(held.combine_chunks(), _run_ids(held))) is not None:
-            yield r
+            held, rows = t.slice(last).combine_chunks().to_batches(), t.num_rows - last
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            if (r := compare(t, _run_ids(t))) is not None:
+                yield r
 
     return run
 
 
+def _responsible(heads, key: np.ndarray, i: np.ndarray, j: np.ndarray, c: int):
+    """Of the pairs those whose first common prefix tokens make this key: every pair is kept under one key only."""
+    heads = heads.combine_chunks() if isinstance(heads, pa.ChunkedArray) else heads
+    heads = pa.concat_arrays(heads.chunks) if isinstance(heads, pa.ChunkedArray) else heads
+    off = np.frombuffer(heads.buffers()[1], np.int32, len(heads) + 1, heads.offset * 4).astype(np.int64) // 4
+    data = np.frombuffer(heads.buffers()[2], np.uint32) if heads.buffers()[2] else np.zeros(0, np.uint32)
+    width = np.diff(off)
+    ok = np.zeros(len(i), bool)
+    top = int(width.max(initial=1))
+    for cut in range(0, len(i), 1 << 14):
+        a, b = i[cut : cut + (1 << 14)], j[cut : cut + (1 << 14)]
+        take = np.arange(top)
+        in_a, in_b = take[None] < width[a][:, None], take[None] < width[b][:, None]
+        ta = data[np.minimum(off[a][:, None] + take, len(data) - 1)]
+        tb = data[np.minimum(off[b][:, None] + take, len(data) - 1)]
+        both = ((ta[:, :, None] == tb[:, None, :]) & in_b[:, None, :]).any(axis=2) & in_a
+        seen = np.cumsum(both, axis=1)
+        part = np.where((key[a] & 1) == 0, 1, c)
+        first = both & (seen <= part[:, None])
+        sums = np.where(first, _mix(ta.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), np.uint64(0)).sum(axis=1, dtype=np.uint64)
+        made = _mix(sums)
+        made = np.where(part == 1, made & ~np.uint64(1), made | np.uint64(1)) if c > 1 else np.where((key[a] & 1) == 0, made & ~np.uint64(1), made | np.uint64(1))
+        ok[cut : cut + (1 << 14)] = made == key[a].view(np.uint64)
+    return i[ok], j[ok]
+
+
 def _run_ids(t: pa.Table) -> np.ndarray:
     new = np.zeros(t.num_rows, bool)
     for name in ("field", "key", "ba", "bb"):
@@ -238,34 +263,37 @@ def _run_ids(t: pa.Table) -> np.ndarray:
     return np.cumsum(new)
 
 
-def classes(sets: DataFrame) -> DataFrame:
-    """(field, id, tokens) -> (field, id, class), and the class's tokens with the least id as its name."""
-    return sets.groupBy("field", "tokens").agg(F.min("id").alias("id"))
-
-
 def class_pairs(distinct_sets: DataFrame, s: float, c: int, work: Workspace) -> DataFrame:
     """(field, a, b), a < b: similar pairs of (field, id, tokens array<long>) whose sets all differ."""
     spark = distinct_sets.sparkSession
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = distinct_sets.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    floor = distinct_sets.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
-    heavy = counts.where(F.col("count") * HEAVY > floor).toArrow()  # fewer than HEAVY rows
-    order = np.argsort(heavy.column("token").to_numpy())
-    rank = np.empty(len(order), np.int64)
-    rank[np.argsort(heavy.column("count").to_numpy(), kind="stable")] = np.arange(1, len(order) + 1)
-    table = np.concatenate([heavy.column("token").to_numpy()[order], rank[order]]).astype(np.int64)
-    sent = spark.sparkContext.broadcast(table.tobytes())
-    keyed = distinct_sets.select("field", "id", "tokens").mapInArrow(_keyed(sent, s, c), "field string, key long, spread long, id long, tokens array<long>")
-    # lists longer than a block: fewer than rows / BLOCK of them, kept as a table and joined
-    keyed = work.put(keyed, "keyed")
-    long_ = keyed.groupBy("field", "key").count().where(F.col("count") > 1)
-    sized = keyed.join(long_, ["field", "key"])
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    placed = sized.select("field", "key", "id", "tokens", blocks.alias("blocks"), F.pmod("spread", blocks).cast("int").alias("block"))
-    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("ba"), F.greatest(F.col("block"), o).alias("bb")))).alias("m")
-    spread = placed.select("field", "key", "id", "tokens", "block", meet).select("field", "key", "m.ba", "m.bb", "block", "id", "tokens")
+    total = distinct_sets.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
+    heavy = counts.where(F.col("count") * HEAVY > total).toArrow()  # fewer than HEAVY rows
+    token, n = (heavy.column(x).to_numpy().astype(np.int64) for x in ("token", "count"))
+    rank = np.empty(len(token), np.int64)
+    rank[np.lexsort((token, n))] = np.arange(1, len(token) + 1)
+    order = np.argsort(token)
+    sent = spark.sparkContext.broadcast(np.concatenate([token[order], rank[order]]).tobytes())
+    keyed = distinct_sets.select("field", "id", "tokens").mapInArrow(_keyed(sent, s, c), "field string, key long, spread long, id long, size int, s0 long, s1 long, head binary")
+    long_ = work.put(keyed.groupBy("field", "key").count().where(F.col("count") > BLOCK).withColumnRenamed("count", "n_key"), "long")
+    n_long = long_.count()
+    if n_long:  # lists longer than a block are cut into blocks by the hash of the id; a list of them is small or joined by shuffle
+        sized = keyed.join(F.broadcast(long_) if n_long <= 100_000 else long_, ["field", "key"], "left")
+        blocks = F.coalesce(F.ceil(F.col("n_key") / BLOCK), F.lit(1)).cast("int")
+        placed = sized.withColumn("blocks", blocks).withColumn("block", F.pmod("spread", F.col("blocks")).cast("int"))
+        meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("ba"), F.greatest(F.col("block"), o).alias("bb")))).alias("m")
+        spread = placed.select("*", meet).select("field", "key", "m.ba", "m.bb", "block", "id", "size", "s0", "s1", "head")
+    else:
+        zero = F.lit(0)
+        spread = keyed.select("field", "key", zero.alias("ba"), zero.alias("bb"), zero.alias("block"), "id", "size", "s0", "s1", "head")
     ordered = spread.repartition(parts, "field", "key", "ba", "bb").sortWithinPartitions("field", "key", "ba", "bb")
-    return ordered.mapInArrow(_verify(s), "field string, a long, b long").distinct()
+    near = work.put(ordered.mapInArrow(_candidates(s, c), "field string, a long, b long"), "near")
+    left = distinct_sets.select("field", F.col("id").alias("a"), F.col("tokens").alias("ta"))
+    right = distinct_sets.select("field", F.col("id").alias("b"), F.col("tokens").alias("tb"))
+    both = near.join(left, ["field", "a"]).join(right, ["field", "b"])
+    shared = F.size(F.array_intersect("ta", "tb"))
+    return both.where(shared >= F.lit(s) * (F.size("ta") + F.size("tb") - shared) - 1e-9).select("field", "a", "b").distinct()
 
 
 def similar_pairs(sets: DataFrame, *, similarity: float = 0.8, least: int = 6, c: int = 2, work: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
