@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fjordmill.llm import groupsplit, leakage, rankstats, setjoin
+from fjordmill.llm import groupsplit, leakage, packing, privacy, rankstats, setjoin
 from fjordmill.session import Workspace, table
 
 # ---- 4: percentiles -------------------------------------------------------------------------------------------
@@ -81,7 +81,41 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_by_day, p6_found, p6_splits, p9_found, p9_items)}
+# ---- 8: contexts -----------------------------------------------------------------------------------------------
+
+#: Tokens of a context.
+CAPACITY = 2048
+
+
+def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
+    """Where a public vocabulary lies; the folder can be set."""
+    import os
+
+    return os.path.join(os.environ.get("FJORDMILL_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def p8_contexts(spark: SparkSession, d: str) -> DataFrame:
+    return packing.contexts(table(spark, d, "documents"), vocabulary=vocabulary(), capacity=CAPACITY)
+
+
+def p8_usage(spark: SparkSession, d: str) -> DataFrame:
+    return packing.usage(p8_contexts(spark, d), CAPACITY)
+
+
+# ---- 10: personal information ----------------------------------------------------------------------------------
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return privacy.found(documents, privacy.fit(documents, table(spark, d, "name_list")))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return privacy.redacted(documents, privacy.fit(documents, table(spark, d, "name_list")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_by_day, p6_found, p6_splits, p8_contexts, p8_usage, p9_found, p9_items, p10_found, p10_redacted)}
 SQL = {
     "p2_found": """
 WITH once AS (SELECT pose_key, arg_max(ifp_lpmo_bitvector, loaded_at) FILTER (ifp_lpmo_bitvector IS NOT NULL) AS v, arg_max(lpmo_contact_residues, loaded_at) FILTER (lpmo_contact_residues IS NOT NULL) AS l
