@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fjordmill.llm import groupsplit, leakage, packing, privacy, rankstats, setjoin
+from fjordmill.llm import clusters, groupsplit, leakage, packing, privacy, rankstats, setjoin
 from fjordmill.session import Workspace, table
 
 # ---- 4: percentiles -------------------------------------------------------------------------------------------
@@ -81,6 +81,39 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
+# ---- 7: clusters -----------------------------------------------------------------------------------------------
+
+
+def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "cbm_analysis_result").select("pose_key", "condition_id", setjoin.on_positions(F.col("ifp_lpmo_bitvector")).alias("tokens"), "loaded_at")
+    once = rows.groupBy(F.col("pose_key").alias("id")).agg(F.max_by("tokens", F.when(F.col("tokens").isNotNull(), F.col("loaded_at"))).alias("tokens"), F.min("condition_id").alias("grp"))
+    return once.select("grp", "id", "tokens")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.clusters(_fingerprints(spark, d)).select(F.col("id").alias("pose_key"), F.col("cluster").alias("cluster_key"))
+
+
+def p7_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """Per condition: poses, clusters, noise fraction, and the cluster sizes and medoids as JSON."""
+    work = Workspace(spark, "conditions")
+    rows = work.put(_fingerprints(spark, d).where("tokens is not null"), "rows")
+    found = work.put(clusters.clusters(rows, work=work), "found")
+    told = clusters.describe(rows.join(found, "id"))
+    per = told.groupBy("grp").agg(F.count("*").alias("n_clusters"), F.sum("n").alias("n_clustered"), F.to_json(F.array_sort(F.collect_list(F.struct("cluster", "n", F.col("medoids")[0].alias("medoid"))))).alias("clusters"))
+    poses = rows.groupBy("grp").agg(F.count("*").alias("n_poses"))
+    both = poses.join(per, "grp", "left")
+    return both.select(F.col("grp").alias("condition_id"), "n_poses", F.coalesce("n_clusters", F.lit(0)).alias("n_clusters"), (1 - F.coalesce("n_clustered", F.lit(0)) / F.col("n_poses")).alias("noise_fraction"), "clusters")
+
+
+def p7_ward(spark: SparkSession, d: str) -> DataFrame:
+    """Ward clusters of the cluster features: size and most typical pose of each."""
+    work = Workspace(spark, "ward")
+    leafed = clusters.leaves(_fingerprints(spark, d), smallest=6, radius=2.2, work=work)
+    labelled = work.put(clusters.ward_clusters(leafed), "ward").withColumn("cluster", F.concat_ws("#", "grp", "ward"))
+    return clusters.describe(labelled).select(F.col("grp").alias("condition_id"), "cluster", "n", F.col("medoids")[0].alias("medoid"))
+
+
 # ---- 8: contexts -----------------------------------------------------------------------------------------------
 
 #: Tokens of a context.
@@ -115,7 +148,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return privacy.redacted(documents, privacy.fit(documents, table(spark, d, "name_list")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_by_day, p6_found, p6_splits, p8_contexts, p8_usage, p9_found, p9_items, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_by_day, p6_found, p6_splits, p7_found, p7_conditions, p7_ward, p8_contexts, p8_usage, p9_found, p9_items, p10_found, p10_redacted)}
 SQL = {
     "p2_found": """
 WITH once AS (SELECT pose_key, arg_max(ifp_lpmo_bitvector, loaded_at) FILTER (ifp_lpmo_bitvector IS NOT NULL) AS v, arg_max(lpmo_contact_residues, loaded_at) FILTER (lpmo_contact_residues IS NOT NULL) AS l
