@@ -149,10 +149,14 @@ def f10_feature_selection(spark: SparkSession, d: str) -> DataFrame:
     return per.withColumn("is_rare", (F.col("n_poses") < 0.05 * total.np) & (F.col("n_conditions") < 0.5 * total.nc))
 
 
-@query(f"""SELECT pose_key, count(DISTINCT feature) AS n_contacts FROM {_BITS} WHERE feature % 3 = 0 GROUP BY pose_key""")
+@query(f"""WITH b AS {_BITS}, ok AS (SELECT feature FROM b GROUP BY feature HAVING count(DISTINCT pose_key) >= 0.05 * (SELECT count(DISTINCT pose_key) FROM b))
+SELECT pose_key, count(DISTINCT feature) AS n_contacts FROM b WHERE feature IN (SELECT feature FROM ok) GROUP BY pose_key""")
 def f11_project_features(spark: SparkSession, d: str) -> DataFrame:
-    allowed = spark.range(0, 2000).select((F.col("id") * 3).alias("feature"))
-    return _bits(spark, d).join(F.broadcast(allowed), "feature", "left_semi").groupBy("pose_key").agg(F.countDistinct("feature").alias("n_contacts"))
+    """Counts over the features that are not rare."""
+    b = _bits(spark, d)
+    n = b.agg(F.countDistinct("pose_key")).first()[0]
+    allowed = b.groupBy("feature").agg(F.countDistinct("pose_key").alias("k")).where(F.col("k") >= 0.05 * n)
+    return b.join(allowed, "feature", "left_semi").groupBy("pose_key").agg(F.countDistinct("feature").alias("n_contacts"))
 
 
 @query("SELECT pose_key, round(min_cu_c1, 6) AS min_cu_c1, round(min_cu_c4, 6) AS min_cu_c4 FROM geometry_result WHERE min_cu_c1 IS NOT NULL AND isfinite(min_cu_c1) AND min_cu_c4 IS NOT NULL AND isfinite(min_cu_c4)")
@@ -355,10 +359,10 @@ def e18_set_to_string(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "condition_cluster_summary").where("cluster_labels is not null").select("condition_id", "reported_at", F.array_join(F.transform(labels, lambda x: x.cast("string")), ",").alias("labels"), F.size("cluster_labels").cast("bigint").alias("n"))
 
 
-@query("""SELECT p.row_id, substr(sequence, 1, 20) AS mature_start, substr(sequence, greatest(1, 21), 100) AS catalytic, sequence LIKE 'H%' AS h1, greatest(sequence_length - 20, 1) AS mature_length FROM proteins p WHERE sequence IS NOT NULL""")
+@query("""SELECT p.row_id, substr(sequence, 1, 20) AS mature_start, substr(sequence, 21) AS catalytic, sequence LIKE 'H%' AS h1, greatest(sequence_length - 20, 1) AS mature_length FROM proteins p WHERE sequence IS NOT NULL""")
 def e20_mature_sequence(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("sequence")
-    return table(spark, d, "proteins").where(s.isNotNull()).select("row_id", F.substring(s, 1, 20).alias("mature_start"), F.substring(s, 21, 100).alias("catalytic"), s.startswith("H").alias("h1"), F.greatest(F.col("sequence_length") - 20, F.lit(1)).alias("mature_length"))
+    return table(spark, d, "proteins").where(s.isNotNull()).select("row_id", F.substring(s, 1, 20).alias("mature_start"), F.substring(s, 21, 1_000_000).alias("catalytic"), s.startswith("H").alias("h1"), F.greatest(F.col("sequence_length") - 20, F.lit(1)).alias("mature_length"))
 
 
 @query(f"""SELECT CASE WHEN residue_name IN ('PHE', 'TYR', 'TRP', 'HIS') THEN 'aromatic' WHEN residue_name IN ('ARG', 'LYS', 'ASP', 'GLU') THEN 'charged' WHEN residue_name IN ('SER', 'THR', 'ASN', 'GLN', 'CYS') THEN 'polar' ELSE 'nonpolar' END AS residue_class, count(*) AS n, count(DISTINCT pose_key) AS n_poses FROM {_LABELS} GROUP BY 1""")
