@@ -112,12 +112,12 @@ def orphans(tables: dict[str, tuple[DataFrame, str]], parents: DataFrame, *, row
     every = None
     for name, (df, column) in tables.items():
         one = df.where(~is_placeholder(F.col(column))).select(
-            F.lit(name).alias("ref_table"), F.col(row_id).cast("bigint").alias("row_id"), F.col(at).alias("at_ts"), accession(F.col(column)).alias("acc")
+            F.lit(name).alias("ref_table"), F.col(row_id).cast("bigint").alias("row_id"), F.col(at).cast("timestamp").alias("at_ts"), accession(F.col(column)).alias("acc")
         )
         every = one if every is None else every.unionByName(one)
     coded = every.select("ref_table", "row_id", "at_ts", integer_key(F.col("acc")).alias("key"), F.coalesce(F.unix_micros("at_ts"), F.lit(ENDLESS)).alias("at"))
     spans = parents.where("starts is not null").select(
-        integer_key(F.col("accession")).alias("key"), F.unix_micros("starts").alias("at"), F.coalesce(F.unix_micros("ends") - 1, F.lit(ENDLESS)).alias("end")
+        integer_key(F.col("accession")).alias("key"), F.unix_micros(F.col("starts").cast("timestamp")).alias("at"), F.coalesce(F.unix_micros(F.col("ends").cast("timestamp")) - 1, F.lit(ENDLESS)).alias("end")
     )
     refs = coded.where("key is not null").select("key", "at", F.concat_ws("\t", "ref_table", "row_id", F.coalesce(F.unix_micros("at_ts").cast("string"), F.lit(""))).alias("ref"))
     lost = unmatched(refs, spans, partitions).select(F.split("ref", "\t").alias("r"))
