@@ -177,9 +177,11 @@ def _measurer(path: str, capacity: int, most: int = 1 << 21):
 
 
 def pack(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) -> np.ndarray:
-    """The context of every piece (numbered from 0). limits: tokens, segments, loss-bearing tokens."""
+    """The context of every piece (numbered from 0). limits: tokens, segments, loss-bearing tokens. A piece that is
+    above a limit by itself counts as the limit and so stands alone in that dimension."""
     cap, segments, loss_cap = limits
-    code = tokens.astype(np.int64) * (cap + 1) + np.minimum(loss, cap)
+    tokens = np.minimum(tokens, cap)
+    code = tokens.astype(np.int64) * (cap + 1) + np.minimum(loss, min(loss_cap, cap))
     kinds, inverse, counts = np.unique(code, return_inverse=True, return_counts=True)
     size, lossy = kinds // (cap + 1), kinds % (cap + 1)
     order = np.argsort(inverse, kind="stable")
