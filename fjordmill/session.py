@@ -56,7 +56,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset (tests, one machine) a folder of this application."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
+    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     sc = spark.sparkContext
