@@ -149,6 +149,21 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_by_day, p6_found, p6_splits, p7_found, p7_conditions, p7_ward, p8_contexts, p8_usage, p9_found, p9_items, p10_found, p10_redacted)}
+_LINKED_SQL = """
+WITH RECURSIVE once AS (SELECT pose_key, min(condition_id) AS g, arg_max(ifp_lpmo_bitvector, loaded_at) FILTER (ifp_lpmo_bitvector IS NOT NULL) AS v FROM cbm_analysis_result GROUP BY pose_key),
+tok AS (SELECT g, pose_key AS k, i FROM (SELECT g, pose_key, unnest(v) AS b, generate_subscripts(v, 1) AS i FROM once) WHERE b <> 0),
+big AS (SELECT k, count(*) AS n FROM tok GROUP BY k HAVING count(*) >= 6),
+link AS (SELECT x.k AS a, y.k AS b FROM tok x JOIN tok y ON x.g = y.g AND x.i = y.i AND x.k <> y.k JOIN big m ON m.k = x.k JOIN big n ON n.k = y.k GROUP BY x.k, y.k, m.n, n.n HAVING count(*) * 10 >= 6 * (m.n + n.n - count(*))),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+"""
+_WORDS_SQL = r"""regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"""
+_LEAK_SQL = (
+    "WITH d AS (SELECT doc_id, " + _WORDS_SQL.format("text") + " AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, " + _WORDS_SQL.format("text") + """ AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+eg AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e)),
+hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)) """
+)
+
 SQL = {
     "p2_found": """
 WITH once AS (SELECT pose_key, arg_max(ifp_lpmo_bitvector, loaded_at) FILTER (ifp_lpmo_bitvector IS NOT NULL) AS v, arg_max(lpmo_contact_residues, loaded_at) FILTER (lpmo_contact_residues IS NOT NULL) AS l
@@ -160,6 +175,10 @@ big AS (SELECT f, k, count(*) AS n FROM tok GROUP BY f, k HAVING count(*) >= 6),
 own AS (SELECT t.f, t.k, t.t, b.n FROM tok t JOIN big b USING (f, k)),
 common AS (SELECT a.f, a.k AS x, b.k AS y, a.n AS na, b.n AS nb, count(*) AS c FROM own a JOIN own b ON a.f = b.f AND a.t = b.t AND a.k < b.k WHERE least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY ALL)
 SELECT f AS set_field, x AS pose_key_a, y AS pose_key_b FROM common WHERE c * 10 >= 8 * (na + nb - c)""",
+    "p7_found": _LINKED_SQL + """
+SELECT a AS pose_key, min(b) AS cluster_key FROM (SELECT a, b FROM reach UNION SELECT a, a FROM link) GROUP BY a HAVING count(DISTINCT b) >= 4""",
+    "p9_found": _LEAK_SQL + "SELECT doc_id, item_id FROM hit",
+    "p9_items": _LEAK_SQL + "SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM hit GROUP BY item_id",
     "p6_found": """
 WITH RECURSIVE held AS (
   SELECT DISTINCT prediction_id AS p, e FROM (
