@@ -71,6 +71,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert seen == want
 
 
+def test_windowed_counts_close_behind_the_watermark(spark, tmp_path):
+    from fjordmill.streaming.replay import windowed_counts
+
+    df = spark.createDataFrame([(i * 600, "ab"[i % 2]) for i in range(48)], "s long, kind string").select(F.timestamp_seconds("s").alias("ts"), "kind")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = windowed_counts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "ts", "kind")
+    q = stream.writeStream.outputMode("append").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    rows = spark.table("windows").collect()
+    assert {(r.start.hour, r.kind, r.n) for r in rows} == {(h, k, 3) for h in range(5) for k in "ab"}
+
+
 def test_overlap_arithmetic():
     assert intervals.overlap_share(1, 11, 6, 16, False) == 0.5
     assert intervals.overlap_share(1, 10, 10, 19, True) == 0.1
