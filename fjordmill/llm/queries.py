@@ -97,11 +97,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_conditions(spark: SparkSession, d: str) -> DataFrame:
     """Per condition: poses, clusters, noise fraction, and the cluster sizes and medoids as JSON."""
     work = Workspace(spark, "conditions")
-    rows = work.put(_fingerprints(spark, d).where("tokens is not null"), "rows")
+    rows = work.put(_fingerprints(spark, d), "rows")
     found = work.put(clusters.clusters(rows, work=work), "found")
     told = clusters.describe(rows.join(found, "id"))
     per = told.groupBy("grp").agg(F.count("*").alias("n_clusters"), F.sum("n").alias("n_clustered"), F.to_json(F.array_sort(F.collect_list(F.struct("cluster", "n", F.col("medoids")[0].alias("medoid"))))).alias("clusters"))
-    poses = rows.groupBy("grp").agg(F.count("*").alias("n_poses"))
+    # poses without a vector are noise: clusters() leaves them out, the count doesn't
+    poses = rows.where("id is not null").groupBy("grp").agg(F.count("*").alias("n_poses"))
     both = poses.join(per, "grp", "left")
     return both.select(F.col("grp").alias("condition_id"), "n_poses", F.coalesce("n_clusters", F.lit(0)).alias("n_clusters"), (1 - F.coalesce("n_clustered", F.lit(0)) / F.col("n_poses")).alias("noise_fraction"), "clusters")
 

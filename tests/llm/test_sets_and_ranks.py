@@ -216,6 +216,16 @@ def test_clusters_match_single_linkage(spark, block):
     assert clusters.clusters(df.limit(0)).count() == 0
 
 
+def test_conditions_count_poses_without_a_vector(spark, tmp_path):
+    from fjordmill.llm import queries
+
+    bits = [1] * 8
+    rows = [(i, "a", bits, i) for i in range(4)] + [(3, "a", None, 9), (4, "a", None, 1), (4, "a", None, 2), (5, "a", [], 1), (6, "a", [1, 0], 1), (7, "b", None, 1)]
+    spark.createDataFrame(rows, "pose_key long, condition_id string, ifp_lpmo_bitvector array<tinyint>, loaded_at long").write.parquet(str(tmp_path / "cbm_analysis_result.parquet"))
+    got = {r.condition_id: (r.n_poses, r.n_clusters, round(r.noise_fraction, 9)) for r in queries.p7_conditions(spark, str(tmp_path)).collect()}
+    assert got == {"a": (7, 1, round(3 / 7, 9)), "b": (1, 0, 1.0)}
+
+
 def test_ward_and_medoids(spark):
     rows = [("g", i, [1, 2, 3, 4, 5, 6, 10 + i % 3]) for i in range(9)] + [("g", 20 + i, [50, 51, 52, 53, 54, 55, 60 + i % 2]) for i in range(8)]
     df = spark.createDataFrame([(*r, 0, 0) for r in rows], VEC)
