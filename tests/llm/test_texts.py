@@ -155,6 +155,17 @@ def test_spans(model, text, found):
     assert [(k, text[a:b]) for a, b, k in model.spans(text)] == found
 
 
+@pytest.mark.parametrize("prefix", ["[copy] ", "+", "> ", ">> > ", "* ", "[2024-05-01 10:22] INFO: ", "\t"])
+def test_greeting_behind_a_prefix(model, prefix):
+    text = f"{prefix}Hallo Kaury,\nthe run is done."
+    assert [(k, text[a:b]) for a, b, k in model.spans(text)] == [("name", "Kaury")]
+
+
+def test_no_greeting_without_a_name(model):
+    for text in ("[copy] Hallo The,\ndone.", "pre-Hallo Kaury,\ndone.", "> Hallo all,\ndone.", "XHallo Kaury,\ndone."):
+        assert model.spans(text) == []
+
+
 def test_found_and_redacted(spark, model):
     texts = ["We thank Nisor Gorasson for it.", None, "", "plain", "x " * 50_000 + "call 555.555.0145", "We thank Nisor Gorasson for it."]
     df = _docs(spark, texts)
