@@ -113,6 +113,31 @@ def kruskal_h(values: np.ndarray, labels: np.ndarray) -> float:
     return h / c if c > 0 else 0.0
 
 
+def permutation_pair(values: np.ndarray, labels: np.ndarray, permutations: int = 10_000, seed: int = 42) -> tuple[float, float]:
+    """permutation_p of median_difference and of kruskal_h over the same permutations. Values are sorted and ranked
+    once: a permutation only moves labels over the sorted values, so it costs one shuffle and sums of ranks."""
+    order = np.argsort(values, kind="stable")
+    x, y = values[order], labels[order]
+    r, n, (kinds, at) = ranks(x), len(x), np.unique(y, return_inverse=True)
+    size = np.bincount(at)
+    _, ties = np.unique(x, return_counts=True)
+    c = 1 - (ties**3 - ties).sum() / (n**3 - n)
+
+    def middle(own: np.ndarray) -> float:
+        return (x[own[(len(own) - 1) // 2]] + x[own[len(own) // 2]]) / 2
+
+    def statistics(a: np.ndarray) -> tuple[float, float]:
+        one, two = np.flatnonzero(kinds[a] == 1), np.flatnonzero(kinds[a] == 0)
+        h = 12 / (n * (n + 1)) * sum(np.bincount(a, weights=r) ** 2 / size) - 3 * (n + 1)
+        return abs(middle(one) - middle(two)) if len(one) and len(two) else np.nan, abs(h / c if c > 0 else 0.0)
+
+    rng, seen, hits = np.random.default_rng(seed), np.array(statistics(at)) - 1e-12, np.zeros(2)
+    for _ in range(permutations):
+        hits += np.array(statistics(rng.permutation(at))) >= seen
+    median_p, kruskal_p = ((1 + hits) / (permutations + 1)).tolist()
+    return (median_p if seen[0] == seen[0] else math.nan), kruskal_p
+
+
 # ---- plans -----------------------------------------------------------------------------------------------------
 
 
@@ -204,7 +229,7 @@ def permutation_tests(df: DataFrame, value: str, label: str, group: list[str], p
         x, y = pdf[value].to_numpy(float), pdf[label].to_numpy(int)
         if len(np.unique(y)) < 2:
             return pd.DataFrame([], columns=["a"] * 0)
-        return pd.DataFrame([[*pdf[group].iloc[0], len(x), permutation_p(x, y, median_difference, permutations), permutation_p(x, y, kruskal_h, permutations)]])
+        return pd.DataFrame([[*pdf[group].iloc[0], len(x), *permutation_pair(x, y, permutations)]])
 
     fields = ", ".join(f"{g} {df.schema[g].dataType.simpleString()}" for g in group)
     return df.select(*group, value, label).groupBy(*group).applyInPandas(run, f"{fields}, n long, median_p double, kruskal_p double")

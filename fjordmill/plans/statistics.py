@@ -106,7 +106,7 @@ def q1_q3_paired_tests(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q5_permutation(spark: SparkSession, d: str) -> DataFrame:
     c = _cv(spark, d).groupBy("model_name", "prediction_id").agg(F.max("y_score").alias("x"), F.max("y_true").alias("y"))
-    return Q.permutation_tests(c, "x", "y", ["model_name"], permutations=500)
+    return Q.permutation_tests(c, "x", "y", ["model_name"], permutations=10_000)
 
 
 @query()

@@ -134,6 +134,23 @@ def test_tails():
     assert lo < 9.5 < hi and math.isnan(Q.bootstrap_median(np.arange(3.0))[0])
 
 
+def test_permutation_pair_equals_the_single_tests():
+    rng = np.random.default_rng(8)
+    for n, top in ((30, 6), (41, 1000), (12, 1)):
+        x, y = rng.integers(0, top, n).astype(float), np.append(rng.integers(0, 2, n - 2), [0, 1])
+        want = Q.permutation_p(x[(o := np.lexsort((y, x)))], y[o], Q.median_difference, 300), Q.permutation_p(x[o], y[o], Q.kruskal_h, 300)
+        assert Q.permutation_pair(x[o], y[o], 300) == pytest.approx(want, abs=1e-12)
+
+
+def test_permutation_query_takes_ten_thousand(spark, tmp_path):
+    from fjordmill.plans.statistics import q5_permutation
+
+    rows = [("m", i, float(i), int(i >= 20)) for i in range(40)]
+    spark.createDataFrame(rows, "model_name string, prediction_id long, y_score double, y_true int").write.parquet(str(tmp_path / "cv_prediction.parquet"))
+    r = q5_permutation(spark, str(tmp_path)).first()
+    assert r.n == 40 and r.median_p == r.kruskal_p == pytest.approx(1 / 10_001)
+
+
 def test_linkage_and_density():
     bits = np.array([[1, 1, 1, 0, 0, 0]] * 4 + [[0, 0, 0, 1, 1, 1]] * 4 + [[0, 0, 0, 0, 0, 0]])
     d = L.jaccard(bits)
