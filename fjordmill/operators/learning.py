@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from fjordmill.session import Workspace
 
 
 def jaccard(bits: np.ndarray) -> np.ndarray:
@@ -231,6 +234,41 @@ def grouped_cv(df: DataFrame, run: str, key: str, unit: str, features: list[str]
     return df.where(f"{unit} is not null").select(run, key, unit, label, *features).groupBy(run).applyInPandas(fit, f"{run} string, {key} long, fold long, y_true long, y_score double")
 
 
+def balanced_accuracy(label: str, predicted: str) -> Column:
+    """Aggregate: the mean of the recalls of the labels 0 and 1, or the one of the only label there is."""
+    zero, one = (F.avg(F.when(F.col(label) == v, (F.col(predicted) == v).cast("double"))) for v in (0, 1))
+    return F.coalesce((zero + one) / 2, zero, one)
+
+
+def tree_cv(df: DataFrame, unit: str, features: list[str], label: str, *, folds: int = 5, depth: int = 3, seed: int = 42) -> DataFrame:
+    """(df's columns, fold, prediction, probability, importances): every row as the tree of its fold judges it, which
+    has seen no row of the row's unit. Medians for what is missing and balanced class weights come from the training
+    part of each fold. Rows without a unit or label are left out; where training rows are of one label, no tree is
+    grown and the held-out rows have nulls."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    own, work = df.columns, Workspace(df.sparkSession, "trees")
+    known = df.where(F.col(label).isNotNull() & F.col(unit).isNotNull()).withColumns({f"_{c}": F.when(~F.isnan(c), F.col(c).cast("double")) for c in features})
+    known = work.put(known, "known")
+    of = balanced_folds(known.withColumn("_run", F.lit("")), "_run", unit, label, folds).select(unit, "fold")
+    rows = work.put(known.join(of, unit).select(*own, *(f"_{c}" for c in features), "fold"), "rows")
+    held = rows.withColumn("_held", F.explode(F.array(*(F.lit(f) for f in range(folds))))).where("_held <> fold")
+    parts = held.groupBy("_held").agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("pos"), *(F.median(f"_{c}").alias(f"_{c}") for c in features)).collect()
+    grown, out = [p for p in parts if 0 < p.pos < p.n], None
+    for p in grown:
+        weight = F.when(F.col(label) == 1, p.n / (2 * p.pos)).otherwise(p.n / (2 * (p.n - p.pos)))
+        filled = rows.withColumns({f"_{c}": F.coalesce(f"_{c}", F.lit(float(p[f"_{c}"] or 0.0))) for c in features}).withColumns({"_weight": weight, "_label": F.col(label).cast("double")})
+        data = VectorAssembler(inputCols=[f"_{c}" for c in features], outputCol="_features").transform(filled)
+        model = DecisionTreeClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="prediction", probabilityCol="_probability", maxDepth=depth, seed=seed).fit(data.where(F.col("fold") != p["_held"]))
+        share = F.array(*(F.lit(float(v)) for v in model.featureImportances.toArray()))
+        told = model.transform(data.where(F.col("fold") == p["_held"])).select(*own, "fold", "prediction", vector_to_array("_probability")[1].alias("probability"), share.alias("importances"))
+        out = told if out is None else out.unionByName(told)
+    none = rows.where(~F.col("fold").isin([p["_held"] for p in grown])).select(*own, "fold", *(F.lit(None).cast(t).alias(c) for c, t in (("prediction", "double"), ("probability", "double"), ("importances", "array<double>"))))
+    return none if out is None else out.unionByName(none)
+
+
 def kabsch_rmsd(a: np.ndarray, b: np.ndarray) -> float:
     """Root mean square deviation after the best rotation and translation."""
     a, b = a - a.mean(axis=0), b - b.mean(axis=0)

@@ -173,6 +173,34 @@ def test_grouped_cv_keeps_units_apart(spark):
     assert ((out["y_score"] > 0.5) == (out["y"] == 1)).mean() > 0.85
 
 
+def test_tree_baseline_judges_held_out_proteins(spark, tmp_path):
+    from fjordmill.plans import statistics as plans
+
+    # a protein far from all others, whose label only a tree that saw it can know; a protein of two rows; one without c1
+    rows = [(f"P{i:02d}", "x_NAG6_full", i < 20, i, 3.0 if i != 5 else float("nan")) for i in range(40)] + [("P00", "x_CEL4_full", True, 1, 3.0), ("FAR", "x_NAG6_full", True, 1000, 3.0), (None, "x_NAG6_full", True, 1, 3.0)]
+    spark.createDataFrame(rows, "protein_id string, condition_id string, passed boolean, n_non_vdw_interactions int, min_cu_c1 double").write.parquet(str(tmp_path / "geometry_result.parquet"))
+    got = plans.m5_tree_baseline(spark, str(tmp_path)).toPandas()
+    far = got[got.protein_id == "FAR"].iloc[0]
+    assert far.label == 1 and far.prediction == 0
+    assert len(got) == 42 and sorted(got.fold.unique()) == [0, 1, 2, 3, 4] and (got.groupby("protein_id").fold.nunique() == 1).all()
+    assert (got.prediction == got.label).mean() > 0.9
+    scores = []
+    for _, own in got.groupby("fold"):
+        scores.append(np.mean([(own[own.label == v].prediction == v).mean() for v in own.label.unique()]))
+        assert own.fold_score.tolist() == pytest.approx([scores[-1]] * len(own))
+    assert (got.importance_contacts == 1).all() and (got.mean_importance_c1 == 0).all()
+    assert got.mean_score[0] == pytest.approx(np.mean(scores)) and got.std_score[0] == pytest.approx(np.std(scores))
+
+
+def test_tree_cv_weights_classes_and_survives_one_label(spark):
+    # one in ten is positive, one in five where x is 1: balanced weights make that side positive
+    rows = [(f"u{i}", float(i % 2), int(i % 2 and i % 5 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "u string, x double, y int")
+    assert {(r.x, r.prediction) for r in L.tree_cv(df, "u", ["x"], "y").collect()} == {(0.0, 0.0), (1.0, 1.0)}
+    one = L.tree_cv(df.where("y = 0"), "u", ["x"], "y").collect()
+    assert len(one) == 180 and all(r.prediction is None and r.fold is not None for r in one)
+
+
 def test_kabsch_ignores_rotation():
     a = np.random.default_rng(3).normal(size=(8, 3))
     c, s = math.cos(1), math.sin(1)
