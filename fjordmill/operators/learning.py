@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fjordmill.operators.statistics import average_precision
 from fjordmill.session import Workspace
 
 
@@ -240,6 +241,20 @@ def balanced_accuracy(label: str, predicted: str) -> Column:
     return F.coalesce((zero + one) / 2, zero, one)
 
 
+def fold_metrics(scored: DataFrame, run: str, key: str, label: str, score: str) -> DataFrame:
+    """Per run and fold of out-of-fold scores: rows, positives, area under precision-recall steps, balanced accuracy at
+    0.5 and recall among the k best, k being the positives (ties in order of the key); and the mean and deviation of
+    each over the run's folds. Without positives the area and the recall are 0. Folds without scores are left out."""
+    fold = [run, "fold"]
+    sub = scored.where(F.col(score).isNotNull() & ~F.isnan(score)).select(*fold, key, F.col(label).alias("_y"), F.col(score).alias("_s"), (F.col(score) > 0.5).cast("int").alias("_p"))
+    best = sub.withColumns({"_r": F.row_number().over(Window.partitionBy(*fold).orderBy(F.desc("_s"), key)), "_k": F.sum("_y").over(Window.partitionBy(*fold))})
+    per = best.groupBy(*fold).agg(F.count("*").alias("n_test"), F.sum("_y").alias("n_test_positive"), balanced_accuracy("_y", "_p").alias("balanced_accuracy"), F.coalesce(F.try_divide(F.sum(F.when(F.col("_r") <= F.col("_k"), F.col("_y"))), F.sum("_y")), F.lit(0.0)).alias("recall_at_k"))
+    area = average_precision(sub, "_s", "_y", fold).select(*fold, F.coalesce("average_precision", F.lit(0.0)).alias("pr_auc"))
+    names, every = ("pr_auc", "balanced_accuracy", "recall_at_k"), Window.partitionBy(run)
+    told = per.join(area, fold).select(*fold, "n_test", "n_test_positive", *names)
+    return told.select("*", *(F.avg(c).over(every).alias(f"mean_{c}") for c in names), *(F.stddev_pop(c).over(every).alias(f"std_{c}") for c in names))
+
+
 def tree_cv(df: DataFrame, unit: str, features: list[str], label: str, *, folds: int = 5, depth: int = 3, seed: int = 42) -> DataFrame:
     """(df's columns, fold, prediction, probability, importances): every row as the tree of its fold judges it, which
     has seen no row of the row's unit. Medians for what is missing and balanced class weights come from the training

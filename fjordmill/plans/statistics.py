@@ -162,6 +162,12 @@ def m4_grouped_cv(spark: SparkSession, d: str) -> DataFrame:
     return scored.withColumnRenamed("y_score", "oof_score")
 
 
+@query()
+def m4_fold_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of m4_grouped_cv per run and fold, and their mean and deviation over the folds of the run."""
+    return L.fold_metrics(m4_grouped_cv(spark, d), "run_id", "prediction_id", "y_true", "oof_score")
+
+
 @query()
 def m5_tree_baseline(spark: SparkSession, d: str) -> DataFrame:
     """Trees of depth 3 on the modeling rows, trained in the cluster: each row as judged by the tree of the fold that

@@ -173,6 +173,30 @@ def test_grouped_cv_keeps_units_apart(spark):
     assert ((out["y_score"] > 0.5) == (out["y"] == 1)).mean() > 0.85
 
 
+def test_fold_metrics_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"r{i % 2}", i, i // 2 % 5, int(rng.random() < 0.4), float(rng.integers(0, 12)) / 11) for i in range(300)] + [("r2", 900 + i, 0, 0, 0.4 + i / 10) for i in range(4)] + [("r2", 990, 1, 1, None), ("r2", 991, 2, 1, 0.9)]
+    told = L.fold_metrics(spark.createDataFrame(rows, "run string, key long, fold long, y long, s double"), "run", "key", "y", "s").toPandas().set_index(["run", "fold"])
+    assert len(told) == 12
+    for (run, fold), r in told.iterrows():
+        own = sorted((x for x in rows if x[0] == run and x[2] == fold), key=lambda x: (-x[4], x[1]))
+        y, s = np.array([x[3] for x in own]), np.array([x[4] for x in own])
+        k = y.sum()
+        area = sum(((y == 1) & (s == v)).sum() * y[s >= v].mean() for v in np.unique(s)) / k if k else 0.0
+        both = [((s > 0.5) == v)[y == v].mean() for v in (0, 1) if (y == v).any()]
+        assert (r.n_test, r.n_test_positive) == (len(y), k)
+        assert (r.pr_auc, r.balanced_accuracy, r.recall_at_k) == pytest.approx((area, np.mean(both), y[:k].sum() / k if k else 0.0))
+    for run, own in told.groupby("run"):
+        for c in ("pr_auc", "balanced_accuracy", "recall_at_k"):
+            assert own[f"mean_{c}"].iloc[0] == pytest.approx(own[c].mean()) and own[f"std_{c}"].iloc[0] == pytest.approx(own[c].std(ddof=0))
+
+
+def test_fold_metrics_are_registered():
+    import __spark_entry__ as e
+
+    assert "m4_fold_metrics" in e.queries()
+
+
 def test_tree_baseline_judges_held_out_proteins(spark, tmp_path):
     from fjordmill.plans import statistics as plans
 
