@@ -188,7 +188,9 @@ def _leafer(radius: float):
 
 
 def _near(x: np.ndarray, size: np.ndarray, y: np.ndarray, y_size: np.ndarray, leaf: np.ndarray, similarity: float):
-    """Index pairs of x and y whose Jaccard similarity reaches the threshold; y is ordered by leaf."""
+    """Index pairs of x and y whose Jaccard similarity reaches the threshold; y is ordered by leaf. Counts are compared
+    as float64: float32 has too few digits for pairs right at the threshold."""
+    size, y_size = size.astype(np.float64), y_size.astype(np.float64)
     starts = np.concatenate([[0], np.nonzero(np.diff(leaf))[0] + 1, [len(leaf)]])
     either = np.maximum.reduceat(y, starts[:-1], axis=0)
     least = np.minimum.reduceat(y_size, starts[:-1])
@@ -196,7 +198,7 @@ def _near(x: np.ndarray, size: np.ndarray, y: np.ndarray, y_size: np.ndarray, le
     for a in range(0, len(x), 1024):
         b = min(a + 1024, len(x))
         # no member of the leaf shares more with the record than the leaf's union does, nor has fewer than its least
-        share = np.minimum(x[a:b] @ either.T, most[None])
+        share = np.minimum((x[a:b] @ either.T).astype(np.float64), most[None])
         may = share >= similarity * (size[a:b, None] + np.maximum(least[None], share) - share) - 1e-6
         rec, lf = np.nonzero(may)
         width = starts[lf + 1] - starts[lf]
@@ -204,7 +206,7 @@ def _near(x: np.ndarray, size: np.ndarray, y: np.ndarray, y_size: np.ndarray, le
         j = np.repeat(starts[lf], width) + (np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width))
         for c in range(0, len(i), 1 << 16):
             p, q = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
-            common = np.einsum("ij,ij->i", x[p], y[q])
+            common = np.einsum("ij,ij->i", x[p], y[q]).astype(np.float64)
             ok = common >= similarity * (size[p] + y_size[q] - common) - 1e-6
             yield p[ok], q[ok]
 

@@ -216,6 +216,22 @@ def test_clusters_match_single_linkage(spark, block):
     assert clusters.clusters(df.limit(0)).count() == 0
 
 
+def test_near_holds_at_the_very_threshold():
+    # unions of 5 to 500 positions of which exactly three in five are common, and one position less
+    for union in range(5, 501, 5):
+        for common, found in ((3 * union // 5, 1), (3 * union // 5 - 1, 0)):
+            x, y = np.zeros((1, union), np.float32), np.ones((1, union), np.float32)
+            x[0, :common] = 1
+            pairs = list(clusters._near(x, x.sum(axis=1), y, y.sum(axis=1), np.zeros(1, int), 0.6))
+            assert sum(len(p) for p, _ in pairs) == found, (union, common)
+
+
+def test_clusters_of_dense_vectors_at_the_threshold(spark):
+    rows = [("g", i, list(range(51 if i else 85))) for i in range(4)]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], VEC)
+    assert {(r.id, r.cluster) for r in clusters.clusters(df).collect()} == {(i, 0) for i in range(4)}
+
+
 def test_conditions_count_poses_without_a_vector(spark, tmp_path):
     from fjordmill.llm import queries
 
