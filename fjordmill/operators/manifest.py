@@ -12,7 +12,7 @@ def cases(left: DataFrame, right: DataFrame, models: list[str], ready: Column, s
     """Every left row with every right row and model, and a status. A manifest is a product by definition: its size
     is what the caller asks for."""
     model = F.explode(F.array(*(F.lit(m) for m in models))).alias("model")
-    both = left.crossJoin(F.broadcast(right)).select("*", model)
+    both = left.crossJoin(right).select("*", model)
     return both.withColumn("status", F.when(ready, "ready").when(skipped, "skipped").otherwise("pending"))
 
 

@@ -49,7 +49,7 @@ def f1_contact_eligibility(spark: SparkSession, d: str) -> DataFrame:
     bits = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.coalesce(x.cast("int"), F.lit(0)))
     v = F.col("ifp_lpmo_bitvector")
     label = R.ladder(
-        [(v.isNull() | (bits(v) == 0), "null_ifp"), (bits(F.slice(v, 7, 100000)) == 0, "vdw_only"), (F.coalesce(F.size(F.array_compact(F.array_distinct("lpmo_contact_residues"))), F.lit(0)) < 3, "low_specific_contact")], "eligible"
+        [(v.isNull() | (bits(v) == 0), "null_ifp"), (bits(F.slice(v, 7, F.greatest(F.size(v), F.lit(1)))) == 0, "vdw_only"), (F.coalesce(F.size(F.array_compact(F.array_distinct("lpmo_contact_residues"))), F.lit(0)) < 3, "low_specific_contact")], "eligible"
     )
     return df.groupBy(label.alias("eligibility")).agg(F.count("*").alias("n_poses"))
 
@@ -362,7 +362,7 @@ def e18_set_to_string(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT p.row_id, substr(sequence, 1, 20) AS mature_start, substr(sequence, 21) AS catalytic, sequence LIKE 'H%' AS h1, greatest(sequence_length - 20, 1) AS mature_length FROM proteins p WHERE sequence IS NOT NULL""")
 def e20_mature_sequence(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("sequence")
-    return table(spark, d, "proteins").where(s.isNotNull()).select("row_id", F.substring(s, 1, 20).alias("mature_start"), F.substring(s, 21, 1_000_000).alias("catalytic"), s.startswith("H").alias("h1"), F.greatest(F.col("sequence_length") - 20, F.lit(1)).alias("mature_length"))
+    return table(spark, d, "proteins").where(s.isNotNull()).select("row_id", F.substring(s, 1, 20).alias("mature_start"), F.expr("substring(sequence, 21)").alias("catalytic"), s.startswith("H").alias("h1"), F.greatest(F.col("sequence_length") - 20, F.lit(1)).alias("mature_length"))
 
 
 @query(f"""SELECT CASE WHEN residue_name IN ('PHE', 'TYR', 'TRP', 'HIS') THEN 'aromatic' WHEN residue_name IN ('ARG', 'LYS', 'ASP', 'GLU') THEN 'charged' WHEN residue_name IN ('SER', 'THR', 'ASN', 'GLN', 'CYS') THEN 'polar' ELSE 'nonpolar' END AS residue_class, count(*) AS n, count(DISTINCT pose_key) AS n_poses FROM {_LABELS} GROUP BY 1""")

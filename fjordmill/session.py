@@ -55,11 +55,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine) a folder of this application."""
+    """The folder of spark.checkpoint.dir. Only where it is unset and all runs on this machine (tests) a folder of this
+    application is made; on several machines it must be set, since what one writes locally the others can't read."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     sc = spark.sparkContext
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share: intermediate tables are written there")
     if not getattr(sc, "_fjordmill_folder", None):
         sc._fjordmill_folder = tempfile.mkdtemp(prefix="fjordmill-")
         sc.setCheckpointDir(sc._fjordmill_folder)
@@ -67,15 +70,37 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + sc._fjordmill_folder
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def application_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie; clear_tables() empties it, and so does the application's end."""
+    return f"{shared_folder(spark)}/fjordmill-{spark.sparkContext.applicationId}"
+
+
+def clear_tables(spark: SparkSession, application: str | None = None) -> None:
+    """Delete all intermediate tables of this application, or of one that ended without doing so. DataFrames that were
+    made before can't be read any more, so a long session calls this between queries."""
+    _delete(spark, f"{shared_folder(spark)}/fjordmill-{application}" if application else application_folder(spark))
+
+
 class Workspace:
     """Tables written to the shared folder. They cut lineage, survive the loss of executors, and go when the
-    workspace is cleared or the application ends."""
+    workspace is cleared (it is a context manager too), when clear_tables() is called or the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/fjordmill-{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = spark, f"{application_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.kept: list[str] = []
         atexit.register(self._clear_quietly)
 
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as a table and return it read back. The name may be used again: each write is a new folder."""
         path = f"{self.root}/{name}-{len(self.kept)}"
@@ -88,16 +113,11 @@ class Workspace:
         """Delete the older writes under a name, for loops that replace a table."""
         own = [p for p in self.kept if p and p.rsplit("/", 1)[1].rsplit("-", 1)[0] == name]
         for p in own[: len(own) - keep_last]:
-            self._delete(p)
+            _delete(self.spark, p)
             self.kept[self.kept.index(p)] = ""
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
     def clear(self) -> None:
-        self._delete(self.root)
+        _delete(self.spark, self.root)
 
     def _clear_quietly(self) -> None:
         try:
