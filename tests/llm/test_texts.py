@@ -166,6 +166,36 @@ def test_no_greeting_without_a_name(model):
         assert model.spans(text) == []
 
 
+@pytest.mark.parametrize("local", ["m" + "a.b" * 1700, "a_b"])
+@pytest.mark.parametrize("sign", ["@", "(at)", " (At) ", "[AT]", "{ aT }"])
+@pytest.mark.parametrize("domain", ["lab.example", "x" * 5000 + ".y-z.org", "lab dot example", "lab Dot example"])
+def test_emails_of_any_length_and_case(model, local, sign, domain):
+    text = f"Write to {local}{sign}{domain} today, not to @ nobody or at home."
+    assert [(k, text[a:b]) for a, b, k in model.spans(text)] == [("email", local + sign + domain)]
+
+
+@pytest.mark.parametrize("address", [f"{'Z' + 'o' * 5000}straße 206, 19062 Jurvmouth", f"12 Tro{'st' * 3000} Lane, {'S' + 'k' * 4000}stad 83874"])
+def test_addresses_of_any_length(model, address):
+    text = f"Send it to {address}. Done."
+    assert [(k, text[a:b]) for a, b, k in model.spans(text)] == [("address", address)]
+
+
+def test_long_names_and_texts_without_blanks(model):
+    text = f"We thank Nisor{'a' * 200}-Tarva Gorasson-{'B' + 'e' * 300}kk for it."
+    assert any(k == "name" and "Gorasson" in text[a:b] for a, b, k in model.spans(text)) or model.spans(text) == []
+    for filler in ("x" * 300_000, "@" * 20_000, " dot " * 20_000, "a@b" * 20_000, "Street " * 20_000):
+        model.spans(filler)  # ends, in time linear in the text
+
+
+def test_gazetteer_table(spark, model):
+    names = spark.createDataFrame([(f"N{i}", "given") for i in range(3000)] + [(None, "given"), ("X", None)], "name_text string, name_kind string")
+    table = privacy.gazetteer(names)
+    words = privacy.Words(table, None)
+    assert all(words.listed(f"n{i}", "given") for i in range(3000))
+    assert sum(words.listed(f"other{i}", "given") for i in range(3000)) < 60 and len(table) * 64 <= 1 << 17
+    assert np.array_equal(privacy.gazetteer(names.limit(0)), np.zeros(1 << 10, np.uint64))
+
+
 def test_found_and_redacted(spark, model):
     texts = ["We thank Nisor Gorasson for it.", None, "", "plain", "x " * 50_000 + "call 555.555.0145", "We thank Nisor Gorasson for it."]
     df = _docs(spark, texts)
