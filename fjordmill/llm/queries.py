@@ -110,8 +110,8 @@ def p7_conditions(spark: SparkSession, d: str) -> DataFrame:
 def p7_ward(spark: SparkSession, d: str) -> DataFrame:
     """Ward clusters of the cluster features: size and most typical pose of each."""
     work = Workspace(spark, "ward")
-    leafed = clusters.leaves(_fingerprints(spark, d), smallest=6, radius=2.2, work=work)
-    labelled = work.put(clusters.ward_clusters(leafed), "ward").withColumn("cluster", F.concat_ws("#", "grp", "ward"))
+    rows = work.put(_fingerprints(spark, d), "rows")
+    labelled = rows.join(work.put(clusters.ward_clusters(rows, work=work), "ward").select("id", "ward"), "id").withColumn("cluster", F.concat_ws("#", "grp", "ward"))
     return clusters.describe(labelled).select(F.col("grp").alias("condition_id"), "cluster", "n", F.col("medoids")[0].alias("medoid"))
 
 

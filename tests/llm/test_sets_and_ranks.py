@@ -216,14 +216,58 @@ def test_clusters_match_single_linkage(spark, block):
     assert clusters.clusters(df.limit(0)).count() == 0
 
 
-def test_near_holds_at_the_very_threshold():
+def test_links_hold_at_the_very_threshold():
     # unions of 5 to 500 positions of which exactly three in five are common, and one position less
     for union in range(5, 501, 5):
-        for common, found in ((3 * union // 5, 1), (3 * union // 5 - 1, 0)):
-            x, y = np.zeros((1, union), np.float32), np.ones((1, union), np.float32)
-            x[0, :common] = 1
-            pairs = list(clusters._near(x, x.sum(axis=1), y, y.sum(axis=1), np.zeros(1, int), 0.6))
-            assert sum(len(p) for p, _ in pairs) == found, (union, common)
+        for common, found in ((3 * union // 5, True), (3 * union // 5 - 1, False)):
+            x = np.ones((2, union), np.float32)
+            x[0, common:] = 0
+            assert (clusters.connect(x, np.zeros(2, int), 0.6)[1] == 0) == found, (union, common)
+            size = x.sum(axis=1)
+            near = clusters.may_reach(x[:1], size[:1], x[1:], np.zeros(1), x[1:], np.zeros(1, np.float32), size[1:].astype(float), size[1:].astype(float), 0.6)
+            assert near[0, 0] or not found
+
+
+def test_tree_keeps_sums_and_splits():
+    rng = np.random.default_rng(3)
+    x = (rng.random((3000, 40)) < 0.3).astype(np.float32)
+    tree = clusters.Tree(40, 1.5, branch=8)
+    where = tree.insert(np.ones(3000), x, x.sum(axis=1))
+    n, ls, ss = tree.entries()
+    assert tree.root.kids is not None and len(n) == tree.count and where.min() >= 0
+    assert np.array_equal(np.bincount(where, minlength=len(n)), n) and np.allclose(ls.sum(axis=0), x.sum(axis=0)) and np.isclose(ss.sum(), x.sum())
+    n, ls, ss = clusters.condense(np.ones(3000), x, x.sum(axis=1), 1.0, 50)
+    assert len(n) <= 50 and np.isclose(ls.sum(), ss.sum())
+    assert (clusters.condense(np.ones(3000), x, x.sum(axis=1), 1.0, 50, last=True)[0] > 1).all()
+
+
+def _many_clusters(n, kinds, seed=5):
+    rng = np.random.default_rng(seed)
+    base = [rng.choice(384, 14, replace=False) for _ in range(kinds)]
+    out = []
+    for i in range(n):
+        t = set(base[int(rng.integers(kinds))].tolist() if rng.random() < 0.7 else rng.choice(384, 12, replace=False).tolist())
+        for _ in range(int(rng.integers(0, 3))):
+            t ^= {int(rng.integers(384))}
+        out.append(("hot", i, sorted(t), 0, 0))
+    return out
+
+
+@pytest.mark.parametrize("kinds,outliers", [(1, 8192), (30, 100)])
+def test_clusters_of_a_group_of_many_blocks(spark, kinds, outliers):
+    rows = _many_clusters(1500, kinds)
+    got = {(r.id, r.cluster) for r in clusters.clusters(spark.createDataFrame(rows, VEC), block=50, outliers=outliers).collect()}
+    assert got == _cluster_brute([r[:3] for r in rows], 0.6, 6, 4)
+
+
+def test_visits_grow_with_the_rows(spark):
+    """A group of 50,000 records in blocks of 512: what is shuffled is about proportional to the records."""
+    per_row = []
+    for n in (12_500, 50_000):
+        df = spark.createDataFrame(_many_clusters(n, 200), VEC)
+        made = clusters.Clustering(df, similarity=0.6, block=512, radius=1.2, ward_radius=1.6)
+        per_row.append(made.visits().count() / n)
+    assert per_row[1] < 3 and per_row[1] < 1.5 * per_row[0]
 
 
 def test_clusters_of_dense_vectors_at_the_threshold(spark):
@@ -245,9 +289,7 @@ def test_conditions_count_poses_without_a_vector(spark, tmp_path):
 def test_ward_and_medoids(spark):
     rows = [("g", i, [1, 2, 3, 4, 5, 6, 10 + i % 3]) for i in range(9)] + [("g", 20 + i, [50, 51, 52, 53, 54, 55, 60 + i % 2]) for i in range(8)]
     df = spark.createDataFrame([(*r, 0, 0) for r in rows], VEC)
-    from fjordmill.session import Workspace
-
-    w = clusters.ward_clusters(clusters.leaves(df, smallest=6, radius=1.0, work=Workspace(spark, "t")), radius=1.2)
+    w = clusters.ward_clusters(df, radius=1.0, ward_radius=1.2).join(df.select("id", "tokens"), "id")
     label = {r.id: r.ward for r in w.collect()}
     assert len({label[i] for i in range(9)}) == 1 and len({label[20 + i] for i in range(8)}) == 1 and label[0] != label[20]
     told = clusters.describe(w.withColumn("cluster", F.col("ward").cast("long"))).collect()
