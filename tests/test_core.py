@@ -43,12 +43,14 @@ def test_benjamini_hochberg_against_numpy(spark):
     assert np.allclose([got[int(i)] for i in o], want)
 
 
-def test_components_path_hub_and_empty(spark):
+@pytest.mark.parametrize("small", [components.SMALL, 70, 0])
+def test_components_path_hub_and_empty(spark, small):
     path = [(i, i + 1) for i in range(64)] + [(1000, 1000 + k) for k in range(1, 200)] + [(7, 7), (None, 3), (5000, 5000)]
     df = spark.createDataFrame(path, "a long, b long")
-    got = {r.node: r.root for r in components.roots(df, Workspace(spark, "t")).collect()}
+    got = {r.node: r.root for r in components.roots(df.repartition(7), Workspace(spark, "t"), small=small).collect()}
     assert {got[i] for i in range(65)} == {0} and {got[1000 + k] for k in range(200)} == {1000} and got[5000] == 5000
-    assert components.roots(df.limit(0), Workspace(spark, "t")).count() == 0
+    assert len(got) == 65 + 200 + 1
+    assert components.roots(df.limit(0), Workspace(spark, "t"), small=small).count() == 0
 
 
 def test_replay_revokes(spark):
