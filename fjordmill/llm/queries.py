@@ -53,20 +53,30 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 ENTITIES = ["protein_id", "sequence_cluster", "depositor_lab"]
 
 
+def _split_state(spark: SparkSession, d: str) -> groupsplit.State:
+    """The component table after the predictions of even and of odd runs came as two batches."""
+    rows = table(spark, d, "cv_prediction")
+    state = groupsplit.State(spark, Workspace(spark, "split-state").root)
+    for turn in (0, 1):
+        batch = rows.where(F.pmod(F.crc32(F.coalesce("run_id", F.lit(""))), F.lit(2)) == turn)
+        groupsplit.update(state, batch, record="prediction_id", entities=ENTITIES)
+    return state
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    grouped = groupsplit.groups(table(spark, d, "cv_prediction"), record="prediction_id", entities=ENTITIES)
-    return groupsplit.shared(grouped).select(F.col("record").alias("prediction_id"), "group_key")
+    grouped = _split_state(spark, d).assignments()
+    return groupsplit.shared(grouped.select("record", "group_key")).select(F.col("record").alias("prediction_id"), "group_key")
 
 
 def p6_splits(spark: SparkSession, d: str) -> DataFrame:
-    """The split of every prediction; the predictions of even and of odd runs arrive as two batches."""
-    rows = table(spark, d, "cv_prediction")
-    state, out = groupsplit.empty_state(spark), None
-    for turn in (0, 1):
-        batch = rows.where(F.pmod(F.crc32(F.coalesce("run_id", F.lit(""))), F.lit(2)) == turn)
-        state, told = groupsplit.update(state, batch, record="prediction_id", entities=ENTITIES)
-        out = told if out is None else out.unionByName(told.join(out.select("record"), "record", "left_anti"))
-    return out.select(F.col("record").alias("prediction_id"), "component", "split", "quarantined")
+    """The split of every prediction, and whether it is quarantined."""
+    return _split_state(spark, d).assignments().withColumnRenamed("record", "prediction_id")
+
+
+def p6_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions and groups per split; quarantined ones have none."""
+    told = _split_state(spark, d).assignments()
+    return told.groupBy(F.coalesce("split", F.lit("quarantined")).alias("split")).agg(F.count("*").alias("n_records"), F.countDistinct("group_key").alias("n_groups"))
 
 
 # ---- 9: leaks --------------------------------------------------------------------------------------------------
@@ -149,7 +159,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return privacy.redacted(documents, privacy.fit(documents, table(spark, d, "name_list")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_by_day, p6_found, p6_splits, p7_found, p7_conditions, p7_ward, p8_contexts, p8_usage, p9_found, p9_items, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_by_day, p6_found, p6_splits, p6_usage, p7_found, p7_conditions, p7_ward, p8_contexts, p8_usage, p9_found, p9_items, p10_found, p10_redacted)}
 _LINKED_SQL = """
 WITH RECURSIVE once AS (SELECT pose_key, min(condition_id) AS g, arg_max(ifp_lpmo_bitvector, loaded_at) FILTER (ifp_lpmo_bitvector IS NOT NULL) AS v FROM cbm_analysis_result GROUP BY pose_key),
 tok AS (SELECT g, pose_key AS k, i FROM (SELECT g, pose_key, unnest(v) AS b, generate_subscripts(v, 1) AS i FROM once) WHERE b <> 0),

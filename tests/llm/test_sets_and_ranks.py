@@ -151,33 +151,83 @@ def _pred(spark, rows):
     return spark.createDataFrame([(*r, 1, 1) for r in rows], PRED)
 
 
-def test_groups_chain_hub_and_placeholders(spark):
-    rows = [(i, f"P{i // 2}", f"L{(i + 1) // 2}") for i in range(60)] + [(100 + i, " hub ", None) for i in range(40)] + [(200, "HUB", "-"), (201, None, "unknown"), (202, "", None), (201, "late", None), (203, "LATE", None)]
-    got = {r.record: r.group_key for r in groupsplit.groups(_pred(spark, rows), record="prediction_id", entities=["protein_id", "lab"]).collect()}
-    assert got == _union_find(rows)
-    assert groupsplit.groups(_pred(spark, []), record="prediction_id", entities=["protein_id", "lab"]).count() == 0
-
-
-def test_splits_grow_and_quarantine(spark):
-    e = ["protein_id", "lab"]
-    state = groupsplit.empty_state(spark)
-    first = [(i, f"P{i}", None) for i in range(3000)] + [(5000 + i, "big", None) for i in range(300)]
-    state, one = groupsplit.update(state, _pred(spark, first), record="prediction_id", entities=e)
-    got = {r.record: r for r in one.collect()}
+E = ["protein_id", "lab"]
+
+
+def _state(spark, tmp_path):
+    return groupsplit.State(spark, f"file://{tmp_path}/state")
+
+
+def _bring(spark, state, rows):
+    return {r.record: r for r in groupsplit.update(state, _pred(spark, rows), record="prediction_id", entities=E).collect()}
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_groups_chain_hub_and_placeholders(spark, tmp_path, batches):
+    rows = [(i, f"P{i // 2}", f"L{(i + 1) // 2}") for i in range(60)] + [(100 + i, " hub ", None) for i in range(40)] + [(200, "HUB", "-"), (201, None, "unknown"), (202, "", None), (201, "late", None), (203, "LATE", None), (None, "hub", None)]
+    for k in range(batches):
+        _bring(spark, _state(spark, tmp_path), rows[k::batches])  # read again before every batch
+    state = _state(spark, tmp_path)
+    told = {r.record: r for r in state.assignments().collect()}
+    assert {k: r.group_key for k, r in told.items()} == _union_find([r for r in rows if r[0] is not None]) and state.version == batches
+    assert state.table("components").agg(F.sum("size")).first()[0] == len(told)
+    split = {}
+    for r in told.values():
+        assert r.quarantined == (r.split is None)
+    for p, *es in rows:
+        for k, e in enumerate(es):
+            if e and e.strip().lower() not in ("", "-", "unknown") and p is not None and told[p].split:
+                assert split.setdefault((k, e.strip().lower()), told[p].split) == told[p].split
+    assert _bring(spark, state, []) == {} and state.assignments().count() == len(told)
+
+
+def test_splits_grow_and_quarantine(spark, tmp_path):
+    state = _state(spark, tmp_path)
+    got = _bring(spark, state, [(i, f"P{i}", None) for i in range(3000)] + [(5000 + i, "big", None) for i in range(300)])
     share = {s: sum(r.split == s for r in got.values()) / len(got) for s in groupsplit.SPLITS}
     assert len(got) == 3300 and abs(share["train"] - 0.8) < 0.05 and len({got[5000 + i].split for i in range(300)}) == 1
-    a = next(i for i in range(3000) if got[i].split == "train")
+    a, c = [i for i in range(3000) if got[i].split == "train"][:2]
     b = next(i for i in range(3000) if got[i].split == "test")
-    second = [(9001, f"P{a}", "new"), (9002, None, "new"), (9003, f"p{a}", f"x"), (9004, f"P{b}", "x"), (9005, None, None)]
-    state, two = groupsplit.update(state, _pred(spark, second), record="prediction_id", entities=e)
-    new = {r.record: r for r in two.collect()}
-    # 9001..9004 all hang together through P_a, new and x, and x joins train with test
-    assert all(new[k].quarantined and new[k].split is None for k in (9001, 9002, 9003, 9004))
+    new = _bring(spark, state, [(9001, f"P{a}", "new"), (9002, None, "new"), (9003, f"p{a}", "x"), (9004, f"P{b}", "x"), (9005, None, None), (9006, f"P{b}", None), (9007, f"P{c}", "far"), (9008, None, "far")])
+    # x joins train with test, so both that hold it are quarantined; 9001 and 9002 hang on P_a alone once these are out
+    assert all(new[k].quarantined and new[k].split is None for k in (9003, 9004))
+    assert {new[k].split for k in (9001, 9002, 9007, 9008)} == {"train"} and new[9006].split == "test"
     assert new[9005].split in groupsplit.SPLITS and not new[9005].quarantined
-    state, three = groupsplit.update(state, _pred(spark, [(9101, f"P{a}", "other"), (9102, None, "other")]), record="prediction_id", entities=e)
-    assert {r.split for r in three.collect()} == {"train"}
-    known = {r.entity: r.split for r in state.collect()}
-    assert known["lab:other"] == "train" and known[f"protein_id:p{b}"] == "test"
+    assert new[9001].group_key == new[9004].group_key == new[9006].group_key == min(a, b)
+    # a record that itself holds entities of two splits
+    again = _bring(spark, state, [(9101, f"P{a}", None), (9101, f"P{b}", None), (a, f"P{b}", None), (c, f"P{c}", None)])
+    assert again[9101].quarantined and again[a].quarantined and again[c].split == "train"
+    told = {r.record: r for r in state.assignments().collect()}
+    assert told[a].split is None and len(told) == 3300 + 8 + 1
+    assert state.table("components").agg(F.sum("size")).first()[0] == len(told)
+
+
+def test_sizes_count_a_record_once(spark, tmp_path):
+    state = _state(spark, tmp_path)
+    _bring(spark, state, [(1, "A", None), (2, "A", None), (1, "A", None)])
+    _bring(spark, state, [(2, "A", "L"), (3, None, "l"), (3, "a", None), (1, "A", None)])
+    assert [(r.size, r.grp) for r in state.table("components").collect()] == [(3, 1)]
+
+
+def test_restart_within_a_batch_and_compaction(spark, tmp_path, monkeypatch):
+    rows = [(i, f"P{i // 3}", f"L{i // 40}") for i in range(400)]
+    one, two = _state(spark, tmp_path / "one"), tmp_path / "two"
+    _bring(spark, one, rows[::2])
+    _bring(spark, _state(spark, two), rows[::2])
+    (two / "state" / "v2" / "components").mkdir(parents=True)  # what a batch left that was interrupted
+    monkeypatch.setattr(groupsplit, "COMPACT", 1)
+    _bring(spark, one, rows[1::2])
+    _bring(spark, _state(spark, two), rows[1::2])
+    a, b = ({(r.record, r.component, r.split) for r in s.assignments().collect()} for s in (one, _state(spark, two)))
+    assert a == b and len(a) == 400 and _state(spark, two).base == 3
+
+
+def test_proportions(spark, tmp_path):
+    state = _state(spark, tmp_path)
+    for turn in (0, 1):
+        _bring(spark, state, [(i, f"P{i // 2}", None) for i in range(turn, 8000, 2)])
+    got = [r.split for r in state.assignments().collect()]
+    assert all(abs(got.count(s) / 8000 - share) < 0.02 for s, share in groupsplit.SPLITS.items())
 
 
 VEC = "grp string, id long, tokens array<long>, leaf int, block int"
