@@ -48,6 +48,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("field").alias("set_field"), F.col("x").alias("pose_key_a"), F.col("y").alias("pose_key_b"))
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every pose with the class of its equal sets and the number of poses it is linked with."""
+    told = setjoin.link_counts(*setjoin.similar_pairs(_pose_sets(spark, d), similarity=0.8, least=6))
+    return told.select(F.col("field").alias("set_field"), F.col("id").alias("pose_key"), F.col("class").alias("class_key"), "n_links")
+
+
 # ---- 6: splits -------------------------------------------------------------------------------------------------
 
 ENTITIES = ["protein_id", "sequence_cluster", "depositor_lab"]
@@ -159,7 +165,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return privacy.redacted(documents, privacy.fit(documents, table(spark, d, "name_list")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_by_day, p6_found, p6_splits, p6_usage, p7_found, p7_conditions, p7_ward, p8_contexts, p8_usage, p9_found, p9_items, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_by_day, p6_found, p6_splits, p6_usage, p7_found, p7_conditions, p7_ward, p8_contexts, p8_usage, p9_found, p9_items, p10_found, p10_redacted)}
 _LINKED_SQL = """
 WITH RECURSIVE once AS (SELECT pose_key, min(condition_id) AS g, arg_max(ifp_lpmo_bitvector, loaded_at) FILTER (ifp_lpmo_bitvector IS NOT NULL) AS v FROM cbm_analysis_result GROUP BY pose_key),
 tok AS (SELECT g, pose_key AS k, i FROM (SELECT g, pose_key, unnest(v) AS b, generate_subscripts(v, 1) AS i FROM once) WHERE b <> 0),
@@ -175,8 +181,7 @@ eg AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM (S
 hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)) """
 )
 
-SQL = {
-    "p2_found": """
+_SETS_SQL = """
 WITH once AS (SELECT pose_key, arg_max(ifp_lpmo_bitvector, loaded_at) FILTER (ifp_lpmo_bitvector IS NOT NULL) AS v, arg_max(lpmo_contact_residues, loaded_at) FILTER (lpmo_contact_residues IS NOT NULL) AS l
   FROM cbm_analysis_result GROUP BY pose_key),
 tok AS (
@@ -185,7 +190,16 @@ tok AS (
 big AS (SELECT f, k, count(*) AS n FROM tok GROUP BY f, k HAVING count(*) >= 6),
 own AS (SELECT t.f, t.k, t.t, b.n FROM tok t JOIN big b USING (f, k)),
 common AS (SELECT a.f, a.k AS x, b.k AS y, a.n AS na, b.n AS nb, count(*) AS c FROM own a JOIN own b ON a.f = b.f AND a.t = b.t AND a.k < b.k WHERE least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY ALL)
-SELECT f AS set_field, x AS pose_key_a, y AS pose_key_b FROM common WHERE c * 10 >= 8 * (na + nb - c)""",
+"""
+
+SQL = {
+    "p2_found": _SETS_SQL + "SELECT f AS set_field, x AS pose_key_a, y AS pose_key_b FROM common WHERE c * 10 >= 8 * (na + nb - c)",
+    "p2_links": _SETS_SQL + """,
+whole AS (SELECT f, k, list(t ORDER BY t) AS ts FROM own GROUP BY f, k),
+same AS (SELECT f, k, min(k) OVER (PARTITION BY f, ts) AS class_key FROM whole),
+ends AS (SELECT f, x AS k FROM common WHERE c * 10 >= 8 * (na + nb - c) UNION ALL SELECT f, y FROM common WHERE c * 10 >= 8 * (na + nb - c)),
+n AS (SELECT f, k, count(*) AS n_links FROM ends GROUP BY f, k)
+SELECT s.f AS set_field, s.k AS pose_key, s.class_key, coalesce(n.n_links, 0) AS n_links FROM same s LEFT JOIN n USING (f, k)""",
     "p7_found": _LINKED_SQL + """
 SELECT a AS pose_key, min(b) AS cluster_key FROM (SELECT a, b FROM reach UNION SELECT a, a FROM link) GROUP BY a HAVING count(DISTINCT b) >= 4""",
     "p9_found": _LEAK_SQL + "SELECT doc_id, item_id FROM hit",

@@ -36,22 +36,36 @@ def _random_rows(rnd, n, sizes, vocabulary):
 
 
 @pytest.mark.parametrize("similarity,sizes", [(0.8, [6, 7, 12, 30]), (0.6, [6, 9, 40]), (0.8, [60, 80, 100]), (0.5, [4, 70])])
-def test_similar_pairs_small_and_large_sets(spark, similarity, sizes, monkeypatch):
+@pytest.mark.parametrize("block", [4096, 6])
+def test_similar_pairs_small_and_large_sets(spark, similarity, sizes, block, monkeypatch):
+    monkeypatch.setattr(setjoin, "BLOCK", block)  # 6: subsets are extended, and cut into blocks at the deepest
     rows = _random_rows(random.Random(len(sizes)), 150, sizes, 400)
     member, links = setjoin.similar_pairs(_sets(spark, rows), similarity=similarity, least=4)
     got = [(r.x, r.y) for r in setjoin.record_pairs(member, links).collect()]
     assert len(got) == len(set(got))
     assert set(got) == _brute(rows, similarity, 4)
+    n = {i: 0 for i, t in rows if len(set(t)) >= 4}
+    for a, b in got:
+        n[a] += 1
+        n[b] += 1
+    assert {r.id: r.n_links for r in setjoin.link_counts(member, links).collect()} == n
 
 
-def test_similar_pairs_hot_key_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("deepest", [1, 2, 4])
+def test_similar_pairs_hot_key_in_blocks(spark, monkeypatch, deepest):
     monkeypatch.setattr(setjoin, "BLOCK", 8)
     base = list(range(10))
     rows = [(i, base + [100 + i]) for i in range(60)] + [(60, base), (61, base), (62, None), (63, []), (64, [1, 2])]
-    member, links = setjoin.similar_pairs(_sets(spark, rows), similarity=0.8, least=6)
+    member, links = setjoin.similar_pairs(_sets(spark, rows), similarity=0.8, least=6, deepest=deepest)
     assert {(r.x, r.y) for r in setjoin.record_pairs(member, links).collect()} == _brute(rows, 0.8, 6)
 
 
+def test_very_long_sets(spark):
+    rows = [(i, list(range(i, 3000 + i))) for i in range(4)] + [(9, list(range(5000, 7000)))]
+    member, links = setjoin.similar_pairs(_sets(spark, rows))
+    assert {(r.a, r.b) for r in links.collect()} == {(a, b) for a in range(4) for b in range(a + 1, 4)}
+
+
 def test_similar_pairs_copies_and_empty(spark):
     rows = [(i, [1, 2, 3, 4, 5, 6]) for i in range(5)]
     member, links = setjoin.similar_pairs(_sets(spark, rows))
