@@ -3,8 +3,9 @@
 1. Texts are measured in tokens of a public byte-level BPE vocabulary. Pre-tokens are found for a whole batch at once
    from character classes, hashed, and counted through a table of known pre-tokens, so the encoder sees each distinct
    pre-token once per task and whole texts are never turned into token lists.
-2. Each text is a vector (tokens, segments, loss-bearing tokens; tokens of quoted lines bear no loss). A text longer
-   than the capacity is cut into pieces of the capacity and a rest; no other text is cut.
+2. Each text is a vector (tokens, segments, loss-bearing tokens; tokens of quoted lines bear no loss). A text that is
+   above a limit is cut into pieces that each go up to the first limit they reach, and a rest; no other text is cut. A
+   piece names its first token, so tokens start to start + tokens of the encoded text are its content.
 3. Vector bin packing by the dot-product heuristic: an open context takes, of all that still fits in every dimension,
    the piece whose vector has the greatest dot product with what is left. Each task packs its own pieces; contexts
    that are less than ``full`` filled are opened again and packed together in a second round with fewer tasks, so the
@@ -142,8 +143,22 @@ class Counter:
         return self.counts[at]
 
 
-def _measurer(path: str, capacity: int, most: int = 1 << 21):
-    """(doc_id, text) -> (doc_id, piece, tokens, loss): pieces of the capacity and a rest."""
+def cuts(tokens: np.ndarray, loss: np.ndarray, capacity: int, loss_capacity: int) -> np.ndarray:
+    """First tokens of the pieces of a text, given for each pre-token how many tokens it has and whether they bear
+    loss. A piece ends where it is full in one dimension."""
+    each = np.repeat(loss, tokens)
+    borne = np.concatenate([[0], np.cumsum(each)])
+    starts = [0]
+    while True:
+        # the last token that keeps the piece within both limits; a limit on loss below one token can't hold any
+        end = min(starts[-1] + capacity, int(np.searchsorted(borne, borne[starts[-1]] + max(1, loss_capacity), "right")) - 1)
+        if end >= len(each):
+            return np.array(starts)
+        starts.append(end)
+
+
+def _measurer(path: str, capacity: int, loss_capacity: int, most: int = 1 << 21):
+    """(doc_id, text) -> (doc_id, piece, start, tokens, loss): pieces within the limits."""
 
     def run(batches):
         counter = Counter(path)
@@ -159,45 +174,47 @@ def _measurer(path: str, capacity: int, most: int = 1 << 21):
                     if not part:
                         continue
                     tokens, loss, cut, counts, bears = counter.measure(part)
-                    rows, piece, n, lb = [own], [np.zeros(len(own), np.int64)], [tokens], [loss]
-                    long_ = np.nonzero(tokens > capacity)[0]
-                    if len(long_):
-                        fits = tokens <= capacity
-                        rows, piece, n, lb = [own[fits]], [piece[0][fits]], [tokens[fits]], [loss[fits]]
-                        for r in long_.tolist():
-                            each = np.repeat(bears[cut[r] : cut[r + 1]], counts[cut[r] : cut[r + 1]])
-                            edges = np.arange(0, len(each), capacity)
-                            rows.append(np.full(len(edges), own[r]))
-                            piece.append(np.arange(len(edges)))
-                            n.append(np.diff(np.append(edges, len(each))))
-                            lb.append(np.add.reduceat(each.astype(np.int64), edges))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (rows, piece, n, lb)], names=["doc_id", "piece", "tokens", "loss"])
+                    fits = (tokens <= capacity) & (loss <= loss_capacity)
+                    zero = np.zeros(int(fits.sum()), np.int64)
+                    rows, piece, start, n, lb = [own[fits]], [zero], [zero], [tokens[fits]], [loss[fits]]
+                    for r in np.nonzero(~fits)[0].tolist():
+                        told, lossy = counts[cut[r] : cut[r + 1]], bears[cut[r] : cut[r + 1]]
+                        edges = cuts(told, lossy, capacity, loss_capacity)
+                        borne = np.concatenate([[0], np.cumsum(np.repeat(lossy, told))])
+                        rows.append(np.full(len(edges), own[r]))
+                        piece.append(np.arange(len(edges)))
+                        start.append(edges)
+                        n.append(np.diff(np.append(edges, tokens[r])))
+                        lb.append(np.diff(borne[np.append(edges, tokens[r])]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (rows, piece, start, n, lb)], names=["doc_id", "piece", "start", "tokens", "loss"])
 
     return run
 
 
 def pack(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) -> np.ndarray:
-    """The context of every piece (numbered from 0). limits: tokens, segments, loss-bearing tokens. A piece that is
-    above a limit by itself counts as the limit and so stands alone in that dimension."""
+    """The context of every piece (numbered from 0). limits: tokens, segments, loss-bearing tokens. No piece
+    is above a limit by itself (see cuts)."""
     cap, segments, loss_cap = limits
-    tokens = np.minimum(tokens, cap)
-    code = tokens.astype(np.int64) * (cap + 1) + np.minimum(loss, min(loss_cap, cap))
+    if len(tokens) and (tokens.max() > cap or loss.max() > max(1, loss_cap)):
+        raise ValueError("a piece is above a limit")
+    code = tokens.astype(np.int64) * (cap + 1) + loss
     kinds, inverse, counts = np.unique(code, return_inverse=True, return_counts=True)
     size, lossy = kinds // (cap + 1), kinds % (cap + 1)
     order = np.argsort(inverse, kind="stable")
     next_of = np.concatenate([[0], np.cumsum(counts)[:-1]])
     left = counts.copy()
     out = np.full(len(tokens), -1, np.int64)
-    weight = np.array([1 / cap, 1 / loss_cap])
+    weight = np.array([1 / cap, 1 / max(1, loss_cap), 1 / segments])
     remaining, context = len(tokens), 0
     while remaining:
-        room, room_loss, room_seg = cap, loss_cap, segments
+        room, room_loss, room_seg = cap, max(1, loss_cap), segments
         while room_seg and remaining:
             top = np.searchsorted(size, room, "right")  # classes are sorted by size
             if not top:
                 break
             ok = (left[:top] > 0) & (lossy[:top] <= room_loss)
-            score = np.where(ok, size[:top] * (weight[0] ** 2 * room) + lossy[:top] * (weight[1] ** 2 * room_loss), -1.0)
+            # every piece is one segment
+            score = np.where(ok, size[:top] * (weight[0] ** 2 * room) + lossy[:top] * (weight[1] ** 2 * room_loss) + weight[2] ** 2 * room_seg, -1.0)
             best = int(score.argmax())
             if score[best] < 0:
                 break
@@ -226,10 +243,10 @@ def _packer(limits: tuple[int, int, int], offset: int, at_most: int = 200_000):
             t = pa.Table.from_batches(rows)
             n, loss = t.column("tokens").to_numpy(), t.column("loss").to_numpy()
             where = pack(n, loss, limits)
-            filled = np.bincount(where, weights=n) if len(n) else np.zeros(0)
+            filled = np.maximum.reduce([np.bincount(where, weights=w) / most for w, most in zip((n, np.ones(len(n)), loss), limits)]) if len(n) else np.zeros(0)
             made = pa.array(where + base + done)
             done += len(filled)
-            return pa.RecordBatch.from_arrays([*(t.column(x).combine_chunks() for x in ("doc_id", "piece", "tokens", "loss")), made, pa.array(filled[where].astype(np.int64))], names=["doc_id", "piece", "tokens", "loss", "context", "filled"])
+            return pa.RecordBatch.from_arrays([*(t.column(x).combine_chunks() for x in ("doc_id", "piece", "start", "tokens", "loss")), made, pa.array(filled[where])], names=["doc_id", "piece", "start", "tokens", "loss", "context", "filled"])
 
         rows, n = [], 0
         for b in batches:
@@ -245,24 +262,46 @@ def _packer(limits: tuple[int, int, int], offset: int, at_most: int = 200_000):
     return run
 
 
-PACKED = "doc_id long, piece long, tokens long, loss long, context long, filled long"
+PACKED = "doc_id long, piece long, start long, tokens long, loss long, context long, filled double"
 
 
 def contexts(documents: DataFrame, *, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, segments: int = 64, loss_capacity: int | None = None, full: float = 0.99) -> DataFrame:
-    """(doc_id, piece, tokens, loss, context): the context of every document or piece of one."""
+    """(doc_id, piece, start, tokens, loss, context): the context of every document or piece of one. A context that is
+    ``full`` in one dimension is done after the first round."""
     limits = (capacity, segments, loss_capacity or capacity)
     work = Workspace(documents.sparkSession, "packing")
     pieces = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        _measurer(vocabulary, capacity), "doc_id long, piece long, tokens long, loss long"
+        _measurer(vocabulary, capacity, limits[2]), "doc_id long, piece long, start long, tokens long, loss long"
     )
     first = work.put(pieces.where("tokens > 0").mapInArrow(_packer(limits, 0), PACKED), "first")
-    kept = first.where(F.col("filled") >= full * capacity)
-    again = first.where(F.col("filled") < full * capacity).drop("context", "filled")
+    kept = first.where(F.col("filled") >= full)
+    again = first.where(F.col("filled") < full).drop("context", "filled")
     tasks = max(1, first.rdd.getNumPartitions() // 16)
     second = again.repartition(tasks, F.xxhash64("doc_id", "piece")).mapInArrow(_packer(limits, 1 << 30), PACKED)
     return kept.unionByName(second).drop("filled")
 
 
-def usage(packed: DataFrame, capacity: int) -> DataFrame:
-    """One row: contexts, tokens, and the share of the space that is used."""
-    return packed.agg(F.countDistinct("context").alias("n_contexts"), F.sum("tokens").alias("n_tokens")).withColumn("used", F.col("n_tokens") / (F.col("n_contexts") * capacity))
+def usage(packed: DataFrame, capacity: int, segments: int = 64, loss_capacity: int | None = None) -> DataFrame:
+    """One row: contexts, tokens, the share of the space that is used in each dimension, and the most in any context."""
+    each = packed.groupBy("context").agg(F.sum("tokens").alias("t"), F.count("*").alias("s"), F.sum("loss").alias("l"))
+    share = lambda c, most: (F.sum(c) / (F.count("*") * most))
+    return each.agg(
+        F.count("*").alias("n_contexts"), F.sum("t").alias("n_tokens"), share("t", capacity).alias("used"), share("s", segments).alias("used_segments"), share("l", loss_capacity or capacity).alias("used_loss"),
+        F.max("t").alias("most_tokens"), F.max("s").alias("most_segments"), F.max("l").alias("most_loss"),
+    )
+
+
+def faults(packed: DataFrame, capacity: int, segments: int = 64, loss_capacity: int | None = None) -> DataFrame:
+    """One row: texts that are placed, and how often a rule is broken: contexts above a limit, pieces that repeat, don't
+    follow each other or are smaller than they need to be."""
+    most = loss_capacity or capacity
+    over = packed.groupBy("context").agg(((F.sum("tokens") > capacity) | (F.count("*") > segments) | (F.sum("loss") > most)).alias("over")).agg(F.count_if("over").alias("n_over"))
+    # a piece ends at a limit, or its text does: tokens up to a last piece fill it in one dimension
+    per = packed.groupBy("doc_id").agg(
+        F.sum("tokens").alias("t"), F.count("*").alias("n"), F.max(F.col("start") + F.col("tokens")).alias("end"), F.max("piece").alias("last"), F.countDistinct("piece").alias("kinds"),
+        F.sum((F.greatest(F.col("tokens") / capacity, F.col("loss") / most) < 1).cast("int")).alias("short"),
+    )
+    bad = (F.col("end") != F.col("t")) | (F.col("kinds") != F.col("n")) | (F.col("last") + 1 != F.col("n")) | (F.col("short") > 1)
+    told = per.agg(F.count("*").alias("n_texts"), F.count_if(bad).alias("n_badly_cut")).withColumn("n_over", F.lit(0).cast("bigint"))
+    both = told.unionByName(over.select(F.lit(0).cast("bigint").alias("n_texts"), F.lit(0).cast("bigint").alias("n_badly_cut"), "n_over"))
+    return both.agg(*(F.sum(c).alias(c) for c in both.columns))

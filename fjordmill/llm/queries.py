@@ -97,6 +97,11 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked passages: where each begins in the document and in the item, in words, and how long it is."""
+    return leakage.passages(table(spark, d, "documents"), table(spark, d, "eval_items"), run=12)
+
+
 # ---- 7: clusters -----------------------------------------------------------------------------------------------
 
 
@@ -144,12 +149,36 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
     return os.path.join(os.environ.get("FJORDMILL_TOKENIZERS", "/opt/tokenizers"), name)
 
 
+#: Segments of a context.
+SEGMENTS = 24
+#: Narrower limits, all of which bind: (segments, loss-bearing tokens).
+NARROW = (12, 1024)
+
+
 def p8_contexts(spark: SparkSession, d: str) -> DataFrame:
-    return packing.contexts(table(spark, d, "documents"), vocabulary=vocabulary(), capacity=CAPACITY)
+    """Contexts of the capacity; a text's loss is part of its tokens, so a limit on it below would leave space unused."""
+    return packing.contexts(table(spark, d, "documents"), vocabulary=vocabulary(), capacity=CAPACITY, segments=SEGMENTS)
 
 
 def p8_usage(spark: SparkSession, d: str) -> DataFrame:
-    return packing.usage(p8_contexts(spark, d), CAPACITY)
+    return packing.usage(p8_contexts(spark, d), CAPACITY, SEGMENTS)
+
+
+def p8_faults(spark: SparkSession, d: str) -> DataFrame:
+    return packing.faults(p8_contexts(spark, d), CAPACITY, SEGMENTS)
+
+
+def p8_instructions(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts under limits on tokens, segments and loss-bearing tokens, all of which bind."""
+    return packing.contexts(table(spark, d, "documents"), vocabulary=vocabulary(), capacity=CAPACITY, segments=NARROW[0], loss_capacity=NARROW[1])
+
+
+def p8_instructions_usage(spark: SparkSession, d: str) -> DataFrame:
+    return packing.usage(p8_instructions(spark, d), CAPACITY, *NARROW)
+
+
+def p8_instructions_faults(spark: SparkSession, d: str) -> DataFrame:
+    return packing.faults(p8_instructions(spark, d), CAPACITY, *NARROW)
 
 
 # ---- 10: personal information ----------------------------------------------------------------------------------
@@ -165,7 +194,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return privacy.redacted(documents, privacy.fit(documents, table(spark, d, "name_list")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_by_day, p6_found, p6_splits, p6_usage, p7_found, p7_conditions, p7_ward, p8_contexts, p8_usage, p9_found, p9_items, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_by_day, p6_found, p6_splits, p6_usage, p7_found, p7_conditions, p7_ward, p8_contexts, p8_usage, p8_faults, p8_instructions, p8_instructions_usage, p8_instructions_faults, p9_found, p9_items, p9_passages, p10_found, p10_redacted)}
 _LINKED_SQL = """
 WITH RECURSIVE once AS (SELECT pose_key, min(condition_id) AS g, arg_max(ifp_lpmo_bitvector, loaded_at) FILTER (ifp_lpmo_bitvector IS NOT NULL) AS v FROM cbm_analysis_result GROUP BY pose_key),
 tok AS (SELECT g, pose_key AS k, i FROM (SELECT g, pose_key, unnest(v) AS b, generate_subscripts(v, 1) AS i FROM once) WHERE b <> 0),
@@ -203,7 +232,13 @@ SELECT s.f AS set_field, s.k AS pose_key, s.class_key, coalesce(n.n_links, 0) AS
     "p7_found": _LINKED_SQL + """
 SELECT a AS pose_key, min(b) AS cluster_key FROM (SELECT a, b FROM reach UNION SELECT a, a FROM link) GROUP BY a HAVING count(DISTINCT b) >= 4""",
     "p9_found": _LEAK_SQL + "SELECT doc_id, item_id FROM hit",
+    "p9_passages": "WITH d AS (SELECT doc_id, " + _WORDS_SQL.format("text") + " AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, " + _WORDS_SQL.format("text") + """ AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, i, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+eg AS (SELECT item_id, j, array_to_string(w[j : j + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS j FROM e)),
+met AS (SELECT doc_id, item_id, i, j, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS island FROM dg JOIN eg USING (g))
+SELECT doc_id, item_id, min(i) - 1 AS doc_word, min(j) - 1 AS item_word, count(*) + 11 AS n_words FROM met GROUP BY doc_id, item_id, i - j, island""",
     "p9_items": _LEAK_SQL + "SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM hit GROUP BY item_id",
+    **dict.fromkeys(("p8_faults", "p8_instructions_faults"), "SELECT count(*) AS n_texts, 0 AS n_badly_cut, 0 AS n_over FROM documents WHERE text <> ''"),
     "p6_found": """
 WITH RECURSIVE held AS (
   SELECT DISTINCT prediction_id AS p, e FROM (

@@ -57,6 +57,35 @@ def test_leaks_match_brute_force(spark):
     assert leakage.leaks(_docs(spark, docs), _items(spark, [None])).count() == 0
 
 
+def _brute_passages(docs, items, run):
+    out = set()
+    for d, t in enumerate(docs):
+        for i, u in enumerate(items):
+            a, b = _words(t), _words(u)
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    if a[x] == b[y] and (x == 0 or y == 0 or a[x - 1] != b[y - 1]):
+                        n = 0
+                        while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                            n += 1
+                        if n >= run:
+                            out.add((d, i, x, y, n))
+    return out
+
+
+@pytest.mark.parametrize("hot", [50_000, 3])
+def test_passages_of_any_length(spark, monkeypatch, hot):
+    monkeypatch.setattr(leakage, "HOT", hot)  # 3: frequent fingerprints are divided
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(500)]
+    items = [" ".join(rnd.choices(words, k=n)) for n in (12, 40, 300)] + ["a b " * 30, "short"]
+    docs = [" ".join([*rnd.choices(words, k=5), *items[k].split()[a : a + n], *rnd.choices(words, k=4), *items[1].split()[3:20]]) for k, a, n in ((2, 10, 250), (2, 0, 300), (1, 5, 11), (1, 5, 12), (0, 0, 12))] + ["b " + "a b " * 15, ""]
+    docs += [items[2]] * 5
+    got = [tuple(r) for r in leakage.passages(_docs(spark, docs), _items(spark, items), run=12).select("doc_id", "item_id", "doc_word", "item_word", "n_words").collect()]
+    assert len(got) == len(set(got)) and set(got) == _brute_passages(docs, items, 12)
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(_docs(spark, docs), _items(spark, items)).collect()} == {g[:2] for g in got}
+
+
 def test_winnowing_keeps_one_per_window():
     h = np.random.default_rng(1).integers(0, 50, 300).astype(np.uint64)
     row = np.repeat([0, 1], [150, 150])
@@ -81,36 +110,54 @@ def test_token_counts_equal_the_encoder():
 def test_pack_respects_all_limits():
     rng = np.random.default_rng(3)
     tokens = rng.integers(1, 101, 3000)
-    loss = (tokens * rng.random(3000)).astype(int)
+    loss = np.minimum((tokens * rng.random(3000)).astype(int), 60)
     where = packing.pack(tokens, loss, (100, 6, 60))
     assert (where >= 0).all()
-    for w, cap in ((tokens, 100), (np.ones(3000), 6)):
+    for w, cap in ((tokens, 100), (np.ones(3000), 6), (loss, 60)):
         assert np.bincount(where, weights=w).max() <= cap
-    assert np.bincount(where, weights=np.minimum(loss, 60)).max() <= 60
     where = packing.pack(tokens, np.zeros(3000, int), (100, 100, 100))
     assert tokens.sum() / 100 / (where.max() + 1) > 0.98
+    with pytest.raises(ValueError):
+        packing.pack(tokens, loss + 61, (100, 6, 60))
+
 
+def test_cuts_end_at_the_first_limit():
+    rng = np.random.default_rng(9)
+    for cap, most in ((50, 20), (50, 50), (7, 1), (5, 0)):
+        told, lossy = rng.integers(1, 6, 200), rng.random(200) < 0.5
+        each = np.repeat(lossy, told)
+        starts = packing.cuts(told, lossy, cap, most).tolist()
+        for a, b in zip(starts, [*starts[1:], len(each)]):
+            assert 0 < b - a <= cap and each[a:b].sum() <= max(1, most)
+            assert b == len(each) or b - a == cap or each[a : b + 1].sum() > max(1, most)
 
-def test_contexts_whole_and_full(spark):
+
+@pytest.mark.parametrize("loss_capacity", [None, 20])
+def test_contexts_whole_and_full(spark, loss_capacity):
     rnd = random.Random(2)
-    texts = [" ".join(rnd.choices(["alpha", "beta", "> gamma\n", "delta"], k=rnd.randint(0, 60))) for _ in range(300)] + [None, "", "word " * 500, "word " * 500]
-    packed = packing.contexts(_docs(spark, texts), vocabulary=VOCABULARY, capacity=64, segments=8)
+    texts = [" ".join(rnd.choices(["alpha", "beta", "> gamma\n", "delta"], k=rnd.randint(0, 60))) for _ in range(300)] + [None, "", "word " * 500, "word " * 500, "> " + "word " * 300 + "\n" + "漢字" * 90]
+    packed = packing.contexts(_docs(spark, texts), vocabulary=VOCABULARY, capacity=64, segments=8, loss_capacity=loss_capacity)
     rows = packed.collect()
     c = packing.Counter(VOCABULARY)
-    want = {i: len(c.encoding.encode_ordinary(t)) for i, t in enumerate(texts) if t}
+    codes = {i: c.encoding.encode_ordinary(t) for i, t in enumerate(texts) if t}
     got = {}
-    for r in rows:
-        got[r.doc_id] = got.get(r.doc_id, 0) + r.tokens
-    assert got == {i: n for i, n in want.items() if n}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        got.setdefault(r.doc_id, []).extend(codes[r.doc_id][r.start : r.start + r.tokens])
+    assert got == {i: n for i, n in codes.items() if n}
     assert len({(r.doc_id, r.piece) for r in rows}) == len(rows)
     per = {}
     for r in rows:
-        a = per.setdefault(r.context, [0, 0])
+        a = per.setdefault(r.context, [0, 0, 0])
         a[0] += r.tokens
         a[1] += 1
-    assert all(t <= 64 and n <= 8 for t, n in per.values())
-    assert all(r.piece == 0 for r in rows if want[r.doc_id] <= 64)
-    assert packing.usage(packed, 64).first().used > 0.9
+        a[2] += r.loss
+    assert all(t <= 64 and n <= 8 and k <= (loss_capacity or 64) for t, n, k in per.values())
+    if not loss_capacity:
+        assert all(r.piece == 0 for r in rows if len(codes[r.doc_id]) <= 64)
+    told = packing.usage(packed, 64, 8, loss_capacity).first()
+    assert (told.used_loss if loss_capacity else told.used) > 0.9 and told.n_tokens == sum(map(len, codes.values()))
+    bad = packing.faults(packed, 64, 8, loss_capacity).first()
+    assert (bad.n_texts, bad.n_badly_cut, bad.n_over) == (len([1 for x in codes.values() if x]), 0, 0)
     assert packing.contexts(_docs(spark, texts).limit(0), vocabulary=VOCABULARY).count() == 0
 
 
