@@ -37,10 +37,12 @@ def p4_by_day(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pose_sets(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "cbm_analysis_result")
-    bits = rows.select(F.lit("ifp_lpmo_bitvector").alias("field"), F.col("pose_key").alias("id"), setjoin.on_positions(F.col("ifp_lpmo_bitvector")).alias("tokens"), "loaded_at")
-    labels = rows.select(F.lit("lpmo_contact_residues").alias("field"), F.col("pose_key").alias("id"), setjoin.label_set(F.col("lpmo_contact_residues")).alias("tokens"), "loaded_at")
-    return bits.unionByName(labels).groupBy("field", "id").agg(F.max_by("tokens", F.when(F.col("tokens").isNotNull(), F.col("loaded_at"))).alias("tokens"))
+    """Both sets of every pose, each from its latest delivery that has one."""
+    rows = setjoin.on_positions(table(spark, d, "cbm_analysis_result").select("pose_key", "ifp_lpmo_bitvector", "lpmo_contact_residues", "loaded_at"), "ifp_lpmo_bitvector")
+    both = rows.select(F.col("pose_key").alias("id"), F.col("ifp_lpmo_bitvector").alias("bits"), setjoin.label_set(F.col("lpmo_contact_residues")).alias("labels"), "loaded_at")
+    once = both.groupBy("id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("loaded_at"))).alias(c) for c in ("bits", "labels")))
+    each = F.explode(F.array(F.struct(F.lit("ifp_lpmo_bitvector").alias("field"), F.col("bits").alias("tokens")), F.struct(F.lit("lpmo_contact_residues").alias("field"), F.col("labels").alias("tokens")))).alias("s")
+    return once.select("id", each).select("s.field", "id", "s.tokens")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +108,7 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "cbm_analysis_result").select("pose_key", "condition_id", setjoin.on_positions(F.col("ifp_lpmo_bitvector")).alias("tokens"), "loaded_at")
+    rows = setjoin.on_positions(table(spark, d, "cbm_analysis_result").select("pose_key", "condition_id", F.col("ifp_lpmo_bitvector").alias("tokens"), "loaded_at"), "tokens")
     once = rows.groupBy(F.col("pose_key").alias("id")).agg(F.max_by("tokens", F.when(F.col("tokens").isNotNull(), F.col("loaded_at"))).alias("tokens"), F.min("condition_id").alias("grp"))
     return once.select("grp", "id", "tokens")
 

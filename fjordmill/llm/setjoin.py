@@ -8,7 +8,7 @@ first ``|A| - ceil(s |A|) + c`` tokens of A and the like of B (their c-prefixes)
   DEEPEST tokens. The c first common tokens of a pair are a subset of both, for every c, so no pair is lost.
 - A large set (whose 2-prefix has more than SUBSETS pairs) is scanned through inverted lists of single tokens; every set
   that can be similar to a large set puts the tokens of its prefix into these lists too.
-The union of both is filtered: by the sizes, by an upper bound of the overlap from 128-bit signatures, and by the exact
+The union of both is filtered: by the sizes, by upper bounds of the overlap from two signatures of 64 bits, and by the exact
 similarity, all where the sets meet: a row carries its tokens. Of all keys that a pair shares only that of its first
 common tokens makes the pair, so none comes twice.
 
@@ -28,6 +28,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from fjordmill.session import Workspace
 #: Tokens whose frequency is looked up; the others are rarer than any of these and ordered by hash.
 HEAVY = 20_000
 #: Rows of one key that are compared with each other in one task.
-BLOCK = 4096
+BLOCK = 16384
 #: Pairs of a prefix from which a set counts as large.
 SUBSETS = 96
 #: Tokens of the largest subsets.
@@ -45,10 +46,28 @@ MOST_SLOTS = 1 << 27
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def on_positions(bits: Column) -> Column:
-    """Bit vector -> set of the positions that are on; null elements are off."""
-    on = F.transform(bits, lambda x, i: F.when(F.coalesce(x != 0, F.lit(False)), i.cast("bigint")))
-    return F.array_compact(on)
+def _positions(column: int):
+    def run(batches):
+        for b in batches:
+            lists = b.column(column)
+            lists = pa.concat_arrays([lists])
+            off = lists.offsets.to_numpy().astype(np.int64)
+            flat = pc.fill_null(lists.values, 0).to_numpy(zero_copy_only=False)[off[0] : off[-1]]
+            off = off - off[0]
+            at = np.nonzero(flat)[0]
+            row = np.searchsorted(off[1:], at, "right")
+            cut = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(lists)))]).astype(np.int32), mask=np.append(pc.is_null(lists).to_numpy(zero_copy_only=False), False))
+            tokens = pa.ListArray.from_arrays(cut, pa.array((at - off[row]).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([tokens if k == column else b.column(k) for k in range(b.num_columns)], names=b.schema.names)
+
+    return run
+
+
+def on_positions(df: DataFrame, column: str) -> DataFrame:
+    """The bit vectors of a column become the sets (array<long>) of the positions that are on, over whole Arrow batches;
+    null elements are off, a null vector stays null."""
+    schema = ", ".join(f"`{f.name}` {'array<long>' if f.name == column else f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(_positions(df.columns.index(column)), schema)
 
 
 def label_set(labels: Column) -> Column:
@@ -82,11 +101,9 @@ def _order(flat: np.ndarray, heavy: dict | None) -> np.ndarray:
 
 
 def signatures(tokens: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two words: the 128-bit signatures of sets that lie one after the other (none is empty)."""
-    bit = _mix(tokens.view(np.uint64)) >> np.uint64(57)
-    one = np.uint64(1) << (bit & np.uint64(63))
-    high = bit >= 64
-    return tuple(np.bitwise_or.reduceat(np.where(high == h, one, np.uint64(0)), off[:-1]) for h in (False, True))
+    """Two words of 64 bits each of sets that lie one after the other (none is empty): a bit per token by two hashes."""
+    h = _mix(tokens.view(np.uint64))
+    return tuple(np.bitwise_or.reduceat(np.uint64(1) << ((h >> np.uint64(k)) & np.uint64(63)), off[:-1]) for k in (58, 40))
 
 
 def _key(sums: np.ndarray, field: np.ndarray, level: int | np.ndarray) -> np.ndarray:
@@ -252,9 +269,9 @@ def _pairs(s: float):
         sig = [x[order] for x in signatures(tokens, off)]
         off, sizes, run_id = off[:-1][order], sizes[order], run_id[order]
         bounds = np.concatenate([[0], np.nonzero(run_id[1:] != run_id[:-1])[0] + 1, [len(ids)]])
-        spare = sizes - np.bitwise_count(sig[0]) - np.bitwise_count(sig[1])
-        # what i needs at least from any partner; a token of the overlap that the signatures don't show is spare in both
-        floor = np.clip(np.ceil(s * sizes - 1e-9) - spare, 0, 255).astype(np.uint8)
+        # all but so many tokens of i are in any partner, and so are all but so many bits
+        bits = [np.bitwise_count(x).astype(np.int64) for x in sig]
+        floor = np.clip(bits[0] - (sizes - np.ceil(s * sizes - 1e-9).astype(np.int64)), 0, 64).astype(np.uint8)
         large = np.array([is_large(x, s) for x in range(int(sizes.max()) + 1)])[sizes]
         level = (key & 7).astype(np.int64)
         hits = []
@@ -263,23 +280,22 @@ def _pairs(s: float):
             need = np.ceil(s / (1 + s) * (sizes[i] + sizes[j]) - 1e-9)
             ok = (np.minimum(sizes[i], sizes[j]) >= s * np.maximum(sizes[i], sizes[j]) - 1e-9) & ((side[i] == 0) | (side[i] != side[j])) & (ids[i] != ids[j])
             ok &= (level[i] > 0) | large[i] | large[j]
-            common = np.bitwise_count(sig[0][i] & sig[0][j]).astype(np.int64) + np.bitwise_count(sig[1][i] & sig[1][j])
-            ok &= common + np.minimum(spare[i], spare[j]) >= need
+            for word, n in zip(sig, bits):
+                common = np.bitwise_count(word[i] & word[j])
+                ok &= (common >= n[i] - (sizes[i] - need)) & (common >= n[j] - (sizes[j] - need))
             if ok.any():
                 hits.append((i[ok], j[ok]))
 
         for i, j in _index_pairs(bounds, 24):
-            common = np.bitwise_count(sig[0][i] & sig[0][j]) + np.bitwise_count(sig[1][i] & sig[1][j])
-            ok = common >= floor[i]
+            ok = np.bitwise_count(sig[0][i] & sig[0][j]) >= floor[i]
             keep(i[ok], j[ok])
         for r in np.nonzero(np.diff(bounds) > 24)[0]:
             lo, hi = int(bounds[r]), int(bounds[r + 1])
             for x in range(lo, hi, 128):
                 y = min(x + 128, hi)
                 end = lo + int(np.searchsorted(sizes[lo:hi], int(sizes[y - 1] / s + 1e-9), "right"))
-                common = np.bitwise_count(sig[0][x:y, None] & sig[0][None, x:end])
-                common += np.bitwise_count(sig[1][x:y, None] & sig[1][None, x:end])
-                i, j = np.nonzero(common >= floor[x:y, None])
+                flat = np.flatnonzero((np.bitwise_count(sig[0][x:y, None] & sig[0][None, x:end]) >= floor[x:y, None]).ravel())
+                i, j = flat // (end - x), flat % (end - x)
                 up = i < j
                 keep(i[up] + x, j[up] + x)
         if not hits:
@@ -385,11 +401,14 @@ def similar_pairs(sets: DataFrame, *, similarity: float = 0.8, least: int = 6, d
     """
     work = work or Workspace(sets.sparkSession, "setjoin")
     usable = work.put(sets.where("id is not null and field is not null").where(F.size("tokens") >= max(1, least)).select("field", "id", F.array_sort("tokens").alias("tokens")), "sets")
-    named = work.put(usable.groupBy("field", "tokens").agg(F.min("id").alias("class")), "classes")
-    member = work.put(usable.join(named, ["field", "tokens"]).select("field", "id", "class"), "member")
+    # equal sets are found by 128 bits of hash, so copies are combined before the shuffle
+    hashed = usable.withColumns({"h": F.xxhash64("tokens"), "g": F.xxhash64(F.lit(1), "tokens")})
+    named = hashed.groupBy("field", "h", "g").agg(F.min("id").alias("class"))
+    both = work.put(hashed.join(named, ["field", "h", "g"]).select("field", "id", "class", "tokens"), "classes")
+    member, named = both.select("field", "id", "class"), both.where("id = class").drop("class")
     # any two similar sets share that many tokens
     deepest = max(1, min(deepest, ceil(similarity * max(1, least) - 1e-9)))
-    links = class_pairs(named.select("field", F.col("class").alias("id"), "tokens"), similarity, deepest, work)
+    links = class_pairs(named, similarity, deepest, work)
     return member, work.put(links, "links")
 
 

@@ -76,8 +76,9 @@ def test_similar_pairs_copies_and_empty(spark):
 
 def test_tokens(spark):
     df = spark.createDataFrame([([1, 0, None, 1], ["A ", " a", None, "b", ""]), (None, None), ([], [])], "v array<tinyint>, l array<string>")
-    r = df.select(setjoin.on_positions(F.col("v")).alias("v"), F.size(setjoin.label_set(F.col("l"))).alias("n")).collect()
+    r = setjoin.on_positions(df, "v").select("v", F.size(setjoin.label_set(F.col("l"))).alias("n")).collect()
     assert [x.v for x in r] == [[0, 3], None, []] and r[0].n == 2 and r[2].n == 0
+    assert [x.v for x in setjoin.on_positions(df.union(df).coalesce(1), "v").collect()] == [[0, 3], None, []] * 2
 
 
 GEO = "condition_id string, pose_key long, day string, v double, n int, value double"
