@@ -1,15 +1,17 @@
 """References to records that do not exist.
 
 Parent records carry a key and a span of time in which they exist. A key is turned into an integer, and a parent
-record covers the integers (key, instant) from its start to its end. Sorted, these integers compress into
-contiguous runs: overlapping or repeated spans of one key become one run. A reference is the integer
+record covers the integers (key, instant) from its start to its end. Sorted, these integers are compressed into
+contiguous runs: spans of one key that overlap, repeat or follow each other become one run (keys that exist without
+time, see missing(), are such integers themselves: a stretch of neighbouring keys is one run). A reference is the integer
 (key, instant of the reference); it is matched as-of to the run with the greatest start at or before it and is an
 orphan if it lies beyond that run's end.
 
-Runs and references are range-partitioned and sorted together, so a key that holds a third of all rows is spread
-over several partitions like any other stretch of integers. What a partition has to know of the ones before it is
-one row per partition (its last key and the end of that key's run), which is joined back by broadcast: its size is
-the number of partitions, whatever the data.
+Spans are range-partitioned and sorted to find the runs, and runs and references again to match them, so a key that
+holds a third of all rows is spread over several partitions like any other stretch of integers. A run that reaches over
+the border of a partition stays in two parts, which changes no match. What a partition of the match has to know of the
+ones before it is one row per partition (its last key and the end of that key's run), which is joined back by broadcast:
+its size is the number of partitions, whatever the data.
 
 Edge cases: a null or placeholder reference is no reference; a reference that has no key form but is not blank is
 an orphan; a reference without an instant is an orphan unless its key has an endless run; a parent without a start
@@ -44,8 +46,48 @@ def accessions(text: Column) -> Column:
 
 
 def integer_key(key: Column) -> Column:
-    """Letters and digits read as a number to the base 36; twelve characters at most fit a long."""
-    return F.conv(key, 36, 10).cast("bigint")
+    """Keys of at most twelve letters and digits read as a number to the base 36; any other key by a 64-bit hash, which
+    is negative, so the two kinds don't meet."""
+    short = F.upper(F.trim(key)).rlike("^[A-Z0-9]{1,12}$")
+    return F.when(short, F.conv(F.substring(F.trim(key), 1, 12), 36, 10).cast("bigint")).otherwise(F.when(key.isNotNull(), F.xxhash64(key).bitwiseOR(F.lit(-(2**63)))))
+
+
+def _latest(group: np.ndarray, end: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Running maximum of ``end`` within the groups (numbered 0, 1, ... in order) over the rows in use; the least long
+    where there is none yet."""
+    values, rank = np.unique(end, return_inverse=True)
+    base = group.astype(np.int64) * (len(values) + 1)
+    top = np.maximum.accumulate(base + np.where(use, rank + 1, 0)) - base
+    return np.where(top > 0, values[np.maximum(top - 1, 0)], np.iinfo(np.int64).min)
+
+
+def _merge(batches):
+    """Spans sorted by key, at -> the runs they make up."""
+    held = None  # the run that may go on: key, start, end
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, at, end = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if held is not None:
+            key, at, end = np.append(held[0], key), np.append(held[1], at), np.append(held[2], end)
+        new_key = np.concatenate([[True], key[1:] != key[:-1]])
+        latest = _latest(np.cumsum(new_key) - 1, end, np.ones(len(key), bool))
+        new = new_key.copy()
+        new[1:] |= at[1:] - 1 > latest[:-1]
+        starts = np.nonzero(new)[0]
+        ends = np.append(starts[1:], len(key)) - 1
+        rows = key[starts], at[starts], latest[ends]
+        held = tuple(x[-1] for x in rows)
+        if len(starts) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in rows], names=["key", "at", "end"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held], names=["key", "at", "end"])
+
+
+def runs(parents: DataFrame, partitions: int) -> DataFrame:
+    """(key, at, end): contiguous runs of the integers that the spans (key, at, end long; both ends belong to it) cover."""
+    spans = parents.where("key is not null and at is not null and end >= at").groupBy("key", "at").agg(F.max("end").alias("end"))
+    return spans.repartitionByRange(partitions, "key", "at").sortWithinPartitions("key", "at").mapInArrow(_merge, "key long, at long, end long")
 
 
 def _match(batches):
@@ -63,11 +105,7 @@ def _match(batches):
         if first_key is None:
             first_key = key[0]
         group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        spans, rank = np.unique(end, return_inverse=True)
-        reach = group.astype(np.int64) * (len(spans) + 1) + np.where(kind == 0, rank + 1, 0)
-        top = np.maximum.accumulate(np.maximum(reach, group.astype(np.int64) * (len(spans) + 1)))
-        top = top - group.astype(np.int64) * (len(spans) + 1)
-        latest = np.where(top > 0, spans[np.maximum(top - 1, 0)], np.iinfo(np.int64).min)
+        latest = _latest(group, end, kind == 0)
         if cur_key is not None and cur_key == key[0]:
             latest = np.where(group == 0, np.maximum(latest, cur_end), latest)
         cur_key, cur_end = key[-1], latest[-1]
@@ -88,8 +126,7 @@ def _match(batches):
 def unmatched(refs: DataFrame, parents: DataFrame, partitions: int) -> DataFrame:
     """refs: key, at long, ref string (an id that comes out again). parents: key, at, end long (end is the last
     instant covered). The ref of each reference beyond the end of its preceding run."""
-    runs = parents.where("key is not null and at is not null and end >= at").groupBy("key", "at").agg(F.max("end").alias("end"))
-    events = runs.select("key", "at", F.lit(0).alias("kind"), "end", F.lit(None).cast("string").alias("ref")).unionByName(
+    events = runs(parents, partitions).select("key", "at", F.lit(0).alias("kind"), "end", F.lit(None).cast("string").alias("ref")).unionByName(
         refs.select("key", "at", F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("end"), "ref")
     )
     ordered = events.repartitionByRange(partitions, "key", "at").sortWithinPartitions("key", "at", "kind")
@@ -102,17 +139,28 @@ def unmatched(refs: DataFrame, parents: DataFrame, partitions: int) -> DataFrame
     return misses.join(F.broadcast(carry), saved, "left_anti").select("ref")
 
 
-def orphans(tables: dict[str, tuple[DataFrame, str]], parents: DataFrame, *, row_id: str = "row_id", at: str = "recorded_at", partitions: int | None = None) -> DataFrame:
+def missing(rows: DataFrame, column: str, parents: DataFrame, parent_column: str, *, row_id: str = "row_id", partitions: int | None = None) -> DataFrame:
+    """(row_id) of the rows whose integer reference is none of the parents' keys, at whatever time. Null references are
+    no reference."""
+    partitions = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.lit(0).cast("bigint").alias("key")
+    spans = parents.select(key, F.col(parent_column).cast("bigint").alias("at"), F.col(parent_column).cast("bigint").alias("end"))
+    refs = rows.where(F.col(column).isNotNull()).select(key, F.col(column).cast("bigint").alias("at"), F.col(row_id).cast("string").alias("ref"))
+    return unmatched(refs, spans, partitions).select(F.col("ref").cast("bigint").alias("row_id")).distinct()
+
+
+def orphans(tables: dict[str, tuple[DataFrame, str]], parents: DataFrame, *, row_id: str = "row_id", at: str = "recorded_at", partitions: int | None = None, key=accession) -> DataFrame:
     """(ref_table, row_id, at) of the rows whose reference resolves to no parent.
 
-    tables: name -> (rows, the reference column). parents: accession string, starts, ends timestamp (null: no end).
+    tables: name -> (rows, the reference column). parents: accession string (the key), starts, ends timestamp (null: no
+    end). ``key`` makes the key, of any form and length, from a column of references; null where there is none.
     """
     spark = parents.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = None
     for name, (df, column) in tables.items():
         one = df.where(~is_placeholder(F.col(column))).select(
-            F.lit(name).alias("ref_table"), F.col(row_id).cast("bigint").alias("row_id"), F.col(at).cast("timestamp").alias("at_ts"), accession(F.col(column)).alias("acc")
+            F.lit(name).alias("ref_table"), F.col(row_id).cast("bigint").alias("row_id"), F.col(at).cast("timestamp").alias("at_ts"), key(F.col(column)).alias("acc")
         )
         every = one if every is None else every.unionByName(one)
     coded = every.select("ref_table", "row_id", "at_ts", integer_key(F.col("acc")).alias("key"), F.coalesce(F.unix_micros("at_ts"), F.lit(ENDLESS)).alias("at"))

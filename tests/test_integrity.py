@@ -41,6 +41,31 @@ def test_orphans_empty(spark):
     assert _run(spark, [(A, T(1))], []) == {0}
 
 
+def test_runs_are_merged(spark):
+    E = orphans.ENDLESS
+    rows = [(1, 1, 3), (1, 2, 9), (1, 10, 12), (1, 14, 20), (1, 14, 15), (2, 5, E), (2, 7, 8), (3, 4, 3), (None, 1, 2), (4, None, 2), (5, -3, -1), (5, 0, 0)] + [(9, k, k) for k in range(1000)]
+    df = spark.createDataFrame(rows, "key long, at long, end long")
+    got = lambda n: sorted(tuple(r) for r in orphans.runs(df, n).collect())
+    want = [(1, 1, 12), (1, 14, 20), (2, 5, E), (5, -3, 0), (9, 0, 999)]
+    assert got(1) == want
+    assert len(got(8)) < len(want) + 8  # a border may leave a run in two parts
+    assert orphans.runs(df.limit(0), 2).count() == 0
+
+
+def test_missing_integer_keys(spark):
+    parents = spark.createDataFrame([(k,) for k in [*range(100, 5000), *range(7000, 7010), None, 100]], "id long")
+    refs = spark.createDataFrame([(i, k) for i, k in enumerate([99, 100, 4999, 5000, 7009, 7010, None, -5, 2**62])], "row_id long, to long")
+    for n in (1, 7):
+        assert sorted(r.row_id for r in orphans.missing(refs, "to", parents, "id", partitions=n).collect()) == [0, 3, 5, 7, 8]
+
+
+def test_keys_of_any_length(spark):
+    keys = ["AB", "ab ", "A" * 12, "A" * 13, "a-b-c", "x" * 5000, ""]
+    p = spark.createDataFrame([(k, T(1), None, "clash") for k in keys[2:6]], PAR)
+    r = spark.createDataFrame([(i, k, T(2), "x", 1, "y") for i, k in enumerate(keys)], REF)
+    assert {x.row_id for x in orphans.orphans({"t": (r, "protein_id")}, p, partitions=3, key=lambda c: c).collect()} == {0, 1}
+
+
 @pytest.mark.parametrize(
     "text,items",
     [
