@@ -4,14 +4,16 @@
    (stream, file, parent, field, type) it holds, so what is shuffled grows with files and fields, not with records.
 2. Types fold through a promotion lattice, within a file and over all files:
    null < boolean, number < string < array (a value can always be written as text, and text as a list of one).
-3. Records are cast to the union schema in one narrow pass. A renamed field keeps a column under each of its names;
-   latest_names() leads from one to the next.
-4. The ordered differences of each file against the preceding one of its stream are logged.
+3. The ordered differences of each file against the preceding one of its stream are logged.
+4. Names that a rename joins, in whatever stream, are one column: that of the name which most streams end with (then the
+   one in most files, then the least). Only where a file has two of the names at once do they stay apart.
+5. Records are cast to the union schema in one narrow pass; numbers that are whole in all files stay whole.
 
 Edge cases: a payload that is null, broken, or no object is unreadable and gives nothing; a file without a readable
 record still counts as a file, without fields; NaN and Infinity are no JSON; of a key that an object has twice the
 last value holds; an empty object is no field, an empty array is one; a null value doesn't make a file have a field;
-a file delivered twice is one file; keys may hold any characters (a dot in a key reads as one more level in the
+a file delivered twice is one file, and a line delivered twice one record (the first to be loaded, ties by
+record id; rows without a line number are all kept); keys may hold any characters (a dot in a key reads as one more level in the
 path); rows with a null stream or file number are left out; an empty table gives no changes and no records.
 """
 
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fjordmill.session import Workspace
+
 #: Order in the lattice. Two different types below string promote to string; array is the top.
 RANK = {"boolean": 1, "number": 1, "string": 2, "array": 3}
 
@@ -58,6 +62,11 @@ def kind(value) -> str:
     return "array" if isinstance(value, list) else "string"
 
 
+def whole(value) -> bool:
+    """A number without a fraction that a long holds."""
+    return isinstance(value, int) and not isinstance(value, bool) and -(2**63) <= value < 2**63
+
+
 def fields(record: dict):
     """(parent path, name, value) of every value that is not an object; walked without recursion."""
     todo = [("", record)]
@@ -78,10 +87,10 @@ def _headers(batches):
             record = readable(payload)
             for parent, name, value in fields(record) if record else ():
                 if value is not None:
-                    seen.add((stream, seq, parent, name, kind(value)))
-        cols = list(zip(*seen)) or [(), (), (), (), ()]
+                    seen.add((stream, seq, parent, name, kind(value), whole(value)))
+        cols = list(zip(*seen)) or [()] * 6
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.string()) for c in cols[2:])], names=["stream_id", "file_seq", "parent", "name", "type"]
+            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.string()) for c in cols[2:5]), pa.array(cols[5], pa.bool_())], names=["stream_id", "file_seq", "parent", "name", "type", "whole"]
         )
 
 
@@ -92,16 +101,17 @@ def lattice_type(types):
 
 
 def file_schemas(records: DataFrame) -> DataFrame:
-    """(stream_id, file_seq, parent, field_path, type), one row per file and field."""
+    """(stream_id, file_seq, parent, field_path, type, whole), one row per file and field."""
     narrow = records.where("stream_id is not null and file_seq is not null").select("stream_id", F.col("file_seq").cast("bigint"), F.col("payload").cast("string"))
-    found = narrow.mapInArrow(_headers, "stream_id string, file_seq long, parent string, name string, type string")
+    found = narrow.mapInArrow(_headers, "stream_id string, file_seq long, parent string, name string, type string, whole boolean")
     path = F.when(F.col("parent") == "", F.col("name")).otherwise(F.concat_ws(".", "parent", "name"))
-    return found.groupBy("stream_id", "file_seq", "parent", path.alias("field_path")).agg(lattice_type(F.col("type")).alias("type"))
+    return found.groupBy("stream_id", "file_seq", "parent", path.alias("field_path")).agg(lattice_type(F.col("type")).alias("type"), F.bool_and("whole").alias("whole"))
 
 
 def changes(records: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
-    """(stream_id, file_seq, field_path, change, renamed_from) against the preceding file of the stream."""
-    schemas = file_schemas(records) if schemas is None else schemas
+    """(stream_id, file_seq, field_path, change, renamed_from) against the preceding file of the stream. The schemas are
+    used twice, so they are written first where they aren't given."""
+    schemas = Workspace(records.sparkSession, "drift").put(file_schemas(records), "schemas") if schemas is None else schemas
     files = records.where("stream_id is not null and file_seq is not null").select("stream_id", F.col("file_seq").cast("bigint").alias("file_seq")).distinct()
     follow = files.withColumn("next_seq", F.lead("file_seq").over(Window.partitionBy("stream_id").orderBy("file_seq")))
     starts = files.groupBy("stream_id").agg(F.min("file_seq").alias("first_seq"))
@@ -127,9 +137,42 @@ def union_schema(schemas: DataFrame) -> DataFrame:
     return schemas.groupBy("field_path").agg(lattice_type(F.col("type")).alias("type"), F.count("*").alias("n_files"))
 
 
-def latest_names(log: DataFrame) -> DataFrame:
-    """(stream_id, file_seq, field_path, renamed_from) of the renames; read in order they lead to the latest name."""
-    return log.where("change = 'renamed'").select("stream_id", "file_seq", "field_path", "renamed_from")
+def columns(schemas: DataFrame, log: DataFrame) -> list[tuple[str, str, str]]:
+    """(field_path, column, type) of every field name. What comes to the driver are catalogues: a row per distinct field,
+    per distinct rename, and per name that can't be folded. Types: long, double, boolean, string, array."""
+    last = schemas.join(schemas.groupBy("stream_id").agg(F.max("file_seq").alias("file_seq")), ["stream_id", "file_seq"], "left_semi").groupBy("field_path").agg(F.count("*").alias("n_last"))
+    every = schemas.groupBy("field_path").agg(F.collect_set("type").alias("types"), F.count("*").alias("n"), F.bool_and("whole").alias("whole"))
+    names = {r.field_path: r for r in every.join(last, "field_path", "left").collect()}
+    top = {n: n for n in names}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for r in log.where("change = 'renamed'").select("field_path", "renamed_from").distinct().collect():
+        a, b = sorted((find(r.field_path), find(r.renamed_from)))
+        top[b] = a
+    groups: dict[str, list[str]] = {}
+    for n in sorted(names):
+        groups.setdefault(find(n), []).append(n)
+    several = [(n, g) for g, ns in groups.items() if len(ns) > 1 for n in ns]
+    apart = set()
+    if several:
+        named = schemas.join(schemas.sparkSession.createDataFrame(several, "field_path string, g string"), "field_path")
+        apart = {r.g for r in named.groupBy("stream_id", "file_seq", "g").agg(F.countDistinct("field_path").alias("n")).where("n > 1").select("g").distinct().collect()}
+    out = []
+    for g, ns in groups.items():
+        for own in [[n] for n in ns] if g in apart else [ns]:
+            column = min(own, key=lambda n: (-(names[n].n_last or 0), -names[n].n, n))
+            kinds = None
+            for n in own:
+                for t in names[n].types:
+                    kinds = promote(kinds, t)
+            if kinds == "number":
+                kinds = "long" if all(names[n].whole for n in own) else "double"
+            out += [(n, column, kinds) for n in own]
+    return sorted(out)
 
 
 def _cast(value, to: str):
@@ -142,35 +185,44 @@ def _cast(value, to: str):
     return value
 
 
-def _caster(columns: list[tuple[str, str]]):
-    types = dict(columns)
+def _caster(names: list[tuple[str, str, str]]):
+    to = {path: (column, kind) for path, column, kind in names}
+    types = {column: kind for _, column, kind in names}
+    made = {"long": int, "double": float}
 
     def run(batches):
         for b in batches:
-            out = {path: [None] * b.num_rows for path, _ in columns}
+            out = {column: [None] * b.num_rows for column in types}
             ok = []
             for i, payload in enumerate(b.column(3).to_pylist()):
                 record = readable(payload)
                 ok.append(record is not None)
                 for parent, name, value in fields(record) if record else ():
-                    path = f"{parent}.{name}" if parent else name
-                    if path in out:
-                        v = _cast(value, types[path])
-                        out[path][i] = float(v) if types[path] == "number" and v is not None else v
-            kinds = {"number": pa.float64(), "boolean": pa.bool_()}
-            arrays = [b.column(0), b.column(1), b.column(2), *(pa.array(out[p], kinds.get(t, pa.string())) for p, t in columns)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["record_id", "stream_id", "file_seq", *(p for p, _ in columns)]).filter(pa.array(ok))
+                    column, kind = to.get(f"{parent}.{name}" if parent else name, (None, None))
+                    if column is not None and value is not None:
+                        out[column][i] = made[kind](value) if kind in made else _cast(value, kind)
+            kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+            arrays = [b.column(0), b.column(1), b.column(2), *(pa.array(out[c], kinds.get(t, pa.string())) for c, t in types.items())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["record_id", "stream_id", "file_seq", *types]).filter(pa.array(ok))
 
     return run
 
 
-def consistent(records: DataFrame, schema_rows: list[tuple[str, str]]) -> DataFrame:
+def once(records: DataFrame, *, line: str = "line_no", order: str = "loaded_at") -> DataFrame:
+    """(record_id, stream_id, file_seq, payload): each line of a file once."""
+    rows = records.select(F.col("record_id").cast("bigint").alias("record_id"), "stream_id", F.col("file_seq").cast("bigint").alias("file_seq"), F.col("payload").cast("string").alias("payload"), F.col(line).alias("line"), F.col(order).alias("first"))
+    own = F.when(F.col("line").isNull(), F.col("record_id"))
+    kept = rows.groupBy("stream_id", "file_seq", "line", own.alias("own")).agg(F.min_by(F.struct("record_id", "payload"), F.struct("first", "record_id")).alias("r"))
+    return kept.select("r.record_id", "stream_id", "file_seq", "r.payload")
+
+
+def consistent(records: DataFrame, names: list[tuple[str, str, str]]) -> DataFrame:
     """All readable records cast to the union schema: (record_id, stream_id, file_seq, one column per field).
 
-    schema_rows: (field_path, type) from union_schema(); its length is the number of distinct fields, a catalogue.
+    names: (field_path, column, type) from columns(); its length is the number of distinct fields, a catalogue.
     """
-    columns = sorted(schema_rows)
-    sql = {"number": "double", "boolean": "boolean"}
-    ddl = ", ".join(["record_id long", "stream_id string", "file_seq long", *(f"`{p.replace('`', '``')}` {sql.get(t, 'string')}" for p, t in columns)])
-    narrow = records.select(F.col("record_id").cast("bigint"), F.col("stream_id"), F.col("file_seq").cast("bigint"), F.col("payload").cast("string"))
-    return narrow.mapInArrow(_caster(columns), ddl)
+    types = {column: kind for _, column, kind in names}
+    sql = {"long": "long", "double": "double", "boolean": "boolean"}
+    ddl = ", ".join(["record_id long", "stream_id string", "file_seq long", *(f"`{c.replace('`', '``')}` {sql.get(t, 'string')}" for c, t in types.items())])
+    narrow = records.where("stream_id is not null and file_seq is not null").select(F.col("record_id").cast("bigint"), "stream_id", F.col("file_seq").cast("bigint"), F.col("payload").cast("string"))
+    return narrow.mapInArrow(_caster(names), ddl)

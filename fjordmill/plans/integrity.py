@@ -34,10 +34,26 @@ def p3_union_schema(spark: SparkSession, d: str) -> DataFrame:
     return drift.union_schema(drift.file_schemas(table(spark, d, "qc_report_raw")))
 
 
+def _records(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, str, str]]]:
+    raw, work = table(spark, d, "qc_report_raw"), Workspace(spark, "drift")
+    schemas = work.put(drift.file_schemas(raw), "schemas")
+    names = drift.columns(schemas, work.put(drift.changes(raw, schemas), "log"))
+    return drift.consistent(drift.once(raw), names), names
+
+
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "qc_report_raw")
-    catalogue = Workspace(spark, "drift").put(drift.union_schema(drift.file_schemas(raw)), "schema")
-    return drift.consistent(raw, [(r.field_path, r.type) for r in catalogue.collect()])  # one row per distinct field
+    return _records(spark, d)[0]
+
+
+def p3_columns(spark: SparkSession, d: str) -> DataFrame:
+    """What each column of the consistent table holds: its type, values, and their total (numbers: their sum; true: their
+    count)."""
+    rows, names = _records(spark, d)
+    types = {column: kind for _, column, kind in names}
+    col = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    total = {"long": lambda c: c.cast("double"), "double": lambda c: c, "boolean": lambda c: c.cast("double")}
+    each = [F.struct(F.lit(c).alias("field_path"), F.lit(t).alias("type"), F.count(col(c)).alias("n_values"), F.round(F.sum(total.get(t, lambda _: F.lit(None).cast("double"))(col(c))), 3).alias("total")) for c, t in types.items()]
+    return rows.agg(F.array(*each).alias("e")).select(F.explode("e").alias("s")).select("s.*") if each else spark.createDataFrame([], "field_path string, type string, n_values long, total double")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +93,7 @@ SELECT '{name}' AS src_table, row_id, pos, item FROM (
     FROM {name} WHERE {column} IS NOT NULL AND lower(trim({column})) NOT IN ('', '-', 'na', 'n/a', 'none', 'null', 'unknown')))"""
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_month, p3_found, p3_union_schema, p3_records, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_month, p3_found, p3_union_schema, p3_records, p3_columns, p5_found)}
 _FIELDS_SQL = """
 WITH valid AS (SELECT stream_id, file_seq, payload FROM qc_report_raw WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
 leaf AS (
@@ -104,8 +120,25 @@ SELECT stream_id, file_seq, field_path, CASE WHEN na = 1 AND nr = 1 AND change =
 FROM counted WHERE NOT (na = 1 AND nr = 1 AND change = 'removed')
 """
 
+_COLUMNS_SQL = _CHANGE_SQL.rsplit("SELECT stream_id, file_seq, field_path", 1)[0].replace("WITH valid", "WITH RECURSIVE valid", 1) + """,
+links AS (SELECT DISTINCT max(field_path) FILTER (change = 'added') AS a, max(field_path) FILTER (change = 'removed') AS b FROM counted WHERE na = 1 AND nr = 1 GROUP BY stream_id, file_seq, parent),
+reach AS (SELECT DISTINCT field_path AS x, field_path AS y FROM field UNION SELECT r.x, CASE WHEN l.a = r.y THEN l.b ELSE l.a END FROM reach r JOIN links l ON r.y IN (l.a, l.b)),
+grp AS (SELECT x AS field_path, min(y) AS g FROM reach GROUP BY x),
+apart AS (SELECT DISTINCT g FROM (SELECT g FROM field JOIN grp USING (field_path) GROUP BY stream_id, file_seq, g HAVING count(DISTINCT field_path) > 1)),
+last AS (SELECT field_path, count(*) AS n_last FROM field JOIN (SELECT stream_id, max(file_seq) AS file_seq FROM field GROUP BY 1) USING (stream_id, file_seq) GROUP BY 1),
+name AS (SELECT field_path, CASE WHEN a.g IS NULL THEN p.g ELSE field_path END AS g, coalesce(n_last, 0) AS n_last, n FROM grp p LEFT JOIN apart a USING (g) LEFT JOIN last USING (field_path) JOIN (SELECT field_path, count(*) AS n FROM field GROUP BY 1) USING (field_path)),
+named AS (SELECT field_path, first_value(field_path) OVER (PARTITION BY g ORDER BY n_last DESC, n DESC, field_path) AS col FROM name),
+one AS (SELECT DISTINCT ON (stream_id, file_seq, line_no) stream_id, file_seq, payload FROM qc_report_raw ORDER BY stream_id, file_seq, line_no, loaded_at, record_id),
+vals AS (SELECT n.col, t.type, t.atom FROM (SELECT payload FROM one WHERE json_valid(payload) AND json_type(payload) = 'OBJECT') v, json_tree(v.payload) t, named n
+  WHERE t.type NOT IN ('OBJECT', 'NULL') AND t.fullkey NOT LIKE '%[%' AND n.field_path = replace(t.fullkey[3:], '"', '')),
+typed AS (SELECT col, bool_or(type = 'ARRAY') AS a, bool_or(type = 'VARCHAR') AS s, bool_or(type = 'BOOLEAN') AS b, bool_or(type = 'DOUBLE') AS d, bool_or(type IN ('BIGINT', 'UBIGINT')) AS i FROM vals GROUP BY col)
+SELECT col AS field_path, CASE WHEN a THEN 'array' WHEN s OR (b AND (d OR i)) THEN 'string' WHEN b THEN 'boolean' WHEN d THEN 'double' ELSE 'long' END AS type, count(*) AS n_values,
+  round(CASE WHEN a OR s OR (b AND (d OR i)) THEN NULL WHEN b THEN sum(CAST(atom = 'true' AS DOUBLE)) ELSE sum(TRY_CAST(atom AS DOUBLE)) END, 3) AS total
+FROM vals JOIN typed USING (col) GROUP BY col, a, s, b, d, i"""
+
 SQL = {
     "p3_found": _CHANGE_SQL,
+    "p3_columns": _COLUMNS_SQL,
     "p3_union_schema": _FIELDS_SQL + """SELECT field_path, CASE WHEN bool_or(type = 'array') THEN 'array' WHEN bool_or(type = 'string') OR count(DISTINCT type) > 1 THEN 'string' ELSE min(type) END AS type,
   count(*) AS n_files FROM field GROUP BY field_path""",
     "p1_found": _ORPHAN_SQL + "SELECT DISTINCT ref_table, row_id FROM lost",

@@ -117,13 +117,26 @@ def test_drift_changes(spark):
     assert got == {("s", 3, "a.z", "renamed", "a.x"), ("s", 3, "a.y", "type", None), ("s", 4, "a.z", "type", None), ("s", 4, "k", "removed", None)}
 
 
+RAW2 = "record_id long, stream_id string, file_seq long, payload string, line_no int, loaded_at long, type string"
+
+
 def test_drift_union_and_records(spark):
-    raw = _raw(spark, [("s", 1, '{"a": 1, "b": 1}'), ("s", 2, '{"a": "x", "b": [2]}'), ("s", 2, "nope"), ("s", 3, '{"a": true}')])
-    schema = sorted((r.field_path, r.type) for r in drift.union_schema(drift.file_schemas(raw)).collect())
-    assert schema == [("a", "string"), ("b", "array")]
-    assert [(r.record_id, r.a, r.b) for r in drift.consistent(raw, schema).orderBy("record_id").collect()] == [(0, "1", "[1]"), (1, "x", "[2]"), (3, "true", None)]
+    rows = [
+        ("s", 1, '{"a": 1, "b": 1, "old": 7, "n": 1}', 1), ("s", 2, '{"a": "x", "b": [2], "new": 8, "n": 2}', 1), ("s", 2, "nope", 2), ("s", 2, '{"a": "x", "b": [2], "new": 8, "n": 2}', 1), ("s", 3, '{"a": true, "new": 9, "f": 1.5}', 1),
+        ("t", 1, '{"old": 5, "f": 2}', None), ("t", 1, '{"old": 6}', None), ("u", 1, '{"p": 1}', 1), ("u", 2, '{"q": 1}', 1), ("v", 1, '{"p": 1, "q": 2}', 1), ("s", None, '{"a": 1}', 1),
+    ]
+    raw = spark.createDataFrame([(i, s, q, p, n, 100 - i, "clash") for i, (s, q, p, n) in enumerate(rows)], RAW2)
+    schemas = drift.file_schemas(raw)
+    union = sorted((r.field_path, r.type) for r in drift.union_schema(schemas).collect())
+    assert ("a", "string") in union and ("b", "array") in union and ("f", "number") in union
+    names = drift.columns(schemas, drift.changes(raw, schemas))
+    # old became new in one stream, so both are one column everywhere; p and q stand side by side in v, so they stay apart
+    assert names == [("a", "a", "string"), ("b", "b", "array"), ("f", "f", "double"), ("n", "n", "long"), ("new", "new", "long"), ("old", "new", "long"), ("p", "p", "long"), ("q", "q", "long")]
+    got = {r.record_id: r for r in drift.consistent(drift.once(raw), names).collect()}
+    assert sorted(got) == [0, 3, 4, 5, 6, 7, 8, 9]  # 1 came again as 3, which was loaded first
+    assert [got[i].new for i in (0, 3, 4, 5, 6)] == [7, 8, 9, 5, 6] and (got[0].a, got[0].b, got[4].a, got[5].f) == ("1", "[1]", "true", 2.0)
     empty = raw.limit(0)
-    assert drift.changes(empty).count() == 0 and drift.union_schema(drift.file_schemas(empty)).count() == 0
+    assert drift.changes(empty).count() == 0 and drift.columns(drift.file_schemas(empty), drift.changes(empty)) == [] and drift.consistent(empty, []).count() == 0
 
 
 def test_lattice_laws():

@@ -7,7 +7,7 @@ import pytest
 from tests import oracle
 
 NAMES = [
-    "p1_found", "p1_by_month", "p3_found", "p3_union_schema", "p5_found", "f1_contact_eligibility", "f10_feature_selection", "e2_ec_map", "e12_set_similarity", "j1_condition_table", "j3_construct_pairs", "j7_region_range",
+    "p1_found", "p1_by_month", "p3_found", "p3_union_schema", "p3_columns", "p5_found", "f1_contact_eligibility", "f10_feature_selection", "e2_ec_map", "e12_set_similarity", "j1_condition_table", "j3_construct_pairs", "j7_region_range",
     "j13_first_candidate", "j23_zip_lists", "a1_attrition", "a6_feature_frequency", "a14_feature_prevalence", "a19_strata", "a26_grouping_sets", "w2_benjamini_hochberg", "w4_medoid", "w10_column_index", "t1_examples", "u2_set_algebra", "s6_fasta_k8",
     "s9_jsonl_k9", "s20_matrix_k2", "q6_auc", "q7_kruskal", "q8_pairwise_auc", "j8_group_distances", "a36_row_splits",
 ]
