@@ -28,17 +28,6 @@ def query(sql: str | None = None):
 _FIRST = "(SELECT condition_id, arg_min(n_clusters, (reported_at, n_ifp_success)) AS n_clusters, arg_min(noise_fraction, (reported_at, n_ifp_success)) AS noise_fraction FROM condition_cluster_summary GROUP BY condition_id)"
 
 
-@query(f"""WITH m AS (SELECT condition_id, count(*) AS n_poses, count(*) FILTER (passed) AS n_passed FROM geometry_result GROUP BY condition_id),
-f AS (SELECT condition_id, count(*) AS n_ifp FROM cbm_analysis_result GROUP BY condition_id),
-s AS (SELECT condition_id, first(noise_fraction ORDER BY reported_at) AS noise_fraction FROM condition_cluster_summary GROUP BY condition_id)
-SELECT m.condition_id, n_poses, n_passed, coalesce(n_ifp, 0) AS n_ifp, s.noise_fraction FROM m LEFT JOIN f USING (condition_id) LEFT JOIN s USING (condition_id)""")
-def j1_condition_table(spark: SparkSession, d: str) -> DataFrame:
-    master = table(spark, d, "geometry_result").groupBy("condition_id").agg(F.count("*").alias("n_poses"), F.count_if("passed").alias("n_passed"))
-    ifp = table(spark, d, "cbm_analysis_result").groupBy("condition_id").agg(F.count("*").alias("n_ifp"))
-    first = R.index_first(table(spark, d, "condition_cluster_summary").select("condition_id", "noise_fraction", "reported_at"), ["condition_id"], ["reported_at"])
-    return R.assemble(master, "condition_id", [(ifp, {"n_ifp": 0}), (first, {"noise_fraction": None})])
-
-
 @query(f"""WITH m AS (SELECT upper(trim(uniprot_id)) AS k, first(family ORDER BY row_id) AS family FROM oligo_active_updated GROUP BY 1)
 SELECT p.protein_id, m.family, count(*) AS n FROM {P} p LEFT JOIN m ON p.protein_id = m.k GROUP BY ALL""")
 def j2_metadata(spark: SparkSession, d: str) -> DataFrame:
@@ -61,15 +50,6 @@ def j3_construct_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).withColumn("delta", F.col("right_m") - F.col("left_m"))
 
 
-@query(f"""WITH l AS (SELECT residue_name, residue_number, count(*) AS contacts FROM {_LABELS} WHERE residue_chain = 'A' GROUP BY ALL), b AS (SELECT feature, count(*) AS bits FROM {_BITS} GROUP BY feature),
-n AS (SELECT DISTINCT residue_number FROM l)
-SELECT n.residue_number, max(l.contacts) AS contacts, max(b.bits) AS bits FROM n LEFT JOIN l USING (residue_number) LEFT JOIN b ON b.feature = n.residue_number WHERE l.contacts > 2 OR b.bits IS NOT NULL GROUP BY 1""")
-def j4_aligned_scores(spark: SparkSession, d: str) -> DataFrame:
-    l = _labels(spark, d).where("residue_chain = 'A'").groupBy("residue_name", "residue_number").agg(F.count("*").alias("contacts"))
-    b = _bits(spark, d).groupBy(F.col("feature").alias("residue_number")).agg(F.count("*").alias("bits"))
-    return l.join(b, "residue_number", "left").where("contacts > 2 or bits is not null").groupBy("residue_number").agg(F.max("contacts").alias("contacts"), F.max("bits").alias("bits"))
-
-
 @query("""SELECT s_suppkey, n_name, r_name, count(l_orderkey) AS n_lines FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL""")
 def j5_left_chain(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n_lines"))
@@ -78,12 +58,6 @@ def j5_left_chain(spark: SparkSession, d: str) -> DataFrame:
     return out.select("s_suppkey", "n_name", "r_name", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
 
 
-@query("""SELECT c.condition_id, count(*) AS n, median(g.n_non_vdw_interactions) AS median_contacts, round(avg(c.cbm_ligand_min_dist), 6) AS mean_dist FROM cbm_analysis_result c JOIN (SELECT pose_key, max(n_non_vdw_interactions) AS n_non_vdw_interactions FROM geometry_result GROUP BY pose_key) g USING (pose_key) GROUP BY c.condition_id""")
-def j6_members_with_geometry(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "geometry_result").groupBy("pose_key").agg(F.max("n_non_vdw_interactions").alias("k"))
-    return table(spark, d, "cbm_analysis_result").join(g, "pose_key").groupBy("condition_id").agg(F.count("*").alias("n"), F.median("k").alias("median_contacts"), F.round(F.avg("cbm_ligand_min_dist"), 6).alias("mean_dist"))
-
-
 @query(f"""WITH r AS (SELECT * FROM (VALUES ('core', 1, 220), ('linker', 221, 300), ('cbm', 301, 600)) AS t(region, lo, hi))
 SELECT region, count(*) AS n, count(DISTINCT protein_id) AS n_proteins FROM {_LABELS} l LEFT JOIN r ON l.residue_number BETWEEN r.lo AND r.hi AND l.residue_chain = 'A' GROUP BY region""")
 def j7_region_range(spark: SparkSession, d: str) -> DataFrame:
@@ -208,44 +182,6 @@ def j25_fallback_chain(spark: SparkSession, d: str) -> DataFrame:
 # ---- aggregations ----------------------------------------------------------------------------------------------
 
 
-@query("""WITH r AS (SELECT condition_id, unnest(list_filter([CASE WHEN NOT coalesce(cu_found, false) THEN 'no_copper' END, CASE WHEN NOT coalesce(cu_his_all_in_range, false) THEN 'histidine_range' END, CASE WHEN n_non_vdw_interactions < 3 THEN 'few' END], lambda x: x IS NOT NULL)) AS reason FROM geometry_result),
-m AS (SELECT condition_id, '{' || string_agg('"' || reason || '":' || k, ',' ORDER BY reason) || '}' AS reasons FROM (SELECT condition_id, reason, count(*) AS k FROM r GROUP BY ALL) GROUP BY 1)
-SELECT g.condition_id, n_generated, n_pass, n_fail / n_generated AS hard_fail_rate, reasons FROM (SELECT condition_id, count(*) AS n_generated, count(*) FILTER (passed) AS n_pass, count(*) FILTER (NOT coalesce(passed, false)) AS n_fail FROM geometry_result GROUP BY 1) g LEFT JOIN m USING (condition_id)""")
-def a1_attrition(spark: SparkSession, d: str) -> DataFrame:
-    no = F.lit(False)
-    g = table(spark, d, "geometry_result")
-    reasons = F.array_compact(F.array(F.when(~F.coalesce("cu_found", no), "no_copper"), F.when(~F.coalesce("cu_his_all_in_range", no), "histidine_range"), F.when(F.col("n_non_vdw_interactions") < 3, "few")))
-    k = g.select("condition_id", F.explode(reasons).alias("reason")).groupBy("condition_id", "reason").agg(F.count("*").alias("k"))
-    m = k.groupBy("condition_id").agg(S.reason_map(F.struct("reason", "k")).alias("reasons"))
-    per = g.groupBy("condition_id").agg(F.count("*").alias("n_generated"), F.count_if("passed").alias("n_pass"), F.count_if(~F.coalesce("passed", no)).alias("n_fail"))
-    return per.join(m, "condition_id", "left").select("condition_id", "n_generated", "n_pass", (F.col("n_fail") / F.col("n_generated")).alias("hard_fail_rate"), "reasons")
-
-
-@query("""SELECT condition_id, count(*) AS n_rows, count(his_brace_angle) AS n_available, round(avg(his_brace_angle), 6) AS mean_brace, median(his_brace_angle) AS median_brace, round(avg(n_non_vdw_interactions), 6) AS mean_contacts, median(n_non_vdw_interactions) AS median_contacts FROM geometry_result GROUP BY condition_id""")
-def a2_confidence(spark: SparkSession, d: str) -> DataFrame:
-    b, n = "his_brace_angle", "n_non_vdw_interactions"
-    return table(spark, d, "geometry_result").groupBy("condition_id").agg(F.count("*").alias("n_rows"), F.count(b).alias("n_available"), F.round(F.avg(b), 6).alias("mean_brace"), F.median(b).alias("median_brace"), F.round(F.avg(n), 6).alias("mean_contacts"), F.median(n).alias("median_contacts"))
-
-
-@query("""SELECT split_part(condition_id, '_', 1) AS protein_id, round(CASE WHEN coalesce(sum(CASE WHEN noise_fraction IS NOT NULL THEN coalesce(top_cluster_occupancy, 0) END), 0) <> 0 THEN sum(noise_fraction * coalesce(top_cluster_occupancy, 0)) / sum(CASE WHEN noise_fraction IS NOT NULL THEN coalesce(top_cluster_occupancy, 0) END) ELSE avg(noise_fraction) END, 6) AS weighted_noise, CAST(sum(n_qc_pass_poses) AS BIGINT) AS n_poses FROM condition_cluster_summary GROUP BY 1""")
-def a3_weighted(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "condition_cluster_summary")
-    return s.groupBy(F.split("condition_id", "_")[0].alias("protein_id")).agg(F.round(S.weighted_mean(F.col("noise_fraction"), F.col("top_cluster_occupancy")), 6).alias("weighted_noise"), F.sum("n_qc_pass_poses").alias("n_poses"))
-
-
-@query(f"""SELECT protein_id, count(DISTINCT condition_id) AS n_conditions, count(DISTINCT nullif(trim(substrate), '')) AS n_substrates, array_to_string(list_sort(list(DISTINCT substrate)), ',') AS substrates, count(*) FILTER (passed) AS n_passed, round(avg(n_non_vdw_interactions), 6) AS mean_contacts FROM {P} GROUP BY 1""")
-def a4_protein_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return _poses(spark, d).groupBy("protein_id").agg(F.countDistinct("condition_id").alias("n_conditions"), F.countDistinct(S.blank_to_null(F.col("substrate"))).alias("n_substrates"), S.sorted_join(F.col("substrate")).alias("substrates"), F.count_if("passed").alias("n_passed"), F.round(F.avg("n_non_vdw_interactions"), 6).alias("mean_contacts"))
-
-
-@query("""WITH g AS (SELECT *, CASE WHEN isfinite(min_cu_c1) THEN min_cu_c1 END AS x FROM geometry_result)
-SELECT condition_id, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY split_part(condition_id, '_', 1)) AS occupancy, count(*) FILTER (x BETWEEN 2 AND 6) / count(*) AS plausible, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 6) AS iqr, round(median(x), 6) AS median_x FROM g GROUP BY condition_id""")
-def a5_cluster_summary(spark: SparkSession, d: str) -> DataFrame:
-    x = F.when(finite("min_cu_c1"), F.col("min_cu_c1"))
-    g = table(spark, d, "geometry_result").withColumn("x", x).groupBy("condition_id").agg(F.count("*").alias("n"), (F.count_if(F.col("x").between(2, 6)) / F.count("*")).alias("plausible"), F.round(F.percentile("x", 0.75) - F.percentile("x", 0.25), 6).alias("iqr"), F.round(F.median("x"), 6).alias("median_x"))
-    return g.withColumn("occupancy", F.col("n") / F.sum("n").over(Window.partitionBy(F.split("condition_id", "_")[0])))
-
-
 @query(f"""WITH b AS {_BITS}, n AS (SELECT condition_id, count(DISTINCT pose_key) AS k FROM cbm_analysis_result GROUP BY 1), f AS (SELECT DISTINCT feature FROM b)
 SELECT n.condition_id, f.feature, count(DISTINCT b.pose_key) / any_value(n.k) AS frequency FROM n CROSS JOIN f LEFT JOIN b ON b.condition_id = n.condition_id AND b.feature = f.feature GROUP BY ALL""")
 def a6_feature_frequency(spark: SparkSession, d: str) -> DataFrame:
@@ -263,38 +199,12 @@ def a7_residue_frequency(spark: SparkSession, d: str) -> DataFrame:
     return _labels(spark, d).groupBy("protein_id", "residue_name", "residue_number").agg(F.countDistinct("pose_key").alias("n_poses"), F.bool_or(F.col("residue_number").isin(1, 86, 175)).alias("catalytic"), F.coalesce(F.nullif(S.sorted_join(F.col("residue_chain")), F.lit("")), F.lit("none")).alias("chains"))
 
 
-@query(f"""WITH l AS (SELECT l.*, c.condition_id FROM {_LABELS} l JOIN (SELECT pose_key, min(condition_id) AS condition_id FROM cbm_analysis_result GROUP BY 1) c USING (pose_key)), n AS (SELECT condition_id, count(DISTINCT pose_key) AS k FROM l GROUP BY 1),
-f AS (SELECT protein_id, residue_number, l.condition_id, count(DISTINCT pose_key) / any_value(n.k) AS freq, any_value(n.k) AS k FROM l JOIN n USING (condition_id) GROUP BY ALL)
-SELECT protein_id, residue_number, round(sum(freq * k), 6) AS score, count(*) AS support, max(freq) AS max_freq FROM f GROUP BY ALL""")
-def a8_residue_importance(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "cbm_analysis_result").groupBy("pose_key").agg(F.min("condition_id").alias("condition_id"))
-    l = _labels(spark, d).join(c, "pose_key")
-    n = l.groupBy("condition_id").agg(F.countDistinct("pose_key").alias("k"))
-    f = l.groupBy("protein_id", "residue_number", "condition_id").agg(F.countDistinct("pose_key").alias("h")).join(n, "condition_id").withColumn("freq", F.col("h") / F.col("k"))
-    return f.groupBy("protein_id", "residue_number").agg(F.round(F.sum(F.col("freq") * F.col("k")), 6).alias("score"), F.count("*").alias("support"), F.max("freq").alias("max_freq"))
-
-
-@query(f"""SELECT protein_id, coalesce(count(*) FILTER (residue_name IN ('PHE', 'TYR', 'TRP', 'HIS')) / nullif(count(*), 0), 0) AS aromatic_share, coalesce(count(*) FILTER (residue_name IN ('ARG', 'LYS', 'ASP', 'GLU')) / nullif(count(*), 0), 0) AS charged_share FROM {_LABELS} GROUP BY 1""")
-def a9_patch_fractions(spark: SparkSession, d: str) -> DataFrame:
-    r = F.col("residue_name")
-    return _labels(spark, d).groupBy("protein_id").agg((F.count_if(r.isin("PHE", "TYR", "TRP", "HIS")) / F.count("*")).alias("aromatic_share"), (F.count_if(r.isin("ARG", "LYS", "ASP", "GLU")) / F.count("*")).alias("charged_share"))
-
-
 @query(f"""WITH c AS (SELECT protein_id, condition_id, avg(min_cu_c1) AS c1, avg(min_cu_c4) AS c4 FROM {P} WHERE isfinite(min_cu_c1) AND isfinite(min_cu_c4) GROUP BY ALL) SELECT protein_id, round(avg(c1), 6) AS c1, round(avg(c4), 6) AS c4, round(avg(c1) - avg(c4), 5) AS delta FROM c GROUP BY 1""")
 def a10_regio_delta(spark: SparkSession, d: str) -> DataFrame:
     c = _poses(spark, d).where(finite("min_cu_c1") & finite("min_cu_c4")).groupBy("protein_id", "condition_id").agg(F.avg("min_cu_c1").alias("c1"), F.avg("min_cu_c4").alias("c4"))
     return c.groupBy("protein_id").agg(F.round(F.avg("c1"), 6).alias("c1"), F.round(F.avg("c4"), 6).alias("c4"), F.round(F.avg("c1") - F.avg("c4"), 5).alias("delta"))
 
 
-@query("""WITH s AS (SELECT label, CAST(floor(embedding[1] * 4) AS INT) AS bin, count(*) AS n FROM embeddings GROUP BY ALL), t AS (SELECT *, n / sum(n) OVER (PARTITION BY label) AS p, row_number() OVER (PARTITION BY label ORDER BY n) AS r FROM s)
-SELECT label, count(*) AS n_bins, round(-sum(p * log2(p)), 6) AS entropy, round(2 * sum(r * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*), 6) AS gini, max(p) AS top_share FROM t GROUP BY label""")
-def a12_entropy_gini(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "embeddings").groupBy("label", F.floor(F.element_at("embedding", 1) * 4).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    t = s.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("label")))
-    e = t.groupBy("label").agg(F.count("*").alias("n_bins"), F.round(R.entropy(F.col("p")), 6).alias("entropy"), F.max("p").alias("top_share"))
-    return e.join(R.gini("n", ["label"], s), "label").withColumn("gini", F.round("gini", 6))
-
-
 @query(f"""WITH b AS (SELECT pose_key, condition_id, feature % 6 AS kind, count(*) AS k FROM {_BITS} GROUP BY ALL), n AS (SELECT count(DISTINCT pose_key) AS np, count(DISTINCT condition_id) AS nc FROM cbm_analysis_result)
 SELECT kind, count(DISTINCT pose_key) / any_value(np) AS pose_prevalence, count(DISTINCT condition_id) / any_value(nc) AS condition_prevalence, median(k) AS median_when_present FROM b, n GROUP BY kind""")
 def a13_type_prevalence(spark: SparkSession, d: str) -> DataFrame:
@@ -394,15 +304,6 @@ def a38_case_groups(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",").alias("cases"))
 
 
-@query("""WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY p_brand, p_type)
-SELECT p_brand, p_type, n / sum(n) OVER (PARTITION BY p_brand) AS share, round(log2((n / sum(n) OVER (PARTITION BY p_brand) + 1e-9) / (sum(n) OVER (PARTITION BY p_type) / sum(n) OVER () + 1e-9)), 6) AS log2_enrichment FROM c""")
-def a40_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("p_brand"))
-    base = F.sum("n").over(Window.partitionBy("p_type")) / F.sum("n").over(Window.partitionBy())
-    return c.select("p_brand", "p_type", share.alias("share"), F.round(F.log2((share + 1e-9) / (base + 1e-9)), 6).alias("log2_enrichment"))
-
-
 @query("""SELECT user_id, round(sqrt(avg(value * value)), 6) AS rms, round(avg(abs(value)), 6) AS mae, median(value) AS med FROM events GROUP BY 1""")
 def a44_rms(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
