@@ -99,3 +99,10 @@ def gini(size: str, group: list[str], df: DataFrame) -> DataFrame:
 def entropy(share: Column) -> Column:
     """Aggregate: Shannon entropy in bits."""
     return -F.sum(F.when(share > 0, share * F.log2(share)).otherwise(0.0))
+
+
+def kingdom_group(kingdom: Column, eukarya: tuple[str, ...], strict: bool) -> Column:
+    """eukarya or other by the kingdom; without one ``missing``, or, where that is not allowed, reading fails."""
+    blank = F.coalesce(F.trim(kingdom), F.lit("")) == ""
+    missing = F.raise_error(F.lit("missing kingdom")).cast("string") if strict else F.lit("missing")
+    return F.when(blank, missing).when(F.lower(kingdom).isin(*eukarya), "eukarya").otherwise("other")

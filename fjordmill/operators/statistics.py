@@ -271,3 +271,99 @@ def two_way_anova(df: DataFrame, value: str, a: str, b: str) -> pd.DataFrame:
         f = (small[0] - large[0]) / d1 / (large[0] / d2) if d1 and d2 and large[0] > 0 else math.nan
         out.append((term, f, d1, d2, f_sf(f, d1, d2) if f == f else math.nan))
     return pd.DataFrame(out, columns=["term", "f", "df1", "df2", "p"])
+
+
+# ---- tests over any number of rows -----------------------------------------------------------------------------
+
+
+def _udf(f):
+    """Tails of distributions: one value per group, computed in batches."""
+    return F.pandas_udf(f, "double")
+
+
+def _normal_tail(z: pd.Series) -> pd.Series:
+    return z.map(lambda v: normal_sf2(v) if v == v else math.nan)
+
+
+def _sign_tail(pos: pd.Series, neg: pd.Series) -> pd.Series:
+    """Exact two-sided binomial test, by the incomplete beta function."""
+    tail = lambda k, n: min(1.0, 2 * beta_inc(n - k, k + 1, 0.5)) if n else 1.0
+    return pd.Series([1.0 if a == b else tail(min(a, b), a + b) for a, b in zip(pos, neg)])
+
+
+def _signed_rank_tail(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+    out = []
+    for x, m, t in zip(w, n, ties):
+        if not m or m != m:
+            out.append(1.0)
+        elif m <= 25 and not t:
+            ways = np.zeros(int(m * (m + 1) // 2) + 1)
+            ways[0] = 1
+            for k in range(1, int(m) + 1):
+                ways[k:] += ways[:-k].copy()
+            out.append(min(1.0, 2 * ways[: int(x) + 1].sum() / 2**m))
+        else:
+            var = m * (m + 1) * (2 * m + 1) / 24 - t / 48
+            out.append(normal_sf2((x - m * (m + 1) / 4) / math.sqrt(var)) if var > 0 else 1.0)
+    return pd.Series(out)
+
+
+def signed_rank(df: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """(group, n_nonzero, w, wilcoxon_p, effect): Wilcoxon's signed ranks, zeros left out. Ranks come from counts per
+    distinct value, so only the tail is Python: exact up to 25 values without ties, else normal with ties."""
+    x = df.where(F.col(value) != 0).select(*group, F.abs(value).alias("_a"), F.signum(value).alias("_s"))
+    r = ranked(x, "_a", group)
+    side = x.groupBy(*group, "_a", "_s").agg(F.count("*").alias("_k")).join(r, [*group, "_a"])
+    sums = side.groupBy(*group).agg(F.sum(F.when(F.col("_s") > 0, F.col("_k") * F.col("_rank")).otherwise(0.0)).alias("_p"), F.sum(F.when(F.col("_s") < 0, F.col("_k") * F.col("_rank")).otherwise(0.0)).alias("_m"), F.sum("_k").alias("n_nonzero"))
+    ties = r.groupBy(*group).agg(F.sum(F.pow(F.col("_ties").cast("double"), 3) - F.col("_ties")).alias("_t"))
+    got = sums.join(ties, group).withColumn("w", F.least("_p", "_m"))
+    return got.select(*group, "n_nonzero", "w", _udf(_signed_rank_tail)("w", F.col("n_nonzero").cast("double"), "_t").alias("wilcoxon_p"), ((F.col("_p") - F.col("_m")) / (F.col("_p") + F.col("_m"))).alias("effect"))
+
+
+def endpoint_summary(df: DataFrame, metric: str, value: str, alpha: float = 0.05, least: int = 8) -> DataFrame:
+    """One row per endpoint of paired differences: n, median, mean, std, quartiles, range, signs, the sign test (from
+    ``least`` pairs), the signed-rank test (from ``least`` differences that are not 0) with its effect, which test counts,
+    and false-discovery rates over the endpoints."""
+    from fjordmill.operators.relational import benjamini_hochberg
+
+    v = F.col(value)
+    s = df.where(v.isNotNull()).groupBy(metric).agg(
+        F.count("*").alias("n_pairs"), F.median(v).alias("median"), F.avg(v).alias("mean"), F.when(F.count("*") > 1, F.stddev_samp(v)).otherwise(0.0).alias("std"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.75).alias("q3"),
+        F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.count_if(v > 0).alias("n_positive_delta"), F.count_if(v < 0).alias("n_negative_delta"), F.count_if(v == 0).alias("n_zero_delta"),
+    )
+    sign = F.when((F.col("n_pairs") >= least) & (F.col("n_positive_delta") + F.col("n_negative_delta") > 0), _udf(_sign_tail)(F.col("n_positive_delta").cast("double"), F.col("n_negative_delta").cast("double")))
+    got = s.withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("sign_test_p_value", sign).join(signed_rank(df, value, [metric]), metric, "left")
+    enough = F.coalesce("n_nonzero", F.lit(0)) >= least
+    got = got.withColumns({"wilcoxon_p_value": F.when(enough, F.col("wilcoxon_p")), "effect_size_rank_biserial": F.when(enough, F.col("effect"))}).drop("n_nonzero", "w", "wilcoxon_p", "effect")
+    test = F.when(F.col("wilcoxon_p_value").isNotNull(), "paired_wilcoxon_signed_rank").when(F.col("n_pairs") >= least, "sign_test").otherwise("none")
+    told = benjamini_hochberg(got.where("wilcoxon_p_value is not null").select(metric, "wilcoxon_p_value"), "wilcoxon_p_value", "bh_fdr_p_value")  # one row per endpoint
+    return got.withColumn("statistical_test", test).join(told.select(metric, "bh_fdr_p_value"), metric, "left").withColumn("significant", F.col("bh_fdr_p_value") <= alpha)
+
+
+def paired_compare(df: DataFrame, metrics: dict[str, tuple[str, str]], alpha: float = 0.05, least: int = 3) -> DataFrame:
+    """One row per metric with ``least`` pairs or more: means of both sides and of their difference, its standard
+    deviation, the signed-rank test (1 and no effect below ``least`` differences that are not 0) and whether it is
+    significant. metrics: name -> (column of side a, column of side b)."""
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric_name"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for m, (a, b) in metrics.items()))).alias("s")
+    rows = df.select(each).select("s.*").where("a is not null and b is not null").withColumn("d", F.round(F.col("b") - F.col("a"), 9))  # equal differences are ties, whatever the arithmetic
+    s = rows.groupBy("metric_name").agg(F.count("*").alias("n_pairs"), F.avg("a").alias("a_mean"), F.avg("b").alias("b_mean"), F.avg("d").alias("difference_mean"), F.stddev_pop("d").alias("difference_std")).where(F.col("n_pairs") >= least)
+    got = s.join(signed_rank(rows, "d", ["metric_name"]), "metric_name", "left")
+    enough = F.coalesce("n_nonzero", F.lit(0)) >= 3
+    got = got.withColumns({"p_value": F.when(enough, F.col("wilcoxon_p")).otherwise(1.0), "effect_size": F.when(enough, F.col("effect")).otherwise(0.0)})
+    return got.select(*s.columns, "p_value", "effect_size", (F.col("p_value") < alpha).alias("significant"))
+
+
+def correlations(df: DataFrame, x: str, y: str, group: list[str], flag_x=None, flag_y=None) -> DataFrame:
+    """(group, n, pearson, pearson_p, spearman, spearman_p) with p by Fisher's z, and for two flags phi and the four
+    counts. Null where a side doesn't vary; p needs four rows."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    told = rows.join(ranked(rows, x, group).select(*group, x, F.col("_rank").alias("_rx")), [*group, x]).join(ranked(rows, y, group).select(*group, y, F.col("_rank").alias("_ry")), [*group, y])
+    aggs = [F.count("*").alias("n"), correlation(F.col(x).cast("double"), F.col(y).cast("double")).alias("pearson"), correlation(F.col("_rx"), F.col("_ry")).alias("spearman")]
+    if flag_x is not None:
+        num = lambda c: F.when(c, 1.0).otherwise(0.0)
+        aggs.append(correlation(num(flag_x), num(flag_y)).alias("phi"))
+        aggs += [F.count_if(a & b).alias(n) for n, a, b in (("n11", flag_x, flag_y), ("n10", flag_x, ~flag_y), ("n01", ~flag_x, flag_y), ("n00", ~flag_x, ~flag_y))]
+    got = told.groupBy(*group).agg(*aggs)
+    z = lambda r: F.when((F.col("n") > 3) & (F.abs(r) < 1), F.atanh(r) * F.sqrt(F.col("n") - 3))
+    p = lambda r: F.when(F.abs(F.col(r)) >= 1, F.when(F.col("n") > 3, 0.0)).when(z(F.col(r)).isNotNull(), _udf(_normal_tail)(F.coalesce(z(F.col(r)), F.lit(0.0))))
+    return got.withColumns({"pearson_p": p("pearson"), "spearman_p": p("spearman")})

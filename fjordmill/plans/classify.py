@@ -225,13 +225,6 @@ def f19_reading_text(spark: SparkSession, d: str) -> DataFrame:
     return a.select("model_name", R.ladder([(F.col("p") > F.col("n"), "higher in positives"), (F.col("p") < F.col("n"), "lower in positives")], "no difference").alias("reading"))
 
 
-@query("""WITH done AS (SELECT user_id FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS e FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id) WHERE e = 'purchase')
-SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM done)""")
-def f20_pending(spark: SparkSession, d: str) -> DataFrame:
-    last = table(spark, d, "events").where(F.col("event_type").isin("purchase", "error")).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("e"))
-    return table(spark, d, "customer").join(last.where("e = 'purchase'"), F.col("c_custkey") == F.col("user_id"), "left_anti").select("c_custkey")
-
-
 @query("""SELECT row_id, CASE WHEN sequence IS NULL THEN 'missing' WHEN sequence NOT LIKE 'H%' THEN 'no_h1' WHEN sequence_length < 150 THEN 'catalytic' ELSE 'full' END AS variant, CASE WHEN sequence_length > length(sequence) THEN 'truncated' ELSE 'ok' END AS quality FROM proteins""")
 def f21_variant_policy(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("sequence")
@@ -239,12 +232,6 @@ def f21_variant_policy(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "proteins").select("row_id", variant.alias("variant"), F.when(F.col("sequence_length") > F.length(s), "truncated").otherwise("ok").alias("quality"))
 
 
-@query("""SELECT CASE WHEN organism IS NULL THEN 'passthrough' WHEN regexp_matches(organism, '^\\w*(myces|spora|thecium) ') THEN 'eukarya' ELSE 'other' END AS sp_group, count(*) AS n FROM proteins GROUP BY 1""".replace("\\\\", "\\"))
-def f22_signal_group(spark: SparkSession, d: str) -> DataFrame:
-    o = F.col("organism")
-    return table(spark, d, "proteins").groupBy(R.ladder([(o.isNull(), "passthrough"), (o.rlike(r"^\w*(myces|spora|thecium) "), "eukarya")], "other").alias("sp_group")).agg(F.count("*").alias("n"))
-
-
 @query("""SELECT condition_id, round(min(d), 6) AS nearest, CASE WHEN min(d) IS NULL THEN 'missing' WHEN min(d) > 10 THEN 'hard_fail' WHEN min(d) > 6 THEN 'soft_flag' ELSE 'pass' END AS gate FROM (
   SELECT condition_id, CASE WHEN isfinite(min_cu_c1) AND min_cu_c1 >= 0 THEN min_cu_c1 END AS d FROM geometry_result) GROUP BY condition_id""")
 def f23_proximity_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -339,20 +326,6 @@ def e12_set_similarity(spark: SparkSession, d: str) -> DataFrame:
     return v.select("vec_id", V.jaccard_distance(F.col("embedding"), F.col("f"), 0.1).alias("jaccard_distance"), V.tanimoto(F.col("embedding"), F.col("f"), 0.1).alias("tanimoto"))
 
 
-@query("""WITH v AS (SELECT vec_id, embedding[1] AS x, embedding[2] AS y, embedding[3] AS z, embedding[4] AS a, embedding[5] AS b, embedding[6] AS c FROM embeddings)
-SELECT vec_id, round(sqrt(CAST(x AS DOUBLE)*x + CAST(y AS DOUBLE)*y + CAST(z AS DOUBLE)*z), 6) AS norm, round(degrees(acos(least(1.0, greatest(-1.0, (CAST(x AS DOUBLE)*a + CAST(y AS DOUBLE)*b + CAST(z AS DOUBLE)*c) / (sqrt(CAST(x AS DOUBLE)*x + CAST(y AS DOUBLE)*y + CAST(z AS DOUBLE)*z) * sqrt(CAST(a AS DOUBLE)*a + CAST(b AS DOUBLE)*b + CAST(c AS DOUBLE)*c)))))), 4) AS angle FROM v""")
-def e13_vector_math(spark: SparkSession, d: str) -> DataFrame:
-    e = lambda i: F.element_at("embedding", i).cast("double")
-    p, q = V.vec(e(1), e(2), e(3)), V.vec(e(4), e(5), e(6))
-    return table(spark, d, "embeddings").select("vec_id", F.round(V.norm(p), 6).alias("norm"), F.round(V.angle_deg(p, q), 4).alias("angle"))
-
-
-@query("""SELECT event_id, CAST(coalesce(json_extract_string(props, '$.k'), '0') AS DOUBLE) AS k, array_to_string(list_transform(json_keys(props), lambda x: x), ',') AS keys FROM events""")
-def e15_weighted_vector(spark: SparkSession, d: str) -> DataFrame:
-    m = F.from_json("props", "map<string,double>")
-    return table(spark, d, "events").select("event_id", F.coalesce(F.element_at(m, F.lit("k")), F.lit(0.0)).alias("k"), F.array_join(F.array_sort(F.map_keys(m)), ",").alias("keys"))
-
-
 @query("""SELECT condition_id, reported_at, array_to_string(list_sort(list_distinct(list_filter(cluster_labels, lambda x: x >= 0))), ',') AS labels, len(cluster_labels) AS n FROM condition_cluster_summary WHERE cluster_labels IS NOT NULL""")
 def e18_set_to_string(spark: SparkSession, d: str) -> DataFrame:
     labels = F.array_sort(F.array_distinct(F.filter("cluster_labels", lambda x: x >= 0)))

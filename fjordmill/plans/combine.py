@@ -28,14 +28,6 @@ def query(sql: str | None = None):
 _FIRST = "(SELECT condition_id, arg_min(n_clusters, (reported_at, n_ifp_success)) AS n_clusters, arg_min(noise_fraction, (reported_at, n_ifp_success)) AS noise_fraction FROM condition_cluster_summary GROUP BY condition_id)"
 
 
-@query(f"""WITH m AS (SELECT upper(trim(uniprot_id)) AS k, first(family ORDER BY row_id) AS family FROM oligo_active_updated GROUP BY 1)
-SELECT p.protein_id, m.family, count(*) AS n FROM {P} p LEFT JOIN m ON p.protein_id = m.k GROUP BY ALL""")
-def j2_metadata(spark: SparkSession, d: str) -> DataFrame:
-    meta = R.index_first(table(spark, d, "oligo_active_updated").select(F.upper(F.trim("uniprot_id")).alias("protein_id"), "row_id", "family"), ["protein_id"], ["row_id"])
-    per = _poses(spark, d).groupBy("protein_id").agg(F.count("*").alias("n"))
-    return per.join(meta.select("protein_id", "family"), "protein_id", "left").select("protein_id", "family", "n")
-
-
 _PAIR = f"""(WITH c AS (SELECT condition_id, protein_id, substrate, dp, construct, median(n_non_vdw_interactions) AS m, count(*) AS n FROM {P} GROUP BY ALL)
 SELECT a.protein_id, a.substrate, a.dp, a.m AS left_m, b.m AS right_m, a.n AS left_n, b.n AS right_n FROM c a JOIN c b USING (protein_id, substrate, dp) WHERE a.construct = 'domain_only' AND b.construct = 'full_length')"""
 
@@ -149,12 +141,6 @@ def j19_feature_union(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", "shared", total.alias("total"), F.when(total == 0, 0.0).otherwise(F.col("shared") / total).alias("tanimoto"))
 
 
-@query("""WITH l AS (SELECT c_custkey, c_name FROM customer), o AS (SELECT o_custkey, arg_min(o_orderkey, (CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END, o_orderkey)) AS pick FROM orders GROUP BY 1) SELECT c_custkey, pick FROM l LEFT JOIN o ON c_custkey = o_custkey""")
-def j20_ranked_pick(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min_by("o_orderkey", F.struct(F.when(F.col("o_orderstatus").isin("F", "O"), 0).otherwise(1), "o_orderkey")).alias("pick"))
-    return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left")
-
-
 @query("""WITH c AS (SELECT upper(trim(uniprot_id)) AS k, first(family ORDER BY row_id) FILTER (family IS NOT NULL) AS family, first(regio ORDER BY row_id) FILTER (regio IS NOT NULL) AS regio FROM oligo_active_updated GROUP BY 1)
 SELECT k AS accession, family, regio, CASE WHEN family IS NULL THEN 'no_family' WHEN regio IS NULL THEN 'no_regio' ELSE 'resolved' END AS reason FROM c""")
 def j21_catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -247,15 +233,6 @@ def a17_descriptives(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH p AS (SELECT *, right_m - left_m AS delta FROM {_PAIR}) SELECT 'substrate' AS stratum, substrate AS value, count(delta) AS n, median(delta) AS median_delta, count(*) FILTER (delta > 0) AS n_up FROM p GROUP BY substrate UNION ALL SELECT 'dp', CAST(dp AS VARCHAR), count(delta), median(delta), count(*) FILTER (delta > 0) FROM p GROUP BY dp UNION ALL SELECT 'all', 'all', count(delta), median(delta), count(*) FILTER (delta > 0) FROM p""")
-def a19_strata(spark: SparkSession, d: str) -> DataFrame:
-    """All strata in one pass of grouping sets."""
-    p = _pairs(spark, d).withColumn("delta", F.col("right_m") - F.col("left_m"))
-    g = p.groupingSets([["substrate"], ["dp"], []], "substrate", "dp").agg(F.count("delta").alias("n"), F.median("delta").alias("median_delta"), F.count_if(F.col("delta") > 0).alias("n_up"), F.grouping_id().alias("gid"))
-    stratum = R.ladder([(F.col("gid") == 1, "substrate"), (F.col("gid") == 2, "dp")], "all")
-    return g.select(stratum.alias("stratum"), F.coalesce("substrate", F.col("dp").cast("string"), F.lit("all")).alias("value"), "n", "median_delta", "n_up")
-
-
 @query(f"""WITH u AS (SELECT protein_id, residue_number, count(*) AS k FROM {_LABELS} GROUP BY ALL), g AS (SELECT residue_number, substr(protein_id, 1, 2) AS grp, avg(k) AS m FROM u GROUP BY ALL) SELECT residue_number, round(avg(m), 6) AS mean_of_means, round(max(m), 6) AS max_of_means, count(*) AS n_groups FROM g GROUP BY 1""")
 def a20_two_level_means(spark: SparkSession, d: str) -> DataFrame:
     u = _labels(spark, d).groupBy("protein_id", "residue_number").agg(F.count("*").alias("k"))
@@ -288,11 +265,6 @@ def a30_two_scopes(spark: SparkSession, d: str) -> DataFrame:
     return agg(x.distinct(), "distinct").unionByName(agg(x, "raw"))
 
 
-@query("""SELECT count(DISTINCT condition_id) AS n_conditions, count(DISTINCT protein_id) AS n_proteins, count(*) AS n_poses, min(run_day) AS first_day, max(run_day) AS last_day, count(*) FILTER (passed) AS n_passed FROM geometry_result""")
-def a31_run_summary(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "geometry_result").agg(F.countDistinct("condition_id").alias("n_conditions"), F.countDistinct("protein_id").alias("n_proteins"), F.count("*").alias("n_poses"), F.min("run_day").alias("first_day"), F.max("run_day").alias("last_day"), F.count_if("passed").alias("n_passed"))
-
-
 @query("""SELECT sequence_sha256, min(protein_id) AS primary_id, array_to_string(list_sort(list(DISTINCT protein_id)), ';') AS members, count(DISTINCT protein_id) AS n FROM proteins WHERE protein_id IS NOT NULL GROUP BY 1""")
 def a35_same_sequence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "proteins").where("protein_id is not null").groupBy("sequence_sha256").agg(F.min("protein_id").alias("primary_id"), S.sorted_join(F.col("protein_id"), ";").alias("members"), F.countDistinct("protein_id").alias("n"))
@@ -340,11 +312,6 @@ def _intervals(spark, d):
     return l.select(F.col("l_suppkey").alias("grp"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.pmod("l_partkey", F.lit(1000)).cast("int").alias("start"), (F.pmod("l_partkey", F.lit(1000)) + F.col("l_quantity")).cast("int").alias("end"), (F.col("l_tax") * 100).cast("int").alias("priority"), (-F.col("l_extendedprice")).alias("score"))
 
 
-@query("""SELECT sequence_sha256, min(row_id) AS row_id, count(*) AS n FROM proteins GROUP BY 1""")
-def d6_distinct_sequences(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "proteins").groupBy("sequence_sha256").agg(F.min("row_id").alias("row_id"), F.count("*").alias("n"))
-
-
 @query("""SELECT p_partkey, p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS avg_rank FROM part""")
 def w1_average_rank(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", "p_brand", R.average_rank("p_size", ["p_brand"]).alias("avg_rank"))
@@ -388,12 +355,6 @@ def w7_best_point(spark: SparkSession, d: str) -> DataFrame:
     return a.orderBy(F.desc("n"), "avg_price", "p_size", "p_brand").limit(1).select("p_size", "p_brand", "avg_price")
 
 
-@query("""SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), vec_id) AS r FROM embeddings) WHERE r <= 2""")
-def w9_two_nearest(spark: SparkSession, d: str) -> DataFrame:
-    sq = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return R.top_per_group(table(spark, d, "embeddings").withColumn("s", sq), ["label"], ["s", "vec_id"], 2).select("vec_id", "label")
-
-
 @query("""SELECT row_id, pos, residue, CASE WHEN residue <> 'A' THEN sum(CASE WHEN residue <> 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY pos) END AS column_index FROM (SELECT row_id, unnest(string_split(sequence, '')) AS residue, generate_subscripts(string_split(sequence, ''), 1) AS pos FROM proteins WHERE sequence IS NOT NULL)""".replace("sum(CASE WHEN residue <> 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY pos)", "CAST(sum(CASE WHEN residue <> 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY pos) AS BIGINT)"))
 def w10_column_index(spark: SparkSession, d: str) -> DataFrame:
     """Running count of the marks that are no gap (here: no A) in an aligned sequence."""
@@ -409,19 +370,6 @@ def t1_examples(spark: SparkSession, d: str) -> DataFrame:
     return top("largest_gain", F.col("delta")).unionByName(top("largest_change", F.abs("delta")))
 
 
-@query("""SELECT p_brand, p_partkey, sign FROM (SELECT p_brand, p_partkey, 'high' AS sign, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part UNION ALL SELECT p_brand, p_partkey, 'low', row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) FROM part) WHERE r <= 3""")
-def t3_top_per_group(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    pick = lambda order, s: R.top_per_group(p, ["p_brand"], [order, "p_partkey"], 3).select("p_brand", "p_partkey", F.lit(s).alias("sign"))
-    return pick(F.desc("p_retailprice"), "high").unionByName(pick(F.asc("p_retailprice"), "low"))
-
-
-@query("""SELECT protein_id, max_by(row_id, (family = 'AA9', coalesce(length(notes), 0), row_id)) AS best FROM crystal_reference_list WHERE protein_id IS NOT NULL GROUP BY 1""")
-def t5_best_hit(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "crystal_reference_list").where("protein_id is not null")
-    return x.groupBy("protein_id").agg(F.max_by("row_id", F.struct(F.col("family") == "AA9", F.coalesce(F.length("notes"), F.lit(0)), "row_id")).alias("best"))
-
-
 @query("""SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) ORDER BY r, p_brand LIMIT 40""")
 def t6_round_robin(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")))

@@ -43,7 +43,7 @@ def s1_missing_path(spark: SparkSession, d: str) -> DataFrame:
 def s3_semicolon_reference(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "crystal_reference_list").select("family", "pdb_code", F.coalesce("chain", F.lit("\\N")).alias("chain"))
     df.write.csv(p := _path(spark, "semicolon"), sep=";", header=True, emptyValue='""', nullValue="")
-    got = readers.read_checked(spark, p, ["family", "pdb_code"])
+    got = readers.read_delimited(spark, p, ["family", "pdb_code"])
     return got.where("family = 'AA10' and pdb_code is not null").select("pdb_code", F.nullif(F.coalesce("chain", F.lit("")), F.lit("\\N")).alias("chain")).orderBy("pdb_code")
 
 
@@ -80,17 +80,6 @@ def s9_jsonl_k9(spark: SparkSession, d: str) -> DataFrame:
     return replay.last_state(got, "user_id", "event_type", ["at", "event_id"], done="purchase", revoked="error")
 
 
-@query("SELECT l_orderkey || '.' || l_linenumber AS target, 'q' || l_partkey AS query, CAST(l_quantity AS INT) AS query_length, l_discount AS e_value, l_tax AS score, l_linenumber AS ali_from, l_linenumber + 10 AS ali_to FROM lineitem")
-def s10_domtblout(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem")
-    dots = [F.lit("-")] * 22
-    dots[0], dots[3], dots[5], dots[6], dots[7] = F.concat_ws(".", "l_orderkey", "l_linenumber"), F.concat(F.lit("q"), "l_partkey"), F.col("l_quantity").cast("int"), F.col("l_discount"), F.col("l_tax")
-    dots[17], dots[18] = F.col("l_linenumber"), F.col("l_linenumber") + 10
-    l.select(F.concat_ws("   ", *dots)).write.text(p := _path(spark, "domtblout"))
-    spark.range(1).select(F.lit("# comment   x")).write.mode("append").text(p)
-    return readers.read_domtblout(spark, p)
-
-
 @query("SELECT CAST(row_id AS VARCHAR) AS id, CASE WHEN sequence_length > 250 THEN 'SP' ELSE 'OTHER' END AS prediction, CASE WHEN sequence_length > 250 THEN sequence_length % 40 END AS cleavage FROM proteins")
 def s11_signalp(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("sequence_length")
@@ -111,13 +100,6 @@ def s13_first_row(spark: SparkSession, d: str) -> DataFrame:
     return readers.first_row_long(table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size"), "p_partkey")
 
 
-@query("""WITH p AS (SELECT o_custkey AS t, o_orderkey % 5 AS r, o_orderkey % 7 AS seed, o_orderkey % 3 AS sample FROM orders), b AS (SELECT t, max(r) AS r FROM p GROUP BY t) SELECT CAST(t AS VARCHAR) AS target, CAST(r AS INT) AS run, CAST(seed AS INT) AS seed, CAST(sample AS INT) AS sample, count(*) AS n FROM p JOIN b USING (t, r) GROUP BY ALL""")
-def s14_discover(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    paths = table(spark, d, "orders").select(F.concat(F.lit("/work/"), "o_custkey", F.lit("/run_"), k % 5, F.lit("/seed-"), k % 7, F.lit("_sample-"), k % 3, F.lit("/model.cif")).alias("path"))
-    return readers.discover(paths).groupBy("target", "run", "seed", "sample").agg(F.count("*").alias("n"))
-
-
 @query("SELECT CAST(vec_id AS INT) AS serial, 'C' AS atom, 'ALA' AS residue, 'A' AS chain, CAST(label AS INT) AS number, round(CAST(embedding[1] AS DOUBLE), 3) AS x, round(CAST(embedding[2] AS DOUBLE), 3) AS y, round(CAST(embedding[3] AS DOUBLE), 3) AS z FROM embeddings")
 def s17_pdb_atoms(spark: SparkSession, d: str) -> DataFrame:
     e = lambda i: F.lpad(F.format_string("%.3f", F.element_at("embedding", i).cast("double")), 8, " ")
@@ -170,3 +152,89 @@ def k5_report_json(spark: SparkSession, d: str) -> DataFrame:
     ok = F.coalesce("passed", F.lit(False))
     writers.write_jsonl(table(spark, d, "geometry_result").select("pose_key", F.struct(ok.alias("passed"), F.when(ok, "pass").otherwise("fail").alias("overall")).alias("verdict")), p := _path(spark, "reports"))
     return readers.read_jsonl(spark, p, "pose_key long, verdict struct<passed: boolean, overall: string>").select("pose_key", "verdict.passed", "verdict.overall")
+
+
+@query("SELECT p_partkey, p_brand, p_size, p_retailprice, typeof(CAST(p_partkey AS INT)) = 'INTEGER' AS is_int FROM part")
+def s2_typed_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Types inferred from the text: whole numbers, numbers and text."""
+    table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice").write.csv(p := _path(spark, "inferred"), header=True, sep="\t")
+    got = readers.read_inferred(spark, p)
+    kinds = dict(got.dtypes)
+    return got.select(F.col("p_partkey").cast("bigint"), "p_brand", "p_size", "p_retailprice", F.lit(kinds["p_partkey"] == "int" and kinds["p_retailprice"] == "double").alias("is_int"))
+
+
+@query(r"""WITH r AS (SELECT row_id, row_number() OVER (ORDER BY row_id) + 1 AS line_no, trim(replace(replace(coalesce(uniprot_id, ''), ';', ' '), '\n', ' ')) AS u FROM oligo_active_updated)
+SELECT row_id, line_no, len(list_filter(string_split_regex(upper(u), '[\s,;|/]+'), lambda x: lower(x) NOT IN ('', '-', 'nan', 'none'))) AS n_tokens FROM r""")
+def s4_token_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a header-checked file with their line numbers and the ids of a cell as an array."""
+    cell = F.trim(F.translate(F.coalesce("uniprot_id", F.lit("")), ";\n", "  "))
+    rows = table(spark, d, "oligo_active_updated").select("row_id", F.concat_ws(";", F.col("row_id"), cell).alias("v")).orderBy("row_id")
+    lines = spark.createDataFrame([(-1, "Row ; UniProt;GenBank")], "row_id long, v string").unionByName(rows).coalesce(1).orderBy("row_id").select("v").coalesce(1)
+    lines.write.text(p := _path(spark, "characterized"))
+    got = readers.token_arrays(readers.read_checked(spark, p, ["uniprot", "genbank"]), {"ids": "uniprot"})
+    return got.select(F.col("row").cast("bigint").alias("row_id"), "line_no", F.size("ids").cast("bigint").alias("n_tokens"))
+
+
+@query(r"""WITH r AS (SELECT row_id, organism, protein_id, CASE row_id % 3 WHEN 0 THEN 'ncbi' WHEN 1 THEN 'jgi' ELSE 'other' END AS source FROM proteins WHERE organism IS NOT NULL AND protein_id IS NOT NULL)
+SELECT 'ncbi' AS kind, NULL AS organism, count(*) AS n, NULL AS ids FROM r WHERE source = 'ncbi' UNION ALL SELECT 'jgi', array_to_string(string_split_regex(trim(organism), '\s+')[1:2], ' '), count(*), array_to_string(list_sort(list(trim(protein_id))), ',') FROM r WHERE source = 'jgi' GROUP BY ALL""")
+def s5_organism_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Accessions of the nucleotide databases, and those of the genome portal by genus and species."""
+    r = table(spark, d, "proteins").where("organism is not null and protein_id is not null")
+    source = F.when(F.col("row_id") % 3 == 0, "NCBI").when(F.col("row_id") % 3 == 1, "jgi").otherwise("other")
+    version = F.when(F.col("row_id") % 2 == 0, F.concat("organism", F.lit(" v1.0"))).otherwise(F.col("organism"))
+    r.select(F.concat_ws("\t", F.lit("AA9"), F.lit("Eukaryota"), version, "protein_id", source)).write.text(p := _path(spark, "export"))
+    spark.range(1).select(F.lit("AA9\tshort")).write.mode("append").text(p)
+    plain, groups = readers.read_family_export(spark, p)
+    none = F.lit(None).cast("string")
+    one = plain.agg(F.count("*").alias("n")).select(F.lit("ncbi").alias("kind"), none.alias("organism"), "n", none.alias("ids"))
+    return one.unionByName(groups.select(F.lit("jgi").alias("kind"), "organism", F.size("accessions").cast("bigint").alias("n"), F.array_join("accessions", ",").alias("ids")))
+
+
+@query("""SELECT 'd' || l_linenumber AS domain_name, CAST(l_quantity AS INT) * 4 AS model_length, 'q' || l_orderkey AS query_name, CAST(l_quantity AS INT) + 300 AS seq_length, l_discount AS evalue, l_tax AS score, 1 AS hmm_from, 9 AS hmm_to, l_linenumber AS seq_start, l_linenumber + 20 AS seq_end, CAST(0.5 AS DOUBLE) AS acc, 'a long name' AS description, 'x' AS source, 21 AS alignment_length, round(21.0 / (CAST(l_quantity AS INT) * 4), 9) AS coverage FROM lineitem""")
+def s10_domtblout(spark: SparkSession, d: str) -> DataFrame:
+    """All 22 fields of a domain table, and what follows from them."""
+    q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber")
+    cells = {"domain_name": F.concat(F.lit("d"), n), "model_length": q * 4, "query_name": F.concat(F.lit("q"), "l_orderkey"), "seq_length": q + 300, "evalue": F.col("l_discount"), "score": F.col("l_tax"), "hmm_from": F.lit(1), "hmm_to": F.lit(9), "seq_start": n, "seq_end": n + 20, "acc": F.lit("0.5")}
+    line = F.concat_ws("   ", *(cells.get(name, F.lit("-")) for name, _ in readers.DOMTBLOUT), F.lit("a long name"))
+    table(spark, d, "lineitem").select(line).write.text(p := _path(spark, "domtblout"))
+    spark.range(1).select(F.lit("# comment   x")).write.mode("append").text(p)
+    got = readers.read_domtblout(spark, p, "x")
+    return got.select(*cells, "description", "source", "alignment_length", F.round("coverage", 9).alias("coverage"))
+
+
+@query("""WITH p AS (SELECT o_custkey % 5 AS t, o_orderkey % 5 AS r, o_orderkey % 7 AS seed, o_orderkey % 3 AS sample FROM orders), b AS (SELECT t, CASE WHEN t % 4 = 0 THEN 9 ELSE max(r) END AS r FROM p GROUP BY t), a AS (SELECT t, CASE WHEN t % 4 = 0 AND r = 2 THEN 9 ELSE r END AS r, seed, sample FROM p), c AS (SELECT t, max(r) AS r FROM a GROUP BY t)
+SELECT CAST(t AS VARCHAR) AS target, CASE WHEN r = 9 THEN 2147483647 ELSE CAST(r AS INT) END AS run, CAST(seed AS INT) AS seed, CAST(sample AS INT) AS sample, 1 AS n FROM (SELECT DISTINCT a.* FROM a JOIN c USING (t, r))""")
+def s14_discover(spark: SparkSession, d: str) -> DataFrame:
+    """Result files found in a folder: a real tree is written and listed; of each target the latest run."""
+    k = F.col("o_orderkey")
+    t, r = F.col("o_custkey") % 5, k % 5
+    run = F.when((t % 4 == 0) & (r == 2), "latest").otherwise(F.concat(F.lit("run_"), r))
+    root = _path(spark, "tree")
+    rows = table(spark, d, "orders").select(t.cast("string").alias("t"), run.alias("run"), F.concat(F.lit("seed-"), k % 7, F.lit("_sample-"), k % 3).alias("s")).distinct()
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for x in rows.collect():  # the tree of this test: 525 files at most, whatever the table
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{x.t}/{x.run}/{x.s}/model.cif"))
+        out.write(35)
+        out.close()
+    return readers.discover(readers.list_files(spark, root, "*.cif")).groupBy("target", "run", "seed", "sample").agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT DISTINCT condition_id, pose_key FROM cbm_analysis_result WHERE condition_id IS NOT NULL AND cbm_ligand_min_dist IS NOT NULL), f AS (SELECT condition_id, min(pose_key) AS pose_key FROM geometry_result WHERE condition_id NOT IN (SELECT condition_id FROM a) GROUP BY 1),
+u AS (SELECT condition_id, pose_key, 'pose' AS origin FROM a UNION ALL SELECT condition_id, pose_key, 'top_model' FROM f) SELECT condition_id, pose_key, origin FROM (SELECT *, row_number() OVER (PARTITION BY condition_id ORDER BY pose_key) AS r FROM u) WHERE r <= 5""")
+def s15_fallback_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Poses of each condition in order, five at most; of conditions without any the top model."""
+    poses = table(spark, d, "cbm_analysis_result").where("condition_id is not null").select("condition_id", "pose_key", F.col("cbm_ligand_min_dist").isNotNull().alias("usable")).distinct()
+    top = table(spark, d, "geometry_result").groupBy("condition_id").agg(F.min("pose_key").alias("pose_key"))
+    return readers.pose_inputs(poses, top, "condition_id", ["pose_key"], keep=F.col("usable"), cap=5).select("condition_id", "pose_key", "origin")
+
+
+@query("""WITH s AS (SELECT pilot_rank, min(uniprot_id) AS uniprot_id FROM clustering_pilot_protein_overview WHERE pilot_rank <= 5 GROUP BY 1) SELECT 'table' AS origin, pilot_rank, uniprot_id, run_domain_only, lower(coalesce(has_cbm, '')) = 'ja' AS has_cbm FROM clustering_pilot_protein_overview UNION ALL SELECT 'manifest', pilot_rank, uniprot_id, true, NULL FROM s WHERE uniprot_id IS NOT NULL""")
+def s22_pilot_overview(spark: SparkSession, d: str) -> DataFrame:
+    """The overview table, and a selection manifest of its first ranks as text that is read back."""
+    o = table(spark, d, "clustering_pilot_protein_overview")
+    one = o.select(F.lit("table").alias("origin"), "pilot_rank", "uniprot_id", "run_domain_only", (F.lower(F.coalesce("has_cbm", F.lit(""))) == "ja").alias("has_cbm"))
+    top = o.where("pilot_rank <= 5").groupBy("pilot_rank").agg(F.min("uniprot_id").alias("uniprot_id")).where("uniprot_id is not null").collect()  # a manifest of five entries
+    text = "selection:\n" + "".join(f"  - pilot_rank: {r.pilot_rank}\n    uniprot_id: '{r.uniprot_id}'  # id\n    run_domain_only: true\n" for r in top)
+    entries = [(e["pilot_rank"], str(e["uniprot_id"]), e["run_domain_only"]) for e in readers.read_selection(text)]
+    two = spark.createDataFrame(entries, "pilot_rank int, uniprot_id string, run_domain_only boolean")
+    return one.unionByName(two.select(F.lit("manifest").alias("origin"), "pilot_rank", "uniprot_id", "run_domain_only", F.lit(None).cast("boolean").alias("has_cbm")))

@@ -42,14 +42,6 @@ def j8_group_distances(spark: SparkSession, d: str) -> DataFrame:
     return c.where(s >= 0.5).select(F.col("grp").alias("label"), "a", "b", F.round(1 - s, 9).alias("distance"))
 
 
-@query(f"""WITH c AS (SELECT protein_id, substrate, construct, avg(n_non_vdw_interactions) AS m FROM {P} GROUP BY ALL), o AS (SELECT upper(trim(uniprot_id)) AS k, max(regio) AS regio, max(oligo_active) AS active FROM oligo_active_updated GROUP BY 1)
-SELECT protein_id, substrate, construct, round(m, 6) AS m, coalesce(regio, 'unknown') AS regio, coalesce(lower(active), 'unknown') AS active FROM c LEFT JOIN o ON c.protein_id = o.k""")
-def j10_metrics_with_labels(spark: SparkSession, d: str) -> DataFrame:
-    c = _poses(spark, d).groupBy("protein_id", "substrate", "construct").agg(F.round(F.avg("n_non_vdw_interactions"), 6).alias("m"))
-    o = table(spark, d, "oligo_active_updated").groupBy(F.upper(F.regexp_replace("uniprot_id", "^ +| +$", "")).alias("protein_id")).agg(F.max("regio").alias("regio"), F.max("oligo_active").alias("active"))
-    return c.join(o, "protein_id", "left").select("protein_id", "substrate", "construct", "m", F.coalesce("regio", F.lit("unknown")).alias("regio"), F.coalesce(F.lower("active"), F.lit("unknown")).alias("active"))
-
-
 @query()
 def j18_sequence_match(spark: SparkSession, d: str) -> DataFrame:
     """Positions of each sequence and the one before it in its accession group, paired by matching blocks."""
@@ -65,15 +57,6 @@ def j18_sequence_match(spark: SparkSession, d: str) -> DataFrame:
     return p.select("protein_id", F.explode(blocks("a", "b")).alias("m")).select("protein_id", "m.i", "m.j", "m.n")
 
 
-@query("""WITH s AS (SELECT condition_id, any_value(n_clusters) AS c FROM (SELECT condition_id, arg_max(n_clusters, (reported_at, coalesce(n_clusters, -1))) AS n_clusters FROM condition_cluster_summary GROUP BY condition_id) GROUP BY 1)
-SELECT b.condition_id, count(*) AS n, count(s.c) AS n_with_summary, count(g.pose_key) AS n_with_geometry FROM (SELECT DISTINCT pose_key, condition_id FROM cbm_analysis_result) b LEFT JOIN s USING (condition_id) LEFT JOIN (SELECT DISTINCT pose_key FROM geometry_result WHERE passed) g USING (pose_key) GROUP BY 1""")
-def j22_assignment_chain(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "cbm_analysis_result").select("pose_key", "condition_id").distinct()
-    s = table(spark, d, "condition_cluster_summary").groupBy("condition_id").agg(F.max_by("n_clusters", F.struct("reported_at", F.coalesce("n_clusters", F.lit(-1)))).alias("c"))
-    g = table(spark, d, "geometry_result").where("passed").select("pose_key", F.lit(1).alias("g")).distinct()
-    return b.join(s, "condition_id", "left").join(g, "pose_key", "left").groupBy("condition_id").agg(F.count("*").alias("n"), F.count("c").alias("n_with_summary"), F.count("g").alias("n_with_geometry"))
-
-
 @query()
 def j24_greedy_atoms(spark: SparkSession, d: str) -> DataFrame:
     """Points of one label matched to those of the next by coordinates, nearest first, each once."""
@@ -147,13 +130,6 @@ def a27_group_tables(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("construct").agg(F.count("*").alias("n_proteins"), F.median("m").alias("group_median"), F.round(F.avg("m"), 6).alias("group_mean"), F.count_if(F.col("m") > 10).alias("n_high"))
 
 
-@query("""SELECT CASE WHEN y_true = 1 THEN 'active' ELSE 'inactive' END AS truth, CASE WHEN y_pred = 1 THEN 'active' ELSE 'inactive' END AS predicted, count(*) AS n, count(*) / sum(count(*)) OVER () AS share, round(avg(y_score), 6) AS mean_score FROM cv_prediction WHERE y_true IS NOT NULL AND y_pred IS NOT NULL GROUP BY ALL""")
-def a28_two_by_two(spark: SparkSession, d: str) -> DataFrame:
-    label = lambda c: F.when(F.col(c) == 1, "active").otherwise("inactive")
-    t = table(spark, d, "cv_prediction").where("y_true is not null and y_pred is not null").groupBy(label("y_true").alias("truth"), label("y_pred").alias("predicted")).agg(F.count("*").alias("n"), F.round(F.avg("y_score"), 6).alias("mean_score"))
-    return t.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
-
-
 @query("""WITH r AS (SELECT upper(trim(uniprot_id)) AS k, max(regio) AS regio FROM oligo_active_updated GROUP BY 1), m AS (SELECT protein_id, median(min_cu_c1 - min_cu_c4) AS diff FROM geometry_result WHERE isfinite(min_cu_c1) AND isfinite(min_cu_c4) GROUP BY 1)
 SELECT coalesce(regio, 'unknown') AS regio, count(*) AS n, round(median(diff), 6) AS median_diff FROM m LEFT JOIN r ON m.protein_id = r.k GROUP BY 1""")
 def a29_regio_geometry(spark: SparkSession, d: str) -> DataFrame:
@@ -162,14 +138,6 @@ def a29_regio_geometry(spark: SparkSession, d: str) -> DataFrame:
     return m.join(r, "protein_id", "left").groupBy(F.coalesce("regio", F.lit("unknown")).alias("regio")).agg(F.count("*").alias("n"), F.round(F.median("diff"), 6).alias("median_diff"))
 
 
-@query("""SELECT stream_id, count(*) AS n, count(*) FILTER (json_type(j) = 'OBJECT') AS n_readable, count(*) FILTER (json_extract_string(j, '$.overall_status') = 'hard_fail') AS n_hard_fail FROM (SELECT stream_id, CASE WHEN json_valid(payload) THEN payload ELSE 'null' END AS j FROM qc_report_raw) GROUP BY 1""")
-def a32_report_counts(spark: SparkSession, d: str) -> DataFrame:
-    v = F.try_parse_json("payload")
-    q = table(spark, d, "qc_report_raw").select("stream_id", v.alias("v"))
-    ok = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    return q.groupBy("stream_id").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_readable"), F.count_if(F.try_variant_get("v", "$.overall_status", "string") == "hard_fail").alias("n_hard_fail"))
-
-
 @query("""SELECT family, count(*) AS n_rows, count(DISTINCT upper(trim(uniprot_id))) AS n_sequences, count(*) FILTER (coalesce(trim(oligo_active_classes), '') <> '') AS n_annotated FROM oligo_active_updated GROUP BY 1""")
 def a34_domain_counts(spark: SparkSession, d: str) -> DataFrame:
     t = lambda c: F.regexp_replace(c, "^ +| +$", "")
@@ -322,32 +290,6 @@ def e14_plain_rmsd(spark: SparkSession, d: str) -> DataFrame:
 # ---- sources ---------------------------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, p_brand, p_size, p_retailprice FROM part")
-def s2_typed_csv(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice").write.csv(p := Workspace(spark, "csv").root + "/part", header=True)
-    return spark.read.csv(p, header=True, schema="p_partkey long, p_brand string, p_size int, p_retailprice double")
-
-
-@query("""SELECT row_id, len(string_split(coalesce(cat_group_accessions_used, ''), ';')) AS n_tokens, string_split(coalesce(cat_group_accessions_used, ''), ';')[1] AS first_token FROM metadata_pdb_count""")
-def s4_token_arrays(spark: SparkSession, d: str) -> DataFrame:
-    t = F.split(F.coalesce("cat_group_accessions_used", F.lit("")), ";")
-    return table(spark, d, "metadata_pdb_count").select("row_id", F.size(t).cast("bigint").alias("n_tokens"), t[0].alias("first_token"))
-
-
-@query("""SELECT array_to_string(string_split(organism, ' ')[1:2], ' ') AS organism, count(DISTINCT protein_id) AS n, array_to_string(list_sort(list(DISTINCT protein_id)), ',') AS ids FROM proteins WHERE organism IS NOT NULL AND protein_id IS NOT NULL GROUP BY 1""")
-def s5_organism_groups(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "proteins").where("organism is not null and protein_id is not null")
-    return p.groupBy(F.array_join(F.slice(F.split("organism", " "), 1, 2), " ").alias("organism")).agg(F.countDistinct("protein_id").alias("n"), S.sorted_join(F.col("protein_id")).alias("ids"))
-
-
-@query("""WITH a AS (SELECT condition_id, pose_key FROM cbm_analysis_result), f AS (SELECT condition_id, pose_key FROM geometry_result WHERE condition_id NOT IN (SELECT condition_id FROM a)) SELECT 'primary' AS origin, condition_id, count(*) AS n FROM a GROUP BY ALL UNION ALL SELECT 'fallback', condition_id, count(*) FROM f GROUP BY ALL""")
-def s15_fallback_inputs(spark: SparkSession, d: str) -> DataFrame:
-    a, g = table(spark, d, "cbm_analysis_result"), table(spark, d, "geometry_result")
-    one = a.groupBy("condition_id").agg(F.count("*").alias("n")).select(F.lit("primary").alias("origin"), "condition_id", "n")
-    two = g.join(a, "condition_id", "left_anti").groupBy("condition_id").agg(F.count("*").alias("n")).select(F.lit("fallback").alias("origin"), "condition_id", "n")
-    return one.unionByName(two)
-
-
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS case_id, o_orderstatus AS status, CAST(o_custkey AS VARCHAR) AS protein_id FROM orders")
 def s21_case_manifest_k10(spark: SparkSession, d: str) -> DataFrame:
     cols = ["case_id", "status", "protein_id"]
@@ -356,13 +298,3 @@ def s21_case_manifest_k10(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_tsv(spark, p, cols, sep=",")
 
 
-@query("SELECT pilot_rank, uniprot_id, run_domain_only, run_full_length, lower(coalesce(has_cbm, '')) = 'ja' AS has_cbm FROM clustering_pilot_protein_overview")
-def s22_pilot_overview(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "clustering_pilot_protein_overview").select("pilot_rank", "uniprot_id", "run_domain_only", "run_full_length", (F.lower(F.coalesce("has_cbm", F.lit(""))) == "ja").alias("has_cbm"))
-
-
-@query(f"""WITH x AS (SELECT left_m AS a, right_m AS b FROM {_PAIR} WHERE left_m IS NOT NULL AND right_m IS NOT NULL) SELECT count(*) AS n, round(avg(b - a), 6) AS mean_diff, round(CASE WHEN stddev_samp(b - a) > 0 THEN avg(b - a) / (stddev_samp(b - a) / sqrt(count(*))) END, 6) AS t FROM x""")
-def q13_paired_compare(spark: SparkSession, d: str) -> DataFrame:
-    x = _pairs(spark, d).where("left_m is not null and right_m is not null").select((F.col("right_m") - F.col("left_m")).alias("d"))
-    s = x.agg(F.count("*").alias("n"), F.avg("d").alias("m"), F.when(F.count("d") > 1, F.stddev_samp("d")).alias("sd"))
-    return s.select("n", F.round("m", 6).alias("mean_diff"), F.round(F.when(F.col("sd") > 0, F.col("m") / (F.col("sd") / F.sqrt("n"))), 6).alias("t"))

@@ -75,22 +75,6 @@ def q8_pairwise_auc(spark: SparkSession, d: str) -> DataFrame:
     return Q.pairwise_auc(c, "c_acctbal", "c_mktsegment", names).withColumn("auc", F.round("auc", 9))
 
 
-@query("""WITH s AS (SELECT model_name, avg(y_score) FILTER (y_true = 1) AS m1, avg(y_score) FILTER (y_true = 0) AS m0, var_samp(y_score) FILTER (y_true = 1) AS v1, var_samp(y_score) FILTER (y_true = 0) AS v0, count(y_score) FILTER (y_true = 1) AS n1, count(y_score) FILTER (y_true = 0) AS n0 FROM cv_prediction GROUP BY 1)
-SELECT model_name, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS t, round((v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)), 4) AS df FROM s""")
-def q10_welch(spark: SparkSession, d: str) -> DataFrame:
-    return Q.welch(_cv(spark, d), "y_score", "y_true", ["model_name"]).select("model_name", F.round("t", 6).alias("t"), F.round("df", 4).alias("df"))
-
-
-@query("""WITH r AS (SELECT p_brand, p_size, p_retailprice, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS a, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2.0 AS b FROM part)
-SELECT p_brand, round(corr(p_size, p_retailprice), 6) AS pearson, round(corr(a, b), 6) AS spearman, CASE WHEN stddev_pop(CASE WHEN p_size > 25 THEN 1.0 ELSE 0.0 END) > 0 AND stddev_pop(CASE WHEN p_retailprice > 1400 THEN 1.0 ELSE 0.0 END) > 0 THEN round(corr(CASE WHEN p_size > 25 THEN 1.0 ELSE 0.0 END, CASE WHEN p_retailprice > 1400 THEN 1.0 ELSE 0.0 END), 6) END AS phi FROM r GROUP BY 1""")
-def q11_correlations(spark: SparkSession, d: str) -> DataFrame:
-    from fjordmill.operators.relational import average_rank
-
-    r = table(spark, d, "part").withColumn("a", average_rank("p_size", ["p_brand"])).withColumn("b", average_rank("p_retailprice", ["p_brand"]))
-    flag = lambda c, v: F.when(F.col(c) > v, 1.0).otherwise(0.0)
-    return r.groupBy("p_brand").agg(F.round(Q.correlation(F.col("p_size"), F.col("p_retailprice")), 6).alias("pearson"), F.round(Q.correlation(F.col("a"), F.col("b")), 6).alias("spearman"), F.round(Q.correlation(flag("p_size", 25), flag("p_retailprice", 1400)), 6).alias("phi"))
-
-
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2 FROM lineitem GROUP BY 1")
 def q12_linear_fit(spark: SparkSession, d: str) -> DataFrame:
     y, x = "l_extendedprice", "l_quantity"
@@ -114,12 +98,6 @@ def q9_anova(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(Q.two_way_anova(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag", "l_linestatus"))
 
 
-@query(f"""WITH p AS (SELECT right_m - left_m AS x FROM {_PAIR}) SELECT 'contacts' AS metric, count(x) AS n, median(x) AS median_delta, round(avg(x), 6) AS mean_delta, count(*) FILTER (x > 0) AS n_up, count(*) FILTER (x < 0) AS n_down FROM p""")
-def a18_endpoint_summary(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("right_m") - F.col("left_m")
-    return _pairs(spark, d).select(x.alias("x")).agg(F.count("x").alias("n"), F.median("x").alias("median_delta"), F.round(F.avg("x"), 6).alias("mean_delta"), F.count_if(F.col("x") > 0).alias("n_up"), F.count_if(F.col("x") < 0).alias("n_down")).select(F.lit("contacts").alias("metric"), "*")
-
-
 @query(f"""SELECT protein_id, substrate, round(avg(n_non_vdw_interactions), 6) AS contacts, round(avg(CASE WHEN isfinite(min_cu_c1) THEN min_cu_c1 END), 6) AS c1, CAST(max(CASE WHEN passed THEN 1 ELSE 0 END) AS BIGINT) AS label FROM {P} GROUP BY ALL""")
 def a23_modeling_rows(spark: SparkSession, d: str) -> DataFrame:
     return _model_rows(spark, d).select("protein_id", "substrate", F.round("contacts", 6).alias("contacts"), F.round("c1", 6).alias("c1"), "label")

@@ -293,14 +293,14 @@ def a40_enrichment(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH al AS (SELECT f.family, l.protein_id, l.residue_number, min(l.residue_name) AS residue_name FROM {_LABELS} l JOIN {_FAM} f USING (protein_id) WHERE residue_chain = 'A' GROUP BY ALL), alc AS (SELECT *, row_number() OVER (PARTITION BY family, protein_id ORDER BY residue_number) AS alignment_column FROM al),
-sc AS (SELECT protein_id, residue_number, count(*) AS contacts FROM {_LABELS} WHERE residue_chain = 'A' AND residue_number % 2 = 0 GROUP BY ALL), rg AS (SELECT protein_id, round(avg(c1 - c4) + 1e-9, 6) AS delta FROM (SELECT protein_id, min_cu_c1 AS c1, min_cu_c4 AS c4 FROM geometry_result WHERE isfinite(min_cu_c1) AND isfinite(min_cu_c4)) GROUP BY 1)
+sc AS (SELECT protein_id, residue_number, count(*) AS contacts FROM {_LABELS} WHERE residue_chain = 'A' AND residue_number <= 220 GROUP BY ALL), rg AS (SELECT protein_id, round(avg(c1 - c4) + 1e-9, 6) AS delta FROM (SELECT protein_id, min_cu_c1 AS c1, min_cu_c4 AS c4 FROM geometry_result WHERE isfinite(min_cu_c1) AND isfinite(min_cu_c4)) GROUP BY 1)
 SELECT al.family, al.alignment_column, count(*) AS n_proteins, CAST(coalesce(sum(contacts), 0) AS BIGINT) AS contacts, round(avg(delta) + 1e-9, 5) AS mean_delta FROM alc al LEFT JOIN sc USING (protein_id, residue_number) LEFT JOIN rg USING (protein_id) WHERE contacts IS NOT NULL OR delta IS NOT NULL GROUP BY ALL""")
 def j4_aligned_scores(spark: SparkSession, d: str) -> DataFrame:
     """Alignment rows with condition scores and regioselectivity; rows that have neither are dropped."""
     lab = _labels(spark, d).where("residue_chain = 'A'")
     rows = lab.join(_families(spark, d), "protein_id").groupBy("family", "protein_id", "residue_number").agg(F.min("residue_name").alias("residue_name"))
     rows = rows.withColumn("alignment_column", F.row_number().over(Window.partitionBy("family", "protein_id").orderBy("residue_number")))
-    scores = lab.where("residue_number % 2 = 0").groupBy("protein_id", "residue_number").agg(F.count("*").alias("contacts"))
+    scores = lab.where("residue_number <= 220").groupBy("protein_id", "residue_number").agg(F.count("*").alias("contacts"))
     regio = table(spark, d, "geometry_result").where(finite("min_cu_c1") & finite("min_cu_c4")).groupBy("protein_id").agg(F.round(F.avg(F.col("min_cu_c1") - F.col("min_cu_c4")) + HAIR, 6).alias("delta"))
     told = family.aligned(rows, [(scores, ["protein_id", "residue_number"]), (regio, ["protein_id"])], ["contacts", "delta"])
     return told.groupBy("family", "alignment_column").agg(F.count("*").alias("n_proteins"), F.coalesce(F.sum("contacts"), F.lit(0)).alias("contacts"), F.round(F.avg("delta") + HAIR, 5).alias("mean_delta"))

@@ -32,3 +32,30 @@ def write_fasta(df: DataFrame, path: str, header: str, sequence: str, width: int
 def summary_json(df: DataFrame, name: str = "summary") -> DataFrame:
     """A one-row table as one JSON document."""
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
+
+
+def _cells(df: DataFrame, most: int) -> tuple[list[str], list[list[str]]]:
+    """A report's rows on the driver; more than ``most`` are refused, not cut off."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: a report shows small tables only")
+    text = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
+    return df.columns, [[text(v) for v in r] for r in rows]
+
+
+def markdown_table(df: DataFrame, most: int = 1000) -> str:
+    names, rows = _cells(df, most)
+    line = lambda cells: "| " + " | ".join(c.replace("|", "\\|").replace("\n", " ") for c in cells) + " |"
+    return "\n".join([line(names), line(["---"] * len(names)), *map(line, rows)]) + "\n"
+
+
+def html_report(title: str, tables: dict[str, DataFrame], most: int = 1000) -> str:
+    """A page with a table per small DataFrame; all text is escaped."""
+    from html import escape
+
+    parts = [f"<!doctype html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>"]
+    for name, df in tables.items():
+        names, rows = _cells(df, most)
+        row = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{escape(c)}</{tag}>" for c in cells) + "</tr>"
+        parts.append(f"<h2>{escape(name)}</h2><table>{row(names, 'th')}{''.join(row(r, 'td') for r in rows)}</table>")
+    return "".join(parts) + "</body></html>"
