@@ -28,6 +28,6 @@ def parallel_map(df: DataFrame, function: Callable, columns: list[str], result:
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
-    schema = StructType(df.schema.fields).add(result, kind).add(error, "string")
+    schema = StructType(list(df.schema.fields)).add(result, kind).add(error, "string")
     b_type = to_arrow_type(schema[result].dataType)
     return df.mapInArrow(run, schema)
