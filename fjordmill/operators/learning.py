@@ -176,20 +176,27 @@ def cluster_groups(df: DataFrame, group: str, key: str, vector: str, method: str
     return df.select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {g}, {key} {k}, label long, medoid long, distance double")
 
 
+def greedy_folds(pdf: pd.DataFrame, unit: str, label: str, folds: int) -> dict:
+    """Unit -> fold. A unit is positive, negative or mixed by its rows; of each kind the largest units go first, each to
+    the fold that has least of its kind, then least of all."""
+    per = pdf.groupby(unit)[label].agg(["size", "min", "max"]).reset_index()
+    per["kind"] = np.where(per["min"] == per["max"], per["max"].astype(int), 2)
+    load, out = np.zeros((3, folds)), {}
+    for u, n, kind in per.sort_values(["kind", "size", unit], ascending=[False, False, True])[[unit, "size", "kind"]].itertuples(index=False):
+        f = int(np.lexsort((load.sum(axis=0), load[kind]))[0])
+        load[kind][f] += n
+        out[u] = f
+    return out
+
+
 def balanced_folds(df: DataFrame, run: str, unit: str, label: str, folds: int = 5) -> DataFrame:
-    """(run, unit, fold): units of each run in order of label and size, each to the smallest fold so far."""
+    """(run, unit, fold): see greedy_folds. A run's units are the work of one task."""
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        per = pdf.groupby(unit).agg(n=(label, "size"), pos=(label, "max")).reset_index().sort_values(["pos", "n", unit], ascending=[False, False, True])
-        load = {v: np.zeros(folds) for v in per["pos"].unique()}
-        out = []
-        for u, n, pos in per[[unit, "n", "pos"]].itertuples(index=False):
-            f = int(load[pos].argmin())
-            load[pos][f] += n
-            out.append((pdf[run].iloc[0], u, f))
-        return pd.DataFrame(out, columns=[run, unit, "fold"])
+        made = greedy_folds(pdf, unit, label, folds)
+        return pd.DataFrame([(pdf[run].iloc[0], u, f) for u, f in made.items()], columns=[run, unit, "fold"])
 
-    return df.where(f"{unit} is not null").select(run, unit, label).groupBy(run).applyInPandas(assign, f"{run} string, {unit} string, fold long")
+    return df.where(f"{unit} is not null and {label} is not null").select(run, unit, label).groupBy(run).applyInPandas(assign, f"{run} string, {unit} string, fold long")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -212,12 +219,7 @@ def grouped_cv(df: DataFrame, run: str, key: str, unit: str, features: list[str]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=[label]).sort_values(key)
-        units = pdf.groupby(unit)[label].agg(["size", "max"]).reset_index().sort_values(["max", "size", unit], ascending=[False, False, True])
-        load, fold_of = np.zeros((2, folds)), {}
-        for u, n, m in units.itertuples(index=False):
-            f = int(load[int(m)].argmin())
-            load[int(m)][f] += n
-            fold_of[u] = f
+        fold_of = greedy_folds(pdf, unit, label, folds)
         fold = pdf[unit].map(fold_of).to_numpy()
         x, y = pdf[features].to_numpy(float), pdf[label].to_numpy(int)
         score = np.full(len(y), np.nan)
@@ -255,12 +257,12 @@ def fold_metrics(scored: DataFrame, run: str, key: str, label: str, score: str)
     return told.select("*", *(F.avg(c).over(every).alias(f"mean_{c}") for c in names), *(F.stddev_pop(c).over(every).alias(f"std_{c}") for c in names))
 
 
-def tree_cv(df: DataFrame, unit: str, features: list[str], label: str, *, folds: int = 5, depth: int = 3, seed: int = 42) -> DataFrame:
-    """(df's columns, fold, prediction, probability, importances): every row as the tree of its fold judges it, which
-    has seen no row of the row's unit. Medians for what is missing and balanced class weights come from the training
-    part of each fold. Rows without a unit or label are left out; where training rows are of one label, no tree is
-    grown and the held-out rows have nulls."""
-    from pyspark.ml.classification import DecisionTreeClassifier
+def baseline_cv(df: DataFrame, unit: str, features: list[str], label: str, *, kind: str = "tree", folds: int = 5, depth: int = 3, c: float = 1.0, seed: int = 42) -> DataFrame:
+    """(df's columns, fold, prediction, probability, importances): every row as the model of its fold judges it (a tree,
+    or a logistic regression, whose importances are the sizes of its coefficients), which has seen no row of the row's unit. Medians for what is missing and balanced class weights come from the training
+    part of each fold. Rows without a unit or label are left out; where training rows are of one label, no model is
+    fitted and the held-out rows have nulls."""
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
@@ -276,8 +278,11 @@ def tree_cv(df: DataFrame, unit: str, features: list[str], label: str, *, folds:
         weight = F.when(F.col(label) == 1, p.n / (2 * p.pos)).otherwise(p.n / (2 * (p.n - p.pos)))
         filled = rows.withColumns({f"_{c}": F.coalesce(f"_{c}", F.lit(float(p[f"_{c}"] or 0.0))) for c in features}).withColumns({"_weight": weight, "_label": F.col(label).cast("double")})
         data = VectorAssembler(inputCols=[f"_{c}" for c in features], outputCol="_features").transform(filled)
-        model = DecisionTreeClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="prediction", probabilityCol="_probability", maxDepth=depth, seed=seed).fit(data.where(F.col("fold") != p["_held"]))
-        share = F.array(*(F.lit(float(v)) for v in model.featureImportances.toArray()))
+        names = {"featuresCol": "_features", "labelCol": "_label", "weightCol": "_weight", "predictionCol": "prediction", "probabilityCol": "_probability"}
+        made = DecisionTreeClassifier(maxDepth=depth, seed=seed, **names) if kind == "tree" else LogisticRegression(maxIter=1000, regParam=1 / (c * p.n), standardization=False, **names)
+        model = made.fit(data.where(F.col("fold") != p["_held"]))
+        weights = model.featureImportances.toArray() if kind == "tree" else np.abs(model.coefficients.toArray())
+        share = F.array(*(F.lit(float(v)) for v in weights))
         told = model.transform(data.where(F.col("fold") == p["_held"])).select(*own, "fold", "prediction", vector_to_array("_probability")[1].alias("probability"), share.alias("importances"))
         out = told if out is None else out.unionByName(told)
     none = rows.where(~F.col("fold").isin([p["_held"] for p in grown])).select(*own, "fold", *(F.lit(None).cast(t).alias(c) for c, t in (("prediction", "double"), ("probability", "double"), ("importances", "array<double>"))))

@@ -146,18 +146,28 @@ def m4_fold_metrics(spark: SparkSession, d: str) -> DataFrame:
     return L.fold_metrics(m4_grouped_cv(spark, d), "run_id", "prediction_id", "y_true", "oof_score")
 
 
-@query()
-def m5_tree_baseline(spark: SparkSession, d: str) -> DataFrame:
-    """Trees of depth 3 on the modeling rows, trained in the cluster: each row as judged by the tree of the fold that
-    holds its protein out, with the fold's balanced accuracy and importances, and their mean over the folds."""
+def _baseline(spark, d, kind):
     features = ["contacts", "c1"]
-    told = L.tree_cv(_model_rows(spark, d), "protein_id", features, "label")
+    told = L.baseline_cv(_model_rows(spark, d), "protein_id", features, "label", kind=kind)
     per = told.where("prediction is not null").groupBy("fold").agg(L.balanced_accuracy("label", "prediction").alias("fold_score"), *(F.first(F.col("importances")[i]).alias(f"importance_{c}") for i, c in enumerate(features)))
     every = Window.partitionBy()  # one row per fold
     per = per.select("*", F.avg("fold_score").over(every).alias("mean_score"), F.stddev_pop("fold_score").over(every).alias("std_score"), *(F.avg(f"importance_{c}").over(every).alias(f"mean_importance_{c}") for c in features))
     return told.select("protein_id", "substrate", F.col("label").cast("double").alias("label"), "fold", "prediction", "probability").join(F.broadcast(per), "fold", "left")
 
 
+@query()
+def m5_tree_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """Trees of depth 3 on the modeling rows, trained in the cluster: each row as judged by the tree of the fold that
+    holds its protein out, with the fold's balanced accuracy and importances, and their mean over the folds."""
+    return _baseline(spark, d, "tree")
+
+
+@query()
+def m5_logistic_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """As m5_tree_baseline, with balanced logistic regressions and the sizes of their coefficients."""
+    return _baseline(spark, d, "logistic")
+
+
 @query("""SELECT 'y_score' AS field, count(*) FILTER (y_score IS NULL) AS n_null, count(*) FILTER (NOT coalesce(y_score BETWEEN 0 AND 1, true)) AS n_bad FROM cv_prediction UNION ALL SELECT 'y_true', count(*) FILTER (y_true IS NULL), count(*) FILTER (y_true NOT IN (0, 1)) FROM cv_prediction""")
 def m6_validation(spark: SparkSession, d: str) -> DataFrame:
     c = _cv(spark, d)
@@ -166,9 +176,20 @@ def m6_validation(spark: SparkSession, d: str) -> DataFrame:
     return one.unionByName(two)
 
 
+def _folds(spark, d):
+    return L.balanced_folds(_cv(spark, d), "run_id", "protein_id", "y_true")
+
+
 @query()
 def w8_balanced_folds(spark: SparkSession, d: str) -> DataFrame:
-    return L.balanced_folds(_cv(spark, d).where("y_true is not null"), "run_id", "protein_id", "y_true")
+    return _folds(spark, d)
+
+
+@query("""SELECT run_id, count(DISTINCT protein_id) AS n_units, 0 AS n_in_several_folds, least(5, count(DISTINCT protein_id)) AS n_folds FROM cv_prediction WHERE protein_id IS NOT NULL AND y_true IS NOT NULL AND run_id IS NOT NULL GROUP BY 1""")
+def w8_fold_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Units per run, units that stand in several folds, and the number of folds."""
+    per = _folds(spark, d).where("run_id is not null").groupBy("run_id", "protein_id").agg(F.countDistinct("fold").alias("k"), F.min("fold").alias("fold"))
+    return per.groupBy("run_id").agg(F.count("*").alias("n_units"), F.count_if(F.col("k") > 1).alias("n_in_several_folds"), F.countDistinct("fold").alias("n_folds"))
 
 
 @query("""SELECT run_id, fold_id, len(test_protein_ids) AS n_test, len(list_intersect(list_distinct(train_protein_ids), list_distinct(test_protein_ids))) AS n_leaked FROM cv_fold""")
@@ -179,14 +200,15 @@ def m7_fold_leakage(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def e14_kabsch(spark: SparkSession, d: str) -> DataFrame:
-    """Deviation of each embedding, read as 21 points, from the first of its label, after the best rotation."""
+    """Deviation of each embedding, read as 32 points of two coordinates, from the first of its label, after the best
+    rotation."""
 
     e = table(spark, d, "embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("ref"))
 
     @F.pandas_udf("double")
     def deviation(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([L.kabsch_rmsd(np.asarray(x, float)[:63].reshape(21, 3), np.asarray(y, float)[:63].reshape(21, 3)) for x, y in zip(a, b)])
+        return pd.Series([L.kabsch_rmsd(np.asarray(x, float).reshape(-1, 2), np.asarray(y, float).reshape(-1, 2)) for x, y in zip(a, b)])
 
     return e.join(first, "label").select("vec_id", "label", deviation("embedding", "ref").alias("rmsd"))
 

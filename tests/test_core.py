@@ -218,12 +218,12 @@ def test_tree_baseline_judges_held_out_proteins(spark, tmp_path):
     assert got.mean_score[0] == pytest.approx(np.mean(scores)) and got.std_score[0] == pytest.approx(np.std(scores))
 
 
-def test_tree_cv_weights_classes_and_survives_one_label(spark):
+def test_baselines_weigh_classes_and_survives_one_label(spark):
     # one in ten is positive, one in five where x is 1: balanced weights make that side positive
     rows = [(f"u{i}", float(i % 2), int(i % 2 and i % 5 == 0)) for i in range(200)]
     df = spark.createDataFrame(rows, "u string, x double, y int")
-    assert {(r.x, r.prediction) for r in L.tree_cv(df, "u", ["x"], "y").collect()} == {(0.0, 0.0), (1.0, 1.0)}
-    one = L.tree_cv(df.where("y = 0"), "u", ["x"], "y").collect()
+    assert {(r.x, r.prediction) for k in ("tree", "logistic") for r in L.baseline_cv(df, "u", ["x"], "y", kind=k).collect()} == {(0.0, 0.0), (1.0, 1.0)}
+    one = L.baseline_cv(df.where("y = 0"), "u", ["x"], "y").collect()
     assert len(one) == 180 and all(r.prediction is None and r.fold is not None for r in one)
 
 
