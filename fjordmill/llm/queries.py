@@ -81,6 +81,17 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return _split_state(spark, d).assignments().withColumnRenamed("record", "prediction_id")
 
 
+def p6_faults(spark: SparkSession, d: str) -> DataFrame:
+    """What must not be: entities whose placed records stand in two splits, and records left out or told twice."""
+    state = _split_state(spark, d)
+    told = state.assignments()
+    held = groupsplit.holdings(table(spark, d, "cv_prediction"), "prediction_id", ENTITIES).join(told, "record").where("split is not null")
+    divided = held.groupBy("entity").agg(F.countDistinct("split").alias("n")).where("n > 1").agg(F.count("*").alias("n_divided"))
+    sizes = state.table("components").select("component", "size").join(told.groupBy("component").agg(F.count("*").alias("n")), "component", "left").where("size <> coalesce(n, 0)").agg(F.count("*").alias("k"))
+    n = told.agg(F.countDistinct("record").alias("d"), F.count("*").alias("c")).first()
+    return divided.select("n_divided", F.lit(n.d if n.d == n.c else -1).cast("bigint").alias("n_records"), F.lit(sizes.first().k).cast("bigint").alias("n_groups_that_differ"))
+
+
 def p6_usage(spark: SparkSession, d: str) -> DataFrame:
     """Predictions and groups per split; quarantined ones have none."""
     told = _split_state(spark, d).assignments()
@@ -130,6 +141,18 @@ def p7_conditions(spark: SparkSession, d: str) -> DataFrame:
     return both.select(F.col("grp").alias("condition_id"), "n_poses", F.coalesce("n_clusters", F.lit(0)).alias("n_clusters"), (1 - F.coalesce("n_clustered", F.lit(0)) / F.col("n_poses")).alias("noise_fraction"), "clusters")
 
 
+def p7_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Per condition: poses, those with enough positions, and whether the parts agree: clusters hold usable poses only,
+    and Ward clusters and outliers together are the usable poses."""
+    work = Workspace(spark, "totals")
+    rows = work.put(_fingerprints(spark, d).where("id is not null and grp is not null"), "rows")
+    ward = clusters.ward_clusters(rows, work=work).groupBy("grp").agg(F.count("*").alias("n_ward"), F.countDistinct("id").alias("n_ids"))
+    linked = rows.join(clusters.clusters(rows, work=work), "id").groupBy("grp").agg(F.count("*").alias("n_linked"), F.count_if(F.size("tokens") < 6).alias("n_small"))
+    per = rows.groupBy("grp").agg(F.count("*").alias("n_poses"), F.count_if(F.coalesce(F.size("tokens"), F.lit(0)) >= 6).alias("n_usable")).join(ward, "grp", "left").join(linked, "grp", "left").fillna(0)
+    fine = (F.col("n_ward") == F.col("n_ids")) & (F.col("n_ward") <= F.col("n_usable")) & (F.col("n_linked") <= F.col("n_usable")) & (F.col("n_small") == 0)
+    return per.select(F.col("grp").alias("condition_id"), "n_poses", "n_usable", fine.alias("consistent"))
+
+
 def p7_ward(spark: SparkSession, d: str) -> DataFrame:
     """Ward clusters of the cluster features: size and most typical pose of each."""
     work = Workspace(spark, "ward")
@@ -196,7 +219,17 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return privacy.redacted(documents, privacy.fit(documents, table(spark, d, "name_list")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_by_day, p6_found, p6_splits, p6_usage, p7_found, p7_conditions, p7_ward, p8_contexts, p8_usage, p8_faults, p8_instructions, p8_instructions_usage, p8_instructions_faults, p9_found, p9_items, p9_passages, p10_found, p10_redacted)}
+def p10_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Redaction over all documents: none is lost, null stays null, and each span that is found is replaced."""
+    documents = table(spark, d, "documents")
+    model = privacy.fit(documents, table(spark, d, "name_list"))
+    red, found = privacy.redacted(documents, model), privacy.found(documents, model).groupBy("doc_id").agg(F.count("*").alias("n_found"))
+    both = red.join(found, "doc_id", "left")
+    fine = F.coalesce("n_found", F.lit(0)) <= F.col("n_replaced")
+    return both.agg(F.count("*").alias("n_texts"), F.count("text").alias("n_not_null"), F.bool_and(fine).alias("all_replaced"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_by_day, p6_found, p6_splits, p6_usage, p6_faults, p7_found, p7_conditions, p7_ward, p7_totals, p8_contexts, p8_usage, p8_faults, p8_instructions, p8_instructions_usage, p8_instructions_faults, p9_found, p9_items, p9_passages, p10_found, p10_redacted, p10_texts)}
 _LINKED_SQL = """
 WITH RECURSIVE once AS (SELECT pose_key, min(condition_id) AS g, arg_max(ifp_lpmo_bitvector, loaded_at) FILTER (ifp_lpmo_bitvector IS NOT NULL) AS v FROM cbm_analysis_result GROUP BY pose_key),
 tok AS (SELECT g, pose_key AS k, i FROM (SELECT g, pose_key, unnest(v) AS b, generate_subscripts(v, 1) AS i FROM once) WHERE b <> 0),
@@ -249,6 +282,11 @@ WITH RECURSIVE held AS (
 link AS (SELECT DISTINCT a.p AS a, b.p AS b FROM held a JOIN held b USING (e) WHERE a.p <> b.p),
 reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
 SELECT a AS prediction_id, least(a, min(b)) AS group_key FROM reach GROUP BY a""",
+    "p6_faults": "SELECT 0 AS n_divided, count(DISTINCT prediction_id) AS n_records, 0 AS n_groups_that_differ FROM cv_prediction",
+    "p7_totals": """
+WITH once AS (SELECT pose_key, min(condition_id) AS g, arg_max(ifp_lpmo_bitvector, loaded_at) FILTER (ifp_lpmo_bitvector IS NOT NULL) AS v FROM cbm_analysis_result GROUP BY pose_key)
+SELECT g AS condition_id, count(*) AS n_poses, count(*) FILTER (len(list_filter(v, lambda b: b <> 0)) >= 6) AS n_usable, true AS consistent FROM once WHERE g IS NOT NULL GROUP BY g""",
+    "p10_texts": "SELECT count(*) AS n_texts, count(text) AS n_not_null, true AS all_replaced FROM documents",
     "p4_found": """
 WITH once AS (SELECT pose_key, min(condition_id) AS condition_id, max(n_non_vdw_interactions) AS v FROM geometry_result GROUP BY pose_key),
 true_m AS (SELECT condition_id, median(v) AS m FROM once WHERE v IS NOT NULL GROUP BY condition_id)
