@@ -17,8 +17,9 @@ DISTANCES = {"min_cu_c1": (0.0, 1000.0), "min_cu_c4": (0.0, 1000.0)}
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     metric = "n_non_vdw_interactions"
     flat = rankstats.long_form(table(spark, d, "geometry_result"), ["condition_id"], [metric], record="pose_key")
-    bounds = rankstats.percentiles(rankstats.summarise(flat), [0.5])
-    found = rankstats.differing(table(spark, d, "condition_cluster_summary"), "condition_id", "median_n_non_vdw_interactions", Workspace(spark, "medians").put(bounds, "bounds"), flat, 1.0)
+    work = Workspace(spark, "medians")
+    bounds = work.put(rankstats.percentiles(rankstats.summarise(flat), [0.5]), "bounds")
+    found = rankstats.differing(table(spark, d, "condition_cluster_summary"), "condition_id", "median_n_non_vdw_interactions", bounds, flat, 1.0, work)
     return found.select(F.col("grp").alias("condition_id"))
 
 
@@ -33,6 +34,19 @@ def p4_by_day(spark: SparkSession, d: str) -> DataFrame:
     return both.select(key[0].alias("condition_id"), F.nullif(key[1], F.lit("")).alias("run_day"), "metric", "percent", "n", "low", "high", "estimate", "rank_error")
 
 
+def _exact_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    metrics = ["n_non_vdw_interactions", "min_cu_c1", "min_cu_c4"]
+    flat = Workspace(spark, "values").put(rankstats.long_form(table(spark, d, "geometry_result"), ["condition_id"], metrics, record="pose_key", valid=DISTANCES), "flat")
+    bounds = Workspace(spark, "bounds").put(rankstats.percentiles(rankstats.summarise(flat), [0.25, 0.5, 0.95]), "bounds")
+    return rankstats.exact(flat, bounds).join(bounds.select("grp", "metric", "percent", "low", "high", "rank_error"), ["grp", "metric", "percent"])
+
+
+def p4_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per condition without error, and whether the summary's bounds hold them with the error they state."""
+    ok = F.col("value").between(F.col("low") - 1e-9, F.col("high") + 1e-9) & (F.col("rank_error") <= 0.01 + 1e-9)
+    return _exact_percentiles(spark, d).select(F.col("grp").alias("condition_id"), "metric", "percent", "n", F.round(F.col("value") + 1e-9, 6).alias("value"), ok.alias("bounds_hold"))
+
+
 # ---- 2: similar pairs ------------------------------------------------------------------------------------------
 
 
@@ -229,7 +243,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count("*").alias("n_texts"), F.count("text").alias("n_not_null"), F.bool_and(fine).alias("all_replaced"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_by_day, p6_found, p6_splits, p6_usage, p6_faults, p7_found, p7_conditions, p7_ward, p7_totals, p8_contexts, p8_usage, p8_faults, p8_instructions, p8_instructions_usage, p8_instructions_faults, p9_found, p9_items, p9_passages, p10_found, p10_redacted, p10_texts)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_by_day, p4_exact, p6_found, p6_splits, p6_usage, p6_faults, p7_found, p7_conditions, p7_ward, p7_totals, p8_contexts, p8_usage, p8_faults, p8_instructions, p8_instructions_usage, p8_instructions_faults, p9_found, p9_items, p9_passages, p10_found, p10_redacted, p10_texts)}
 _LINKED_SQL = """
 WITH RECURSIVE once AS (SELECT pose_key, min(condition_id) AS g, arg_max(ifp_lpmo_bitvector, loaded_at) FILTER (ifp_lpmo_bitvector IS NOT NULL) AS v FROM cbm_analysis_result GROUP BY pose_key),
 tok AS (SELECT g, pose_key AS k, i FROM (SELECT g, pose_key, unnest(v) AS b, generate_subscripts(v, 1) AS i FROM once) WHERE b <> 0),
@@ -282,6 +296,11 @@ WITH RECURSIVE held AS (
 link AS (SELECT DISTINCT a.p AS a, b.p AS b FROM held a JOIN held b USING (e) WHERE a.p <> b.p),
 reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
 SELECT a AS prediction_id, least(a, min(b)) AS group_key FROM reach GROUP BY a""",
+    "p4_exact": """
+WITH once AS (SELECT pose_key, min(condition_id) AS condition_id, max(n_non_vdw_interactions) AS k, max(min_cu_c1) AS c1, max(min_cu_c4) AS c4 FROM geometry_result GROUP BY pose_key),
+v AS (SELECT condition_id, 'n_non_vdw_interactions' AS metric, CAST(k AS DOUBLE) AS v FROM once UNION ALL SELECT condition_id, 'min_cu_c1', c1 FROM once WHERE c1 BETWEEN 0 AND 1000 UNION ALL SELECT condition_id, 'min_cu_c4', c4 FROM once WHERE c4 BETWEEN 0 AND 1000),
+p AS (SELECT condition_id, metric, count(v) AS n, quantile_cont(v, [0.25, 0.5, 0.95]) AS q FROM v WHERE v IS NOT NULL AND isfinite(v) GROUP BY ALL)
+SELECT condition_id, metric, unnest([0.25::DOUBLE, 0.5, 0.95]) AS percent, n, round(unnest(q) + 1e-9, 6) AS value, true AS bounds_hold FROM p""",
     "p6_faults": "SELECT 0 AS n_divided, count(DISTINCT prediction_id) AS n_records, 0 AS n_groups_that_differ FROM cv_prediction",
     "p7_totals": """
 WITH once AS (SELECT pose_key, min(condition_id) AS g, arg_max(ifp_lpmo_bitvector, loaded_at) FILTER (ifp_lpmo_bitvector IS NOT NULL) AS v FROM cbm_analysis_result GROUP BY pose_key)

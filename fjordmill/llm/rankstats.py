@@ -11,6 +11,9 @@ largest such gap, as a share of the count, is the rank error, and it is carried
 - Compressing drops values as long as the gaps stay within the permitted share: ``up`` of a dropped value moves to
   the next kept value above, ``down`` to the one below. First and last values stay, so no row is ever lost.
 
+Where a percentile is wanted without error, exact() takes a second look at the values: those below its bounds are only
+counted, those within are counted per value, so no group is sorted as a whole.
+
 Each partition is summarised with half the permitted error, partial summaries of one group are merged by salted
 sub-groups, compressed, and merged again. Groups that hold more rows than a partition should are found by counting
 and spread by a hash of the record key; every other group stays in one place.
@@ -25,9 +28,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fjordmill.session import Workspace
+
 TUPLES = "grp string, metric string, value double, up long, down long"
 #: Rows that are summarised at once; a partition of any size takes this much memory.
 CHUNK = 1 << 20
@@ -189,12 +194,12 @@ def _query(percents: list[float]):
                     lo = [v[a + np.searchsorted(lt, r, "left") - 1] for r in ks]
                     hi = [v[a + np.searchsorted(le, r, "left")] for r in ks]
                     low, high = lo[0] + (lo[1] - lo[0]) * w, hi[0] + (hi[1] - hi[0]) * w
-                    rows.append((a, p, n, low, high, (low + high) / 2, gap / n))
-            cols = list(zip(*rows)) or [()] * 7
+                    rows.append((a, p, n, low, high, (low + high) / 2, gap / n, lo[0], hi[1]))
+            cols = list(zip(*rows)) or [()] * 9
             take = pa.array(cols[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [t.column(0).combine_chunks().take(take), t.column(1).combine_chunks().take(take), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[3:])],
-                names=["grp", "metric", "percent", "n", "low", "high", "estimate", "rank_error"],
+                names=["grp", "metric", "percent", "n", "low", "high", "estimate", "rank_error", "least", "most"],
             )
 
     return run
@@ -210,7 +215,9 @@ def long_form(df: DataFrame, group: list, metrics: list[str], *, record: str, va
     grp = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in group))
     rows = df.select(grp.alias("grp"), F.col(record).alias("record"), *(F.col(m).cast("double").alias(m) for m in metrics))
     # groups above a fair share of the rows: fewer than the number of partitions, so small enough to broadcast
-    hot = rows.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") * parts > rows.count()).select("grp", F.lit(True).alias("hot"))
+    counts = Workspace(spark, "groups").put(rows.groupBy("grp").agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * parts > total).select("grp", F.lit(True).alias("hot"))
     salted = rows.join(F.broadcast(hot), "grp", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("record"), F.lit(parts))).otherwise(F.lit(0)))
     placed = salted.repartition(parts, "grp", "salt")
     once = placed.groupBy("grp", "salt", "record").agg(*(F.max(m).alias(m) for m in metrics))
@@ -242,21 +249,41 @@ def _level(df: DataFrame, keys: list[str], error: float) -> DataFrame:
 
 
 def percentiles(summary: DataFrame, percents: list[float]) -> DataFrame:
-    """(grp, metric, percent, n, low, high, estimate, rank_error); the true percentile lies between low and high."""
+    """(grp, metric, percent, n, low, high, estimate, rank_error, least, most): the true percentile lies between low and
+    high, and the values on both sides of its rank between least and most."""
     ordered = summary.repartition("grp", "metric").sortWithinPartitions("grp", "metric", "value")
-    return ordered.mapInArrow(_query(percents), "grp string, metric string, percent double, n long, low double, high double, estimate double, rank_error double")
-
-
-def differing(reported: DataFrame, key: str, column: str, bounds: DataFrame, exact_rows: DataFrame, tolerance: float) -> DataFrame:
+    return ordered.mapInArrow(_query(percents), "grp string, metric string, percent double, n long, low double, high double, estimate double, rank_error double, least double, most double")
+
+
+def exact(flat: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(grp, metric, percent, n, value) without error: flat is what the bounds (from percentiles) were made of."""
+    keys = ["grp", "metric", "percent"]
+    rows = flat.join(bounds.select(*keys, "least", "most"), ["grp", "metric"]).where(F.col("value") <= F.col("most"))
+    inside = F.col("value") >= F.col("least")
+    # one row per value within the bounds, and one for all below them
+    steps = rows.groupBy(*keys, F.when(inside, F.col("value")).alias("value")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = steps.withColumn("upto", upto).where("value is not null").join(bounds.select(*keys, "n"), keys)
+    at = F.col("percent") * (F.col("n") - 1)
+    k = F.floor(at) + 1
+    told = ranked.groupBy(*keys, "n").agg(F.min(F.when(F.col("upto") >= k, F.col("value"))).alias("a"), F.min(F.when(F.col("upto") >= F.least(k + 1, F.col("n")), F.col("value"))).alias("b"))
+    w = at - F.floor(at)
+    return told.select(*keys, "n", F.when(w > 0, F.col("a") + (F.col("b") - F.col("a")) * w).otherwise(F.col("a")).alias("value"))
+
+
+def differing(reported: DataFrame, key: str, column: str, bounds: DataFrame, exact_rows: DataFrame, tolerance: float, work: Workspace) -> DataFrame:
     """Keys whose reported value differs from the true one by more than the tolerance.
 
-    Where the bounds of the summary decide, they do; the keys they leave open are computed exactly from
-    exact_rows (grp, value)."""
+    bounds: of one percentile and metric. Where they decide, they do; the keys they leave open are looked up exactly in
+    exact_rows, what the bounds were made of. If they leave none open, the rows aren't read again."""
     told = reported.where(F.col(column).isNotNull()).select(F.col(key).alias("grp"), F.col(column).cast("double").alias("told")).distinct()
-    near = told.join(bounds.select("grp", "low", "high"), "grp")
+    near = told.join(bounds, "grp")
     surely = (F.col("told") < F.col("low") - tolerance) | (F.col("told") > F.col("high") + tolerance)
     surely_not = (F.col("told") >= F.col("high") - tolerance) & (F.col("told") <= F.col("low") + tolerance)
-    sure = near.where(surely).select("grp")
-    open_ = near.where(~surely & ~surely_not).select("grp", "told")
-    exact = exact_rows.join(open_.select("grp").distinct(), "grp", "left_semi").groupBy("grp").agg(F.median("value").alias("true"))
-    return sure.unionByName(open_.join(exact, "grp").where(F.abs(F.col("told") - F.col("true")) > tolerance).select("grp")).distinct()
+    near = work.put(near.where(~surely_not).withColumn("sure", surely), "near")
+    sure, open_ = near.where("sure").select("grp"), near.where("not sure")
+    if open_.isEmpty():
+        return sure.distinct()
+    groups = open_.select("grp").distinct()
+    true = exact(exact_rows.join(groups, "grp", "left_semi"), bounds.join(groups, "grp", "left_semi"))
+    return sure.unionByName(open_.select("grp", "told").join(true.select("grp", "value"), "grp").where(F.abs(F.col("told") - F.col("value")) > tolerance).select("grp")).distinct()

@@ -137,7 +137,18 @@ def test_percentiles_empty_and_differing(spark):
     flat = rankstats.long_form(_geo(spark, rows), ["condition_id"], ["n"], record="pose_key")
     told = spark.createDataFrame([("a", 3.5), ("a", 3.6), ("b", None), ("b", 3.9), ("c", 1.0)], "c string, m double")
     bounds = rankstats.percentiles(rankstats.summarise(flat), [0.5])
-    assert {r.grp for r in rankstats.differing(told, "c", "m", bounds, flat, 1.0).collect()} == {"a", "b"}
+    from fjordmill.session import Workspace
+
+    assert {r.grp for r in rankstats.differing(told, "c", "m", bounds, flat, 1.0, Workspace(spark, "t")).collect()} == {"a", "b"}
+
+
+def test_exact_percentiles_from_wide_bounds(spark):
+    rnd = np.random.default_rng(6)
+    groups = {"a": rnd.integers(0, 40, 3001).astype(float), "b": rnd.normal(0, 1, 2000), "c": np.array([5.0]), "d": np.repeat(1.5, 700)}
+    flat = spark.createDataFrame([(g, "m", float(v)) for g, vs in groups.items() for v in vs], "grp string, metric string, value double").repartition(5)
+    bounds = rankstats.percentiles(rankstats.summarise(flat, error=0.05), [0.0, 0.1, 0.5, 0.999, 1.0])
+    got = {(r.grp, r.percent): r.value for r in rankstats.exact(flat, bounds).collect()}
+    assert len(got) == 20 and all(abs(v - np.percentile(groups[g], 100 * p)) < 1e-9 for (g, p), v in got.items())
 
 
 PRED = "prediction_id long, protein_id string, lab string, record long, component long"
