@@ -189,8 +189,29 @@ def _edge(closes: np.ndarray, rows: np.ndarray, data: np.ndarray, inside: np.nda
     return solid < opened
 
 
-def split_texts(texts: pa.Array, modules: bool) -> tuple[np.ndarray, list[str]]:
-    """(row of each item, item) over an Arrow array of texts, in order."""
+def _slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Texts from stretches of a buffer of bytes, as one Arrow array: the bytes are gathered once, no text is made."""
+    size = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    at = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - starts, size)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at])))
+
+
+def clean_items(items: pa.Array) -> pa.Array:
+    """_clean for a whole array: null where nothing is left."""
+    blanks = BETWEEN[:4] + " "
+    items = pc.utf8_trim(items, blanks)
+    out = pc.if_else(pc.is_in(pc.utf8_lower(items), pa.array(PLACEHOLDERS, pa.large_string())), pa.scalar(None, pa.large_string()), items)
+    for q in "\"'":
+        quoted = pc.and_(pc.and_(pc.starts_with(items, q), pc.ends_with(items, q)), pc.greater_equal(pc.utf8_length(items), 2))
+        inner = pc.utf8_trim_whitespace(pc.replace_substring(pc.utf8_slice_codeunits(items, 1, -1), q + q, q))
+        inner = pc.if_else(pc.equal(inner, ""), pa.scalar(None, pa.large_string()), inner)
+        out = pc.if_else(quoted, inner, out)
+    return out
+
+
+def split_texts(texts: pa.Array, modules: bool) -> tuple[np.ndarray, pa.Array]:
+    """(row of each item, items) over an Arrow array of texts, in order."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     texts = pc.if_else(pc.is_in(pc.utf8_lower(pc.utf8_trim_whitespace(texts)), pa.array(PLACEHOLDERS, pa.large_string())), "", texts)
     if not modules:  # the one marker for nothing that holds a separator
@@ -202,27 +223,29 @@ def split_texts(texts: pa.Array, modules: bool) -> tuple[np.ndarray, list[str]]:
     offsets = np.frombuffer(buffers[1], np.int64, len(calm) + 1, calm.offset * 8)
     data = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]] if buffers[2] else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    starts, ends, rows = split_buffer(data, offsets, modules) if len(data) else (np.zeros(0, int),) * 3
-    raw = data.tobytes()
-    pairs = [(r, item) for r, s, e in zip(rows.tolist(), starts.tolist(), ends.tolist()) if (item := _clean(raw[s:e].decode("utf-8")))]
-    if odd.any():
+    starts, ends, rows = split_buffer(data, offsets, modules) if len(data) else (np.zeros(0, np.int64),) * 3
+    items = clean_items(_slices(data, starts, ends))
+    some = pc.is_valid(items).to_numpy(zero_copy_only=False)
+    rows, items = rows[some], items.filter(pa.array(some))
+    if odd.any():  # parity can't settle these: mark by mark
         one = scan_modules if modules else scan_codes
-        for r in np.nonzero(odd)[0].tolist():
-            pairs += [(r, item) for item in one(texts[r].as_py())]
-        pairs.sort(key=lambda p: p[0])
-    return np.array([r for r, _ in pairs], np.int64), [item for _, item in pairs]
+        more = [(r, item) for r in np.nonzero(odd)[0].tolist() for item in one(texts[r].as_py())]
+        rows = np.concatenate([rows, np.array([r for r, _ in more], np.int64)])
+        order = np.argsort(rows, kind="stable")
+        items = pa.concat_arrays([items, pa.array([i for _, i in more], pa.large_string())]).take(pa.array(order))
+        rows = rows[order]
+    return rows, items
 
 
 def _splitter(modules: bool):
     def run(batches):
         for b in batches:
             rows, items = split_texts(b.column(1), modules)
-            counts = np.bincount(rows, minlength=b.num_rows) if len(rows) else np.zeros(b.num_rows, np.int64)
-            child = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(child), pa.array(items, pa.string()))
+            child = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=b.num_rows))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(child), items.cast(pa.string()))
             parent = pc.list_parent_indices(lists)
-            pos = np.arange(len(items)) - child[:-1][rows] + 1 if len(items) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(parent), pa.array(pos, pa.int64()), lists.flatten()], names=["row_id", "pos", "item"])
+            pos = np.arange(len(items)) - child[:-1][rows] + 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(parent), pa.array(pos.astype(np.int64)), lists.flatten()], names=["row_id", "pos", "item"])
 
     return run
 

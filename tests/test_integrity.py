@@ -75,7 +75,7 @@ def test_keys_of_any_length(spark):
     ],
 )
 def test_packed_codes(text, items):
-    assert packed.split_texts(pa.array([None, text, text]), False)[1] == items * 2
+    assert packed.split_texts(pa.array([None, text, text]), False)[1].to_pylist() == items * 2
     if text != "n/a" and "n/a" not in text:
         assert packed.scan_codes(text) == items
 
@@ -89,7 +89,15 @@ def test_packed_codes(text, items):
     ],
 )
 def test_packed_modules(text, items):
-    assert packed.split_texts(pa.array([text]), True)[1] == items == packed.scan_modules(text) or text == "None"
+    assert packed.split_texts(pa.array([text]), True)[1].to_pylist() == items == packed.scan_modules(text) or text == "None"
+
+
+def test_cleaning_an_array_equals_cleaning_items():
+    import random
+
+    rnd = random.Random(3)
+    items = ["".join(rnd.choices("\"'aé -N/A\t ", k=rnd.randint(0, 6))) for _ in range(3000)] + ["n/a", "NA", "'n/a'", '""', "'", "'" * 4]
+    assert packed.clean_items(pa.array(items, pa.large_string())).to_pylist() == [packed._clean(i) for i in items]
 
 
 def test_packed_rows_positions_and_long_text(spark):
