@@ -142,6 +142,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return clusters.clusters(_fingerprints(spark, d)).select(F.col("id").alias("pose_key"), F.col("cluster").alias("cluster_key"))
 
 
+def p7_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """p7_found with blocks so small that the larger conditions are merged, assigned and linked over many tasks."""
+    return clusters.clusters(_fingerprints(spark, d), block=64, outliers=512).select(F.col("id").alias("pose_key"), F.col("cluster").alias("cluster_key"))
+
+
 def p7_conditions(spark: SparkSession, d: str) -> DataFrame:
     """Per condition: poses, clusters, noise fraction, and the cluster sizes and medoids as JSON."""
     work = Workspace(spark, "conditions")
@@ -243,7 +248,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count("*").alias("n_texts"), F.count("text").alias("n_not_null"), F.bool_and(fine).alias("all_replaced"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_by_day, p4_exact, p6_found, p6_splits, p6_usage, p6_faults, p7_found, p7_conditions, p7_ward, p7_totals, p8_contexts, p8_usage, p8_faults, p8_instructions, p8_instructions_usage, p8_instructions_faults, p9_found, p9_items, p9_passages, p10_found, p10_redacted, p10_texts)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_by_day, p4_exact, p6_found, p6_splits, p6_usage, p6_faults, p7_found, p7_blocks, p7_conditions, p7_ward, p7_totals, p8_contexts, p8_usage, p8_faults, p8_instructions, p8_instructions_usage, p8_instructions_faults, p9_found, p9_items, p9_passages, p10_found, p10_redacted, p10_texts)}
 _LINKED_SQL = """
 WITH RECURSIVE once AS (SELECT pose_key, min(condition_id) AS g, arg_max(ifp_lpmo_bitvector, loaded_at) FILTER (ifp_lpmo_bitvector IS NOT NULL) AS v FROM cbm_analysis_result GROUP BY pose_key),
 tok AS (SELECT g, pose_key AS k, i FROM (SELECT g, pose_key, unnest(v) AS b, generate_subscripts(v, 1) AS i FROM once) WHERE b <> 0),
@@ -278,8 +283,8 @@ same AS (SELECT f, k, min(k) OVER (PARTITION BY f, ts) AS class_key FROM whole),
 ends AS (SELECT f, x AS k FROM common WHERE c * 10 >= 8 * (na + nb - c) UNION ALL SELECT f, y FROM common WHERE c * 10 >= 8 * (na + nb - c)),
 n AS (SELECT f, k, count(*) AS n_links FROM ends GROUP BY f, k)
 SELECT s.f AS set_field, s.k AS pose_key, s.class_key, coalesce(n.n_links, 0) AS n_links FROM same s LEFT JOIN n USING (f, k)""",
-    "p7_found": _LINKED_SQL + """
-SELECT a AS pose_key, min(b) AS cluster_key FROM (SELECT a, b FROM reach UNION SELECT a, a FROM link) GROUP BY a HAVING count(DISTINCT b) >= 4""",
+    **dict.fromkeys(("p7_found", "p7_blocks"), _LINKED_SQL + """
+SELECT a AS pose_key, min(b) AS cluster_key FROM (SELECT a, b FROM reach UNION SELECT a, a FROM link) GROUP BY a HAVING count(DISTINCT b) >= 4"""),
     "p9_found": _LEAK_SQL + "SELECT doc_id, item_id FROM hit",
     "p9_passages": "WITH d AS (SELECT doc_id, " + _WORDS_SQL.format("text") + " AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, " + _WORDS_SQL.format("text") + """ AS w FROM eval_items WHERE text IS NOT NULL),
 dg AS (SELECT doc_id, i, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
