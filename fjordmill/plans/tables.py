@@ -5,13 +5,16 @@ Clusters are those that condition_cluster_summary reports: cluster_labels follow
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fjordmill.operators import conditions as C
 from fjordmill.operators import family, relational as R, signatures as G
 from fjordmill.plans.classify import _LABELS, _labels, finite
-from fjordmill.session import table
+from fjordmill.session import Workspace, table
 
 QUERIES, SQL = {}, {}
 #: Added before rounding here and in the SQL, so that exact ties fall the same way whatever the order of a sum.
@@ -57,6 +60,39 @@ _SIGNATURES = _BASE + """sigs AS (SELECT condition_id, cluster_id, count(*) AS n
   FROM members GROUP BY condition_id, cluster_id)"""
 
 
+#: What is shared by the parts of one query: None, or (workspace, tables that were written for it so far).
+_SHARED: ContextVar = ContextVar("shared", default=None)
+
+
+def shared(f):
+    """A building block that a query with many parts computes once (see sharing)."""
+
+    def run(spark, d):
+        kept = _SHARED.get()
+        if kept is None:
+            return f(spark, d)
+        work, tables = kept
+        if f.__name__ not in tables:
+            tables[f.__name__] = work.put(f(spark, d), f.__name__.strip("_"))
+        return tables[f.__name__]
+
+    return run
+
+
+@contextmanager
+def sharing(spark):
+    """Within it each building block is written once and read by all parts."""
+    if _SHARED.get() is not None:
+        yield
+        return
+    token = _SHARED.set((Workspace(spark, "tables"), {}))
+    try:
+        yield
+    finally:
+        _SHARED.reset(token)
+
+
+@shared
 def _once(spark, d):
     g = table(spark, d, "geometry_result")
     fin = lambda c: F.max(F.when(finite(c), F.col(c)))
@@ -71,6 +107,7 @@ def _status(spark, d):
     return _once(spark, d).withColumn("s1", kind("c1")).withColumn("s4", kind("c4"))
 
 
+@shared
 def _ifp(spark, d):
     on = F.aggregate("ifp_lpmo_bitvector", F.lit(0), lambda a, x: a + F.coalesce(x.cast("int"), F.lit(0)))
     n_res = F.size(F.array_distinct(F.array_compact("lpmo_contact_residues")))
@@ -83,6 +120,7 @@ def _reported(spark, d, column):
     return table(spark, d, "condition_cluster_summary").where(F.col(column).isNotNull()).groupBy("condition_id").agg(F.max_by(column, "reported_at").alias("v"))
 
 
+@shared
 def _assignments(spark, d):
     labels = _reported(spark, d, "cluster_labels").select("condition_id", F.posexplode("v").alias("r", "cluster_id")).withColumn("r", F.col("r") + 1)
     # at most as many poses as there are labels (200) are ranked in a condition: the rest is cut off before the sort
@@ -101,6 +139,7 @@ def _convergence(spark, d):
 PLAUSIBLE = {"computable": ("computable", "plausible", "highly_plausible"), "plausible": ("plausible", "highly_plausible"), "highly_plausible": ("highly_plausible",)}
 
 
+@shared
 def _signatures(spark, d):
     s = _status(spark, d)
     statuses = {c: {f"{k}_geometry_{n}_fraction": v for n, v in PLAUSIBLE.items()} for c, k in (("s1", "c1"), ("s4", "c4"))}
@@ -179,6 +218,11 @@ cond AS (SELECT a.condition_id, a.protein_id, a.n_generated, a.n_pass, a.n_fail,
 
 
 def _conditions(spark, d):
+    with sharing(spark):
+        return _condition_rows(spark, d)
+
+
+def _condition_rows(spark, d):
     summary = table(spark, d, "condition_cluster_summary")
     conv = _convergence(spark, d).join(_ifp(spark, d).select("pose_key", "condition_id"), "pose_key")
     converged = conv.groupBy("condition_id").agg((F.count_if("convergent") / F.count("*")).alias("convergence_fraction"), F.round(F.median("rmsd") + HAIR, 6).alias("median_ligand_rmsd"))
@@ -241,7 +285,8 @@ def _residues(spark, d):
 @query(_RESIDUES + """ SELECT condition_id, residue_name, residue_number, residue_chain, round(s + 1e-9, 6) AS residue_contact_score, round(s1 + 1e-9, 6) AS c1_weighted_residue_score, round(s4 + 1e-9, 6) AS c4_weighted_residue_score, CAST(n AS BIGINT) AS cluster_support_count, round(o + 1e-9, 6) AS total_cluster_occupancy_with_contact, m AS max_cluster_residue_frequency,
   residue_number IN (1, 86, 175) AS is_catalytic, round(s1 - s4 + 1e-9, 5) AS c1_minus_c4_weighted_delta FROM score""")
 def a8_residue_importance(spark: SparkSession, d: str) -> DataFrame:
-    rows, clusters, observed, res = _residues(spark, d)
+    with sharing(spark):
+        rows, clusters, observed, res = _residues(spark, d)
     got = G.residue_importance(rows, clusters, observed, condition="condition_id", cluster="cluster_id", residue=res, frequency="frequency", c1="c1_geometry_plausible_fraction", c4="c4_geometry_plausible_fraction", flags=["is_catalytic"])
     six = ("residue_contact_score", "c1_weighted_residue_score", "c4_weighted_residue_score", "total_cluster_occupancy_with_contact")
     return got.withColumns({**{c: F.round(F.col(c) + HAIR, 6) for c in six}, "c1_minus_c4_weighted_delta": F.round(F.col("c1_minus_c4_weighted_delta") + HAIR, 5)})
@@ -255,7 +300,8 @@ _REGIONS = {"catalytic_surface_contact_fraction": "residue_number IN (1, 86, 175
 SELECT i.condition_id, round(coalesce(total, 0) + 1e-9, 6) AS weighted_contact_feature_mass, round(coalesce(a / total, 0) + 1e-9, 6) AS aromatic_contact_fraction, round(coalesce(p / total, 0) + 1e-9, 6) AS polar_contact_fraction, round(coalesce(c / total, 0) + 1e-9, 6) AS charged_contact_fraction, """
     + ", ".join(f"round(coalesce(r{i} / total, 0) + 1e-9, 6) AS {n}" for i, n in enumerate(_REGIONS)) + " FROM (SELECT DISTINCT condition_id FROM ifp) i LEFT JOIN t USING (condition_id)")
 def a9_patch_fractions(spark: SparkSession, d: str) -> DataFrame:
-    rows, clusters, observed, res = _residues(spark, d)
+    with sharing(spark):
+        rows, clusters, observed, res = _residues(spark, d)
     mass = rows.join(clusters.select("condition_id", "cluster_id", "occupancy"), ["condition_id", "cluster_id"]).withColumn("w", F.col("occupancy") * F.col("frequency"))
     kinds = {**G.residue_kinds(F.col("residue_name")), **{n: F.expr(rule) for n, rule in _REGIONS.items()}}
     got = G.patches(mass, ["condition_id"], "w", kinds, _ifp(spark, d).select("condition_id"))

@@ -6,8 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,6 +88,12 @@ def clear_tables(spark: SparkSession, application: str | None = None) -> None:
     _delete(spark, f"{shared_folder(spark)}/fjordmill-{application}" if application else application_folder(spark))
 
 
+def side_by_side(jobs: list) -> list:
+    """The results of several functions that run Spark jobs, in order; the first failure is raised."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
 class Workspace:
     """Tables written to the shared folder. They cut lineage, survive the loss of executors, and go when the
     workspace is cleared (it is a context manager too), when clear_tables() is called or the application ends."""
@@ -93,6 +101,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{application_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.kept: list[str] = []
+        self.lock = threading.Lock()
         atexit.register(self._clear_quietly)
 
     def __enter__(self) -> Workspace:
@@ -103,12 +112,17 @@ class Workspace:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as a table and return it read back. The name may be used again: each write is a new folder."""
-        path = f"{self.root}/{name}-{len(self.kept)}"
+        with self.lock:
+            path = f"{self.root}/{name}-{len(self.kept)}"
+            self.kept.append(path)
         schema = df.schema
         df.write.parquet(path)
-        self.kept.append(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def put_all(self, **tables: DataFrame) -> list[DataFrame]:
+        """Several tables at once: their jobs run side by side, which pays where each is small."""
+        return side_by_side([lambda n=name, df=df: self.put(df, n) for name, df in tables.items()])
+
     def drop(self, name: str, keep_last: int = 1) -> None:
         """Delete the older writes under a name, for loops that replace a table."""
         own = [p for p in self.kept if p and p.rsplit("/", 1)[1].rsplit("-", 1)[0] == name]
