@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from fjordmill.functions.scalars import is_placeholder, squeezed
 from fjordmill.operators.components import roots
-from fjordmill.session import Workspace
+from fjordmill.session import Workspace, side_by_side
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 TABLES = {
@@ -94,9 +94,8 @@ class State:
         """One more version; it counts once all of it is written."""
         v, fs = self.version + 1, self._fs()
         fs.delete(self._p(f"v{v}"), True)
-        components.write.parquet(f"{self.path}/v{v}/components")
-        records.write.parquet(f"{self.path}/v{v}/records")
-        entities.write.parquet(f"{self.path}/v{v}/entities")
+        parts = {"components": components, "records": records, "entities": entities}
+        side_by_side([lambda n=n, df=df: df.write.parquet(f"{self.path}/v{v}/{n}") for n, df in parts.items()])
         fs.create(self._p(f"v{v}/complete")).close()
         self.version = v
         if v - self.base >= COMPACT:
@@ -117,9 +116,9 @@ def _lacking(sizes: dict[str, int], total: int, shares: dict[str, float]) -> dic
     return {s: share * total - sizes.get(s, 0) for s, share in shares.items()}
 
 
-def place(components: DataFrame, held: dict[str, int], shares: dict[str, float], large: float = 0.001) -> DataFrame:
-    """(component, n, split) for new components (component string, n long), given the sizes that the splits have."""
-    total_new = components.agg(F.sum("n")).first()[0] or 0
+def place(components: DataFrame, total_new: int, held: dict[str, int], shares: dict[str, float], large: float = 0.001) -> DataFrame:
+    """(component, n, split) for new components (component string, n long) of that many records in all, given the sizes
+    that the splits have."""
     total = total_new + sum(held.values())
     limit = max(1, int(total * large))
     big = components.where(F.col("n") > limit).orderBy(F.desc("n"), "component").collect()  # fewer than 1 / large
@@ -158,9 +157,8 @@ def update(state: State, batch: DataFrame, *, record: str, entities: list[str],
     every = batch.where(F.col(record).isNotNull()).select(F.col(record).cast("bigint").alias("record")).distinct()
     # what the state knows of the batch's entities and records; a component without a split is quarantined
     by_entity = held.groupBy("entity").agg(F.min("record").alias("least")).join(state.table("entities").select("entity", "component"), "entity", "left").join(comps, "component", "left")
-    by_entity = work.put(by_entity.select("entity", "least", "component", "grp", "split"), "by_entity")
     by_record = every.join(state.table("records").select("record", "component"), "record", "left").join(comps, "component", "left")
-    by_record = work.put(by_record.select("record", "component", "grp", "split"), "by_record")
+    by_entity, by_record = work.put_all(by_entity=by_entity.select("entity", "least", "component", "grp", "split"), by_record=by_record.select("record", "component", "grp", "split"))
     hold = held.join(by_entity, "entity")
     edges = hold.select(F.col("record").alias("a"), F.col("least").alias("b")).unionByName(by_entity.where("grp is not null").select(F.col("least").alias("a"), F.col("grp").alias("b")))
     edges = edges.unionByName(by_record.select(F.col("record").alias("a"), F.coalesce("grp", "record").alias("b")))
@@ -169,7 +167,7 @@ def update(state: State, batch: DataFrame, *, record: str, entities: list[str],
     touch = hold.where("split is not null").select("record", "component", "split").unionByName(by_record.where("split is not null").select("record", "component", "split"))
     own = touch.groupBy("record").agg(F.collect_set("split").alias("splits"), F.min("component").alias("touched"))  # at most one row per split and record
     rows = by_record.select("record", F.col("component").alias("old"), F.col("split").alias("old_split")).join(found.select(F.col("node").alias("record"), "root"), "record").join(own, "record", "left")
-    rows = work.put(rows.withColumn("splits", F.coalesce("splits", F.expr("array()"))), "rows")
+    rows = rows.withColumn("splits", F.coalesce("splits", F.expr("array()")))
     whole = rows.groupBy("root").agg(F.array_distinct(F.flatten(F.collect_set("splits"))).alias("all"), F.min("touched").alias("first"), F.min("record").alias("least"))
     rows = work.put(rows.join(whole, "root"), "whole")
     # groups whose components have one split, or none yet: all of the group goes there
@@ -178,7 +176,7 @@ def update(state: State, batch: DataFrame, *, record: str, entities: list[str],
     decided = calm
     if not torn.isEmpty():
         astride = torn.where(F.size("splits") > 1)
-        rest = work.put(torn.where(F.size("splits") <= 1), "rest")
+        rest = torn.where(F.size("splits") <= 1)
         # without the records that stand astride: joined through entities that have no split yet
         loose = hold.where("split is null").join(rest.select("record"), "record", "left_semi").select("record", "entity")
         links = loose.join(loose.groupBy("entity").agg(F.min("record").alias("b")), "entity").select(F.col("record").alias("a"), "b").unionByName(rest.select(F.col("record").alias("a"), F.col("record").alias("b")))
@@ -193,10 +191,12 @@ def update(state: State, batch: DataFrame, *, record: str, entities: list[str],
     stays = (F.col("old_split") == F.col("split")) & ~F.col("component").startswith("q")
     decided = work.put(decided.select("record", "root", "old", F.when(stays, F.col("old")).otherwise(F.col("component")).alias("component"), "split"), "decided")
     is_new = F.col("split").isNull() & F.col("component").startswith("c")
-    sizes = {r.split: r.n for r in comps.where("split is not null").groupBy("split").agg(F.sum("size").alias("n")).collect()}
-    for r in decided.where("split is not null and not (component <=> old)").groupBy("split").agg(F.count("*").alias("n")).collect():
+    grown = decided.where("split is not null and not (component <=> old)").groupBy("split").agg(F.count("*").alias("n"))
+    new_rows = decided.where(is_new).agg(F.count("*").alias("n")).select(F.lit("").alias("split"), "n")
+    sizes: dict[str, int] = {"": 0}
+    for r in comps.where("split is not null").groupBy("split").agg(F.sum("size").alias("n")).unionByName(grown).unionByName(new_rows).collect():  # two rows per split
         sizes[r.split] = sizes.get(r.split, 0) + r.n
-    fresh = work.put(place(decided.where(is_new).groupBy("component").agg(F.count("*").alias("n")), sizes, shares), "fresh")
+    fresh = place(decided.where(is_new).groupBy("component").agg(F.count("*").alias("n")), sizes.pop(""), sizes, shares)
     decided = work.put(decided.join(fresh.select("component", F.col("split").alias("new_split")), "component", "left").select("record", "root", "old", "component", F.coalesce("split", "new_split").alias("split")), "decided")
     # pointers: the groups that met, and the components that grew, shrank or are new
     moved = found.join(by_entity.select(F.col("grp").alias("node")).unionByName(by_record.select(F.col("grp").alias("node"))).where("node is not null").distinct(), "node").select(F.col("node").alias("grp"), "root")
