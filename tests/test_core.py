@@ -43,6 +43,20 @@ def test_benjamini_hochberg_against_numpy(spark):
     assert np.allclose([got[int(i)] for i in o], want)
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_medoids_of_groups_of_many_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    sets = [(g, i, sorted(set(rng.integers(0, 12, rng.integers(0, 6)).tolist()))) for i, g in enumerate(rng.integers(0, 3, 120).tolist())]
+    want = {}
+    for g in {s[0] for s in sets}:
+        own = [(i, set(t)) for h, i, t in sets if h == g]
+        far = {i: sum(1 - (len(a & b) / len(a | b) if a | b else 1) for j, b in own if j != i) for i, a in own}
+        want[g] = min(far, key=lambda i: (round(far[i], 9), i)), far
+    got = {r.grp: r for r in fingerprints.medoids(spark.createDataFrame(sets, "grp long, id long, tokens array<long>")).collect()}
+    assert all(got[g].id == i and abs(got[g].distance_sum - far[i]) < 1e-6 for g, (i, far) in want.items())
+
+
 @pytest.mark.parametrize("small", [components.SMALL, 70, 0])
 def test_components_path_hub_and_empty(spark, small):
     path = [(i, i + 1) for i in range(64)] + [(1000, 1000 + k) for k in range(1, 200)] + [(7, 7), (None, 3), (5000, 5000)]
