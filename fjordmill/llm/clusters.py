@@ -41,6 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fjordmill.operators.blocks import column, runs
 from fjordmill.operators.components import roots
 from fjordmill.session import Workspace
 
@@ -322,41 +323,6 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
-def _groups(batches, keys: list[str], enough: int = 1 << 13):
-    """Tables of whole runs of equal keys from batches sorted by them, several runs at a time, and their bounds."""
-    held, rows = [], 0
-
-    def cut(t: pa.Table):
-        new = np.zeros(t.num_rows, bool)
-        for k in keys:
-            c = t.column(k).combine_chunks()
-            d = c.dictionary_encode().indices.to_numpy(zero_copy_only=False) if pa.types.is_string(c.type) else c.to_numpy(zero_copy_only=False)
-            new[1:] |= d[1:] != d[:-1]
-        return np.concatenate([[0], np.nonzero(new)[0], [t.num_rows]])
-
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            rows += b.num_rows
-        if rows < enough:
-            continue
-        t = pa.Table.from_batches(held).combine_chunks()
-        at = cut(t)
-        if len(at) > 2:
-            yield t.slice(0, at[-2]), at[:-1]
-            t = t.slice(at[-2]).combine_chunks()
-        held, rows = t.to_batches(), t.num_rows
-        enough = max(enough, 2 * rows)
-    if held:
-        t = pa.Table.from_batches(held).combine_chunks()
-        yield t, cut(t)
-
-
-def _column(t: pa.Table, name: str) -> pa.Array:
-    c = t.column(name).combine_chunks()
-    return pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
-
-
 def _sparse(ls: np.ndarray, features: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Linear sums as lists of features and lists of their sums."""
     row, col = np.nonzero(ls)
@@ -383,8 +349,8 @@ def _grower(radius: float, ward_radius: float, similarity: float | None):
     of larger groups the leaf entries of each block (kind 1)."""
 
     def run(batches):
-        for t, at in _groups(batches, ["grp", "block"]):
-            lists, ids, blocks, block = _column(t, "tokens"), t.column("id").to_numpy(), t.column("blocks").to_numpy(), t.column("block").to_numpy()
+        for t, at in runs(batches, ["grp", "block"]):
+            lists, ids, blocks, block = column(t, "tokens"), t.column("id").to_numpy(), t.column("blocks").to_numpy(), t.column("block").to_numpy()
             done, label, root = [], [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 part = lists.slice(a, b - a)
@@ -407,14 +373,14 @@ def _grower(radius: float, ward_radius: float, similarity: float | None):
                 features, sums = _sparse(ls, np.unique(_flat(part)[1]))
                 k = len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(k, np.int32)), _column(t, "grp").take(pa.array(np.full(k, a))), pa.array(np.full(k, block[a], np.int32)), pa.array(np.full(k, blocks[a], np.int32)),
+                    [pa.array(np.ones(k, np.int32)), column(t, "grp").take(pa.array(np.full(k, a))), pa.array(np.full(k, block[a], np.int32)), pa.array(np.full(k, blocks[a], np.int32)),
                      pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(n.astype(float)), features, sums], names=_GROWN)
             if done:
                 row = pa.array(np.concatenate(done))
                 k = len(row)
                 comp = np.concatenate(root) if root else np.full(k, np.iinfo(np.int64).min)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(k, np.int32)), _column(t, "grp").take(row), pa.array(np.zeros(k, np.int32)), pa.array(np.ones(k, np.int32)), pa.array(ids).take(row),
+                    [pa.array(np.zeros(k, np.int32)), column(t, "grp").take(row), pa.array(np.zeros(k, np.int32)), pa.array(np.ones(k, np.int32)), pa.array(ids).take(row),
                      pa.array(np.concatenate(label).astype(np.int32)), pa.array(comp, mask=comp == np.iinfo(np.int64).min), pa.nulls(k, pa.float64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.float64()))], names=_GROWN)
 
     return run
@@ -428,8 +394,8 @@ def _merger(radius: float, ward_radius: float | None):
     level, their Ward clusters too."""
 
     def run(batches):
-        for t, at in _groups(batches, ["grp", "block"], 1 << 12):
-            features, sums, n_all = _column(t, "features"), _column(t, "sums"), t.column("n").to_numpy()
+        for t, at in runs(batches, ["grp", "block"], 1 << 12):
+            features, sums, n_all = column(t, "features"), column(t, "sums"), t.column("n").to_numpy()
             block, blocks = t.column("block").to_numpy(), t.column("blocks").to_numpy()
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 ls, kinds = _sums(features.slice(a, b - a), sums.slice(a, b - a))
@@ -439,7 +405,7 @@ def _merger(radius: float, ward_radius: float | None):
                 f, s = _sparse(ls, kinds)
                 k = len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [_column(t, "grp").take(pa.array(np.full(k, a))), pa.array(np.full(k, block[a], np.int32)), pa.array(np.full(k, blocks[a], np.int32)), pa.array(np.arange(k, dtype=np.int32)),
+                    [column(t, "grp").take(pa.array(np.full(k, a))), pa.array(np.full(k, block[a], np.int32)), pa.array(np.full(k, blocks[a], np.int32)), pa.array(np.arange(k, dtype=np.int32)),
                      pa.array(label.astype(np.int32)), pa.array(n.astype(float)), f, s], names=["grp", "block", "blocks", "leaf", "ward", "n", "features", "sums"])
 
     return run
@@ -454,13 +420,13 @@ def _assigner(tight: float):
     of half of its entry or more)."""
 
     def run(batches):
-        for t, at in _groups(batches, ["grp", "part"]):
+        for t, at in runs(batches, ["grp", "part"]):
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 s = t.slice(a, b - a)
                 model, rows = s.filter(s.column("is_leaf")), s.filter(pc.invert(s.column("is_leaf")))
                 if not rows.num_rows:
                     continue
-                centers, x = _aligned(model, _column(rows, "tokens"))
+                centers, x = _aligned(model, column(rows, "tokens"))
                 core = np.concatenate([centers >= 0.5, np.zeros((1, x.shape[1]), bool)])
                 name, label = np.append(model.column("leaf").to_numpy(), -1), np.append(model.column("ward").to_numpy(), -1)
                 for c in range(0, len(x), 4096):
@@ -470,7 +436,7 @@ def _assigner(tight: float):
                     extra = size - (y * core[leaf]).sum(axis=1)
                     part = rows.slice(c, len(y))
                     yield pa.RecordBatch.from_arrays(
-                        [*(_column(part, k) for k in ("grp", "part", "id", "tokens")), pa.array(name[leaf].astype(np.int32)), pa.array(label[leaf].astype(np.int32)), pa.array(d2), pa.array(extra.astype(np.int32))],
+                        [*(column(part, k) for k in ("grp", "part", "id", "tokens")), pa.array(name[leaf].astype(np.int32)), pa.array(label[leaf].astype(np.int32)), pa.array(d2), pa.array(extra.astype(np.int32))],
                         names=["grp", "part", "id", "tokens", "leaf", "ward", "d2", "extra"])
 
     return run
@@ -478,9 +444,9 @@ def _assigner(tight: float):
 
 def _aligned(model: pa.Table, *lists: pa.Array) -> list[np.ndarray]:
     """Centers of leaf entries, and further sets, over the same features."""
-    members, *others = dense(_column(model, "tokens"), *lists)
+    members, *others = dense(column(model, "tokens"), *lists)
     row, col = np.nonzero(members)
-    weight = _flat(_column(model, "sums"))[1]
+    weight = _flat(column(model, "sums"))[1]
     centers = np.zeros(members.shape, np.float32)
     centers[row, col] = weight  # both are ordered by row and feature
     return [centers / model.column("n").to_numpy()[:, None].astype(np.float32), *others]
@@ -497,7 +463,7 @@ def _visitor(similarity: float, block: int, outliers: int):
     outliers (sub, other) hold both blocks, the first as side 0."""
 
     def run(batches):
-        for t, at in _groups(batches, ["grp", "part"]):
+        for t, at in runs(batches, ["grp", "part"]):
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 s = t.slice(a, b - a)
                 model, rows = s.filter(s.column("is_leaf")), s.filter(pc.invert(s.column("is_leaf")))
@@ -506,7 +472,7 @@ def _visitor(similarity: float, block: int, outliers: int):
                 loners = model.filter(pc.equal(model.column("leaf"), OUT)).column("members").to_pylist()
                 model = model.filter(pc.not_equal(model.column("leaf"), OUT))
                 out_blocks = max(1, -(-int(sum(loners)) // outliers))
-                centers, either, central, x = _aligned(model, _column(model, "either"), _column(model, "central"), _column(rows, "tokens"))
+                centers, either, central, x = _aligned(model, column(model, "either"), column(model, "central"), column(rows, "tokens"))
                 count, reach, extra, least, most, name, label, hub = (model.column(c).to_numpy() for c in ("members", "reach", "extra", "least", "most", "leaf", "ward", "hub"))
                 total = np.bincount(label, weights=count)
                 cell_of = np.where(total[label] <= block, label, name + len(total))  # a Ward cluster, or a leaf of a large one
@@ -552,8 +518,8 @@ def _visitor(similarity: float, block: int, outliers: int):
                     no_link = len(row) - len(tied)
                     took = pa.array(row + c)
                     yield pa.RecordBatch.from_arrays(
-                        [_column(rows, "grp").take(took), *(pa.array(v.astype(np.int32)) for v in (cells[where], first, other, side)), pa.array(ids[row]), _column(rows, "leaf").take(took),
-                         _column(rows, "tokens").take(took), pa.array(np.concatenate([np.zeros(no_link, np.int64), hub[own[tied]]]), mask=np.arange(len(row)) < no_link)],
+                        [column(rows, "grp").take(took), *(pa.array(v.astype(np.int32)) for v in (cells[where], first, other, side)), pa.array(ids[row]), column(rows, "leaf").take(took),
+                         column(rows, "tokens").take(took), pa.array(np.concatenate([np.zeros(no_link, np.int64), hub[own[tied]]]), mask=np.arange(len(row)) < no_link)],
                         names=["grp", "cell", "sub", "other", "side", "id", "leaf", "tokens", "to"])
 
     return run
@@ -564,8 +530,8 @@ def _linker(similarity: float):
     there."""
 
     def run(batches):
-        for t, at in _groups(batches, ["grp", "cell", "sub", "other"]):
-            lists = _column(t, "tokens")
+        for t, at in runs(batches, ["grp", "cell", "sub", "other"]):
+            lists = column(t, "tokens")
             ids, leaf, side, sub, other = (t.column(c).to_numpy() for c in ("id", "leaf", "side", "sub", "other"))
             out_a, out_b = [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
