@@ -250,9 +250,9 @@ def test_kabsch_ignores_rotation():
 def test_readers_edge_cases(spark, tmp_path):
     assert readers.read_tsv(spark, str(tmp_path / "none"), ["a"]).count() == 0
     (tmp_path / "x.csv").write_text("a;b\n1;2\n3\n")
-    assert [tuple(r) for r in readers.read_checked(spark, str(tmp_path / "x.csv"), ["a"]).orderBy("a").collect()] == [("1", "2"), ("3", None)]
+    assert [tuple(r) for r in readers.read_delimited(spark, str(tmp_path / "x.csv"), ["a"]).orderBy("a").collect()] == [("1", "2"), ("3", None)]
     with pytest.raises(ValueError):
-        readers.read_checked(spark, str(tmp_path / "x.csv"), ["zzz"])
+        readers.read_delimited(spark, str(tmp_path / "x.csv"), ["zzz"])
     (tmp_path / "f.fa").write_text(">a|x y\nAC\nGT\n>b\nTT\n")
     assert sorted(map(tuple, readers.read_fasta(spark, str(tmp_path / "f.fa")).collect())) == [("a|x y", "ACGT"), ("b", "TT")]
     with pytest.raises(ValueError):
