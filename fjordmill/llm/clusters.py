@@ -25,6 +25,9 @@ aren't in one component yet are compared.
 
 Groups of one block go through 1 to 5 within their task.
 
+Within a task records are rows of a matrix over the features that occur among them: the records of a block should have
+some thousands of features in all.
+
 ``radius`` should be about that of two linked records: sqrt((1 - s) / (1 + s) * size / 2) for sets of a usual size. It
 decides how much is compared and what the Ward clusters are, not which records are linked.
 
@@ -485,8 +488,9 @@ def _visitor(similarity: float, block: int, outliers: int):
                 at_leaf[name] = np.arange(len(name))
                 own_all, ids_all = at_leaf[rows.column("leaf").to_numpy()], rows.column("id").to_numpy()
                 central, hub = np.concatenate([central, np.zeros((1, x.shape[1]), np.float32)]), np.append(hub, 0)
-                for c in range(0, len(x), 2048):
-                    y, own, ids = x[c : c + 2048], own_all[c : c + 2048], ids_all[c : c + 2048]
+                step = int(np.clip((1 << 21) // max(1, len(name)), 64, 2048))
+                for c in range(0, len(x), step):
+                    y, own, ids = x[c : c + step], own_all[c : c + step], ids_all[c : c + step]
                     size, home = y.sum(axis=1), cell[own]
                     visit = np.zeros((len(y), len(cells)), bool)
                     if len(name):

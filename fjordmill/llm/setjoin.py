@@ -43,6 +43,8 @@ SUBSETS = 96
 #: Tokens of the largest subsets.
 DEEPEST = 4
 MOST_SLOTS = 1 << 27
+#: Candidate pairs that a task holds at once.
+MOST_HITS = 1 << 19
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -274,7 +276,10 @@ def _pairs(s: float):
         floor = np.clip(bits[0] - (sizes - np.ceil(s * sizes - 1e-9).astype(np.int64)), 0, 64).astype(np.uint8)
         large = np.array([is_large(x, s) for x in range(int(sizes.max()) + 1)])[sizes]
         level = (key & 7).astype(np.int64)
-        hits = []
+        field = t.column("f").to_numpy()[order].view(np.uint64)
+        part = np.maximum(level, 1)
+        width = np.minimum(sizes, sizes - np.ceil(s * sizes - 1e-9).astype(np.int64) + part)
+        hits, n_hits = [], 0
 
         def keep(i, j):
             need = np.ceil(s / (1 + s) * (sizes[i] + sizes[j]) - 1e-9)
@@ -283,40 +288,48 @@ def _pairs(s: float):
             for word, n in zip(sig, bits):
                 common = np.bitwise_count(word[i] & word[j])
                 ok &= (common >= n[i] - (sizes[i] - need)) & (common >= n[j] - (sizes[j] - need))
-            if ok.any():
-                hits.append((i[ok], j[ok]))
-
-        for i, j in _index_pairs(bounds, 24):
-            ok = np.bitwise_count(sig[0][i] & sig[0][j]) >= floor[i]
-            keep(i[ok], j[ok])
-        for r in np.nonzero(np.diff(bounds) > 24)[0]:
-            lo, hi = int(bounds[r]), int(bounds[r + 1])
-            for x in range(lo, hi, 128):
-                y = min(x + 128, hi)
-                end = lo + int(np.searchsorted(sizes[lo:hi], int(sizes[y - 1] / s + 1e-9), "right"))
-                flat = np.flatnonzero((np.bitwise_count(sig[0][x:y, None] & sig[0][None, x:end]) >= floor[x:y, None]).ravel())
-                i, j = flat // (end - x), flat % (end - x)
-                up = i < j
-                keep(i[up] + x, j[up] + x)
-        if not hits:
-            return None
-        i, j = (np.concatenate(x) for x in zip(*hits))
-        # of the keys that a pair shares, that of its first common tokens makes it
-        part = np.maximum(level, 1)
-        width = np.minimum(sizes, sizes - np.ceil(s * sizes - 1e-9).astype(np.int64) + part)
-        field = t.column("f").to_numpy()[order].view(np.uint64)
-        own = np.zeros(len(i), bool)
-        for at, x, both in _common(tokens, off, width, i, j):
-            first = both & (np.cumsum(both, axis=1) <= part[i[at]][:, None])
-            sums = np.where(first, _mix(x.view(np.uint64) + ODD), np.uint64(0)).sum(axis=1, dtype=np.uint64)
-            own[at] = _key(sums, field[i[at]], level[i[at]]) == key[i[at]].view(np.uint64)
-        i, j = i[own], j[own]
-        true = np.zeros(len(i), bool)
-        for at, _, both in _common(tokens, off, sizes, i, j):
-            shared = both.sum(axis=1)
-            true[at] = shared >= s * (sizes[i[at]] + sizes[j[at]] - shared) - 1e-9
-        i, j = i[true], j[true]
-        return pa.RecordBatch.from_arrays([pa.array(field[i].view(np.int64)), pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["f", "a", "b"])
+            return i[ok], j[ok]
+
+        def made():
+            """The similar pairs among the hits so far."""
+            i, j = (np.concatenate(x) for x in zip(*hits))
+            # of the keys that a pair shares, that of its first common tokens makes it
+            own = np.zeros(len(i), bool)
+            for at, x, both in _common(tokens, off, width, i, j):
+                first = both & (np.cumsum(both, axis=1) <= part[i[at]][:, None])
+                sums = np.where(first, _mix(x.view(np.uint64) + ODD), np.uint64(0)).sum(axis=1, dtype=np.uint64)
+                own[at] = _key(sums, field[i[at]], level[i[at]]) == key[i[at]].view(np.uint64)
+            i, j = i[own], j[own]
+            true = np.zeros(len(i), bool)
+            for at, _, both in _common(tokens, off, sizes, i, j):
+                shared = both.sum(axis=1)
+                true[at] = shared >= s * (sizes[i[at]] + sizes[j[at]] - shared) - 1e-9
+            i, j = i[true], j[true]
+            return pa.RecordBatch.from_arrays([pa.array(field[i].view(np.int64)), pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["f", "a", "b"])
+
+        def candidates():
+            for i, j in _index_pairs(bounds, 24):
+                ok = np.bitwise_count(sig[0][i] & sig[0][j]) >= floor[i]
+                yield keep(i[ok], j[ok])
+            for r in np.nonzero(np.diff(bounds) > 24)[0]:
+                lo, hi = int(bounds[r]), int(bounds[r + 1])
+                for x in range(lo, hi, 128):
+                    y = min(x + 128, hi)
+                    end = lo + int(np.searchsorted(sizes[lo:hi], int(sizes[y - 1] / s + 1e-9), "right"))
+                    flat = np.flatnonzero((np.bitwise_count(sig[0][x:y, None] & sig[0][None, x:end]) >= floor[x:y, None]).ravel())
+                    i, j = flat // (end - x), flat % (end - x)
+                    up = i < j
+                    yield keep(i[up] + x, j[up] + x)
+
+        for i, j in candidates():
+            if len(i):
+                hits.append((i, j))
+                n_hits += len(i)
+            if n_hits > MOST_HITS:  # near-equal sets by the thousand: the pairs leave the task in turns
+                yield made()
+                hits, n_hits = [], 0
+        if hits:
+            yield made()
 
     def cut(t):
         m = t.column("meet").to_numpy()
@@ -333,14 +346,13 @@ def _pairs(s: float):
             t = pa.Table.from_batches(held).combine_chunks()
             ids = cut(t)
             last = int(np.searchsorted(ids, ids[-1]))
-            if last and (r := compare(t.slice(0, last).combine_chunks(), ids[:last])) is not None:
-                yield r
+            if last:
+                yield from compare(t.slice(0, last).combine_chunks(), ids[:last])
             held, rows = t.slice(last).combine_chunks().to_batches(), t.num_rows - last
             enough = max(1 << 16, 2 * rows)
         if held:
             t = pa.Table.from_batches(held).combine_chunks()
-            if (r := compare(t, cut(t))) is not None:
-                yield r
+            yield from compare(t, cut(t))
 
     return run
 

@@ -60,6 +60,22 @@ def test_similar_pairs_hot_key_in_blocks(spark, monkeypatch, deepest):
     assert {(r.x, r.y) for r in setjoin.record_pairs(member, links).collect()} == _brute(rows, 0.8, 6)
 
 
+def test_pairs_leave_the_task_in_turns(monkeypatch):
+    base = list(range(40))
+    rows = [(i, sorted(set(base) - {i % 40} | {100 + i})) for i in range(300)]
+    import pyarrow as pa
+
+    keyed = pa.RecordBatch.from_arrays(
+        [pa.array([9] * 300), pa.array([5] * 300), pa.array([i for i, _ in rows]), pa.array([np.array(t, np.int64).tobytes() for _, t in rows], pa.binary()), pa.array([0] * 300, pa.int32()), pa.array([9] * 300)], names=["key", "f", "id", "tokens", "side", "meet"]
+    )
+    turns = []
+    for most in (1 << 19, 1000):
+        monkeypatch.setattr(setjoin, "MOST_HITS", most)
+        monkeypatch.setattr(setjoin, "_key", lambda sums, field, level: np.full(len(sums), 9, np.uint64))  # every pair belongs to the one key
+        turns.append([r.num_rows for r in setjoin._pairs(0.8)([keyed])])
+    assert len(turns[0]) == 1 and len(turns[1]) == 3 and sum(turns[0]) == sum(turns[1]) == 300 * 299 // 2
+
+
 def test_very_long_sets(spark):
     rows = [(i, list(range(i, 3000 + i))) for i in range(4)] + [(9, list(range(5000, 7000)))]
     member, links = setjoin.similar_pairs(_sets(spark, rows))
