@@ -296,15 +296,25 @@ def d2_unique_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "oligo_active_updated").where("oligo_active_classes is not null").select("row_id", F.array_join(t, ";").alias("tokens"))
 
 
-@query()
+_GREEDY = """
+WITH RECURSIVE i AS (SELECT l_suppkey AS grp, l_orderkey || '-' || l_linenumber AS id, CAST(l_partkey % 1000 AS INT) AS "start", CAST(trunc(l_partkey % 1000 + l_quantity) AS INT) AS "end", CAST(trunc(l_tax * 100) AS INT) AS priority, -l_extendedprice AS score FROM lineitem),
+o AS (SELECT *, "start" AS s, "end" AS e, row_number() OVER (PARTITION BY grp ORDER BY {order}) AS r FROM i),
+step AS (SELECT DISTINCT grp, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(s INT, e INT)[]) AS kept, CAST(NULL AS VARCHAR) AS took FROM i
+  UNION ALL SELECT grp, r, CASE WHEN fits THEN list_append(kept, {{'s': s, 'e': e}}) ELSE kept END, CASE WHEN fits THEN id END FROM (
+    SELECT o.*, st.kept, len(list_filter(st.kept, lambda k: CASE WHEN least(k.e - k.s, o.e - o.s) + {plus} > 0 THEN greatest(0, least(k.e, o.e) - greatest(k.s, o.s) + {plus}) / (least(k.e - k.s, o.e - o.s) + {plus}) ELSE 0 END > {limit})) = 0 AS fits
+    FROM step st JOIN o ON o.grp = st.grp AND o.r = st.r + 1))
+SELECT o.grp, o.id, o."start", o."end", o.priority, o.score FROM o JOIN step ON step.grp = o.grp AND step.r = o.r AND step.took IS NOT NULL"""
+
+
+@query(_GREEDY.format(order="priority, \"start\", id, \"end\", score", plus=0, limit=0.5))
 def d4_interval_priority(spark: SparkSession, d: str) -> DataFrame:
     """Greedy de-duplication by priority: intervals of documents' modules, overlap above half of the shorter."""
-    return intervals.greedy(_intervals(spark, d), ["grp"], order=["priority", "start", "id"], inclusive=False, limit=0.5)
+    return intervals.greedy(_intervals(spark, d), ["grp"], order=["priority", "start", "id", "end", "score"], inclusive=False, limit=0.5)
 
 
-@query()
+@query(_GREEDY.format(order="score, \"start\", id, \"end\", priority", plus=1, limit=0.3))
 def d5_interval_pruning(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.greedy(_intervals(spark, d), ["grp"], order=["score", "start", "id"], inclusive=True, limit=0.3)
+    return intervals.greedy(_intervals(spark, d), ["grp"], order=["score", "start", "id", "end", "priority"], inclusive=True, limit=0.3)
 
 
 def _intervals(spark, d):
