@@ -364,6 +364,6 @@ def correlations(df: DataFrame, x: str, y: str, group: list[str], flag_x=None, f
         aggs.append(correlation(num(flag_x), num(flag_y)).alias("phi"))
         aggs += [F.count_if(a & b).alias(n) for n, a, b in (("n11", flag_x, flag_y), ("n10", flag_x, ~flag_y), ("n01", ~flag_x, flag_y), ("n00", ~flag_x, ~flag_y))]
     got = told.groupBy(*group).agg(*aggs)
-    z = lambda r: F.when((F.col("n") > 3) & (F.abs(r) < 1), F.atanh(r) * F.sqrt(F.col("n") - 3))
-    p = lambda r: F.when(F.abs(F.col(r)) >= 1, F.when(F.col("n") > 3, 0.0)).when(z(F.col(r)).isNotNull(), _udf(_normal_tail)(F.coalesce(z(F.col(r)), F.lit(0.0))))
+    z = lambda r: F.when((F.col("n") > 3) & (F.abs(r) < 1 - 1e-12), F.atanh(r) * F.sqrt(F.col("n") - 3))
+    p = lambda r: F.when(F.abs(F.col(r)) >= 1 - 1e-12, F.when(F.col("n") > 3, 0.0)).when(z(F.col(r)).isNotNull(), _udf(_normal_tail)(F.coalesce(z(F.col(r)), F.lit(0.0))))
     return got.withColumns({"pearson_p": p("pearson"), "spearman_p": p("spearman")})

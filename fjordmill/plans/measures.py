@@ -317,7 +317,7 @@ def q10_welch(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH r AS (SELECT p_brand, p_size, p_retailprice, p_size > 25 AS f, p_retailprice > 1400 AS g, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS a, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2.0 AS b FROM part),
 c AS (SELECT p_brand, count(*) AS n, corr(p_size, p_retailprice) AS pearson, corr(a, b) AS spearman, CASE WHEN stddev_pop(CAST(f AS DOUBLE)) > 0 AND stddev_pop(CAST(g AS DOUBLE)) > 0 THEN corr(CAST(f AS DOUBLE), CAST(g AS DOUBLE)) END AS phi, count(*) FILTER (f AND g) AS n11, count(*) FILTER (f AND NOT g) AS n10, count(*) FILTER (NOT f AND g) AS n01, count(*) FILTER (NOT f AND NOT g) AS n00 FROM r GROUP BY 1)
-SELECT p_brand, n, round(pearson + 1e-9, 6) AS pearson, round({_normal_p('(atanh(pearson) * sqrt(n - 3))')} + 1e-9, 4) AS pearson_p, round(spearman + 1e-9, 6) AS spearman, round({_normal_p('(atanh(spearman) * sqrt(n - 3))')} + 1e-9, 4) AS spearman_p, round(phi + 1e-9, 6) AS phi, n11, n10, n01, n00 FROM c""")
+SELECT p_brand, n, round(pearson + 1e-9, 6) AS pearson, round(CASE WHEN n > 3 THEN CASE WHEN abs(pearson) >= 1 - 1e-12 THEN 0 ELSE {_normal_p('(atanh(greatest(-1 + 1e-12, least(1 - 1e-12, pearson))) * sqrt(n - 3))')} END END + 1e-9, 4) AS pearson_p, round(spearman + 1e-9, 6) AS spearman, round(CASE WHEN n > 3 THEN CASE WHEN abs(spearman) >= 1 - 1e-12 THEN 0 ELSE {_normal_p('(atanh(greatest(-1 + 1e-12, least(1 - 1e-12, spearman))) * sqrt(n - 3))')} END END + 1e-9, 4) AS spearman_p, round(phi + 1e-9, 6) AS phi, n11, n10, n01, n00 FROM c""")
 def q11_correlations(spark: SparkSession, d: str) -> DataFrame:
     got = Q.correlations(table(spark, d, "part"), "p_size", "p_retailprice", ["p_brand"], F.col("p_size") > 25, F.col("p_retailprice") > 1400)
     return got.select("p_brand", "n", _r("pearson"), _r("pearson_p", 4), _r("spearman"), _r("spearman_p", 4), _r("phi"), "n11", "n10", "n01", "n00")
