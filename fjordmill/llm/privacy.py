@@ -2,16 +2,21 @@
 
 Spans are proposed by type (email, phone, identity, address, name) and judged by labelers that vote for, against or
 not at all: patterns, a gazetteer of given and family names, a word model learnt from that gazetteer (endings of given
-and of family names against other capitalised words), and labelers of the context to the left and to the right. On a
-bounded sample of documents the labelers' reliabilities are estimated by expectation-maximisation (each labeler has a
-distribution over its votes given the hidden truth), and a logistic span classifier is trained on the resulting
-probabilities. The classifier then decides every proposed span of every document, in one narrow pass over whole texts.
-
-Bounds: ``sample`` documents and ``names_sample`` names (both chosen by a hash) train the models. Whether a word is in
-the gazetteer is looked up in a bit table of at most ``MOST_BITS`` bits that the executors fill, so the gazetteer may
-have any length and is never collected; where it outgrows the table, some words count as listed that are not, which is
-a vote and no decision. Labelers of the context look at the ``CONTEXT`` characters on either side of a span. None of
-this bounds what is searched: a span may be of any length, and so may a text.
+and of family names against other capitalised words), and labelers of the context to the left and to the right. The
+labelers' reliabilities are estimated by expectation-maximisation (each labeler has a distribution over its votes given
+the hidden truth), and a logistic span classifier is trained on the resulting probabilities. The classifier then decides
+every proposed span of every document.
+
+All models are trained on all documents and all names, in three steps that each leave counts behind: words by the number
+of texts they stand in; spans by votes and surroundings; the votes alone. What a model doesn't see of a word or span is
+no part of the counts, so training on them is the same as training on every word and span. Counts of endings and of vote
+patterns (five types of 3^8 at most) go to the driver; those of surroundings, which grow with the texts, stay on the
+executors, where the gradients of the span classifier are summed.
+
+Bounds: whether a word is in the gazetteer is looked up in a bit table of at most ``MOST_BITS`` bits that the executors
+fill, so the gazetteer may have any length and is never collected; where it outgrows the table, some words count as
+listed that are not, which is a vote and no decision. Labelers of the context look at the ``CONTEXT`` characters on either
+side of a span. None of this bounds what is searched: a span may be of any length, and so may a text.
 
 A name is a full name as written, without title, or a given name standing alone in a greeting. An address runs from its
 first to its last part, with postcode and place if these follow. Overlapping spans: the earlier and longer one stays.
@@ -25,13 +30,17 @@ from __future__ import annotations
 
 import pickle
 import re
+from collections import Counter
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fjordmill.session import Workspace, side_by_side
+
 #: Bits of the largest table of the gazetteer (16 MiB).
 MOST_BITS = 1 << 27
 CONTEXT = 60
@@ -40,6 +49,15 @@ SURROUNDINGS = 1 << 12
 TYPES = ("email", "phone", "identity", "address", "name")
 VOTES = 8
 BINS = 1 << 14
+#: The span classifier's weights: those of the votes, then those of the surroundings, then the intercept.
+VOTE_WEIGHTS = len(TYPES) * VOTES * 3
+WEIGHTS = VOTE_WEIGHTS + SURROUNDINGS + 1
+#: Pieces of a span's surroundings, 12 bits each.
+PIECES = 4
+#: What is known before any text is weighed for this number of texts.
+KNOWN = 3000
+#: Groups of equal spans in a block of the classifier's training table.
+BLOCK = 1 << 17
 
 W = r"[^\W\d_a-zà-öø-ÿß][^\W\d_]+"  # a word of letters that begins with a capital
 B = "[  ]"
@@ -194,7 +212,7 @@ def addresses(text: str, ends: list[int]):
 
 
 CAPITAL = re.compile(W)
-LOWER = re.compile(r"(?<![\w@.+-])[a-zà-öø-ÿß]{3,}(?![\w@+-]|\.\w| ?[\[(])")
+LOWER = re.compile(r"(?<![\w@.+-])[a-zà-öø-ÿß]{3,}+(?![\w@+-]|\.\w| ?[\[(])")
 #: Greetings and titles.
 GREETINGS = ("Dear", "Hallo", "Hello", "Hi", "Hei", "Hola", "Bonjour", "Salut", "Liebe", "Lieber", "Kjære", "Cher", "Chère", "Estimado", "Estimada", "Querido", "Querida", "Moin", "Hej")
 TITLES = ("Dr", "Prof", "Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Fru", "Sr", "Sra", "Mme", "Professor", "Doctor")
@@ -223,23 +241,32 @@ def _h(s: str) -> int:
     return (x ^ (x >> 29)) % BINS
 
 
-def _logistic(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, bins: int, l2: float = 1e-3, steps: int = 200, rate: float = 0.5, steady: int | None = None) -> np.ndarray:
-    """Sparse logistic regression by gradient steps with per-weight rates; the last weight is the intercept. Weights
-    from the index ``steady`` on are held back a hundred times as much."""
-    w, g2, l2 = np.zeros(bins + 1), np.full(bins + 1, 1e-8), np.full(bins + 1, l2)
-    l2[bins if steady is None else steady :] *= 100
-    if not rows:
-        return w
-    at = np.concatenate([np.asarray(r, np.int64) for r in rows])
-    own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    for _ in range(steps):
-        z = np.bincount(own, weights=w[at], minlength=len(rows)) + w[-1]
-        err = (1 / (1 + np.exp(-z)) - y) * weight
-        grad = np.bincount(at, weights=err[own], minlength=bins + 1) + l2 * w * weight.sum() / 100
+def _ending(word: str) -> int:
+    """The hashed endings of a word as one number; the word model sees nothing else of it."""
+    key = 0
+    for g in _ngrams(word):
+        key = key << 15 | g + 1
+    return key
+
+
+def _logistic(rows: list[int], y: np.ndarray, weight: np.ndarray, l2: float = 0.02, steps: int = 200, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse logistic regression over endings by gradient steps with per-weight rates; the last weight is the
+    intercept. Returns the weights and each ending's score."""
+    w, g2 = np.zeros(BINS + 1), np.full(BINS + 1, 1e-8)
+    keys = np.asarray(rows, np.int64)
+    grams = np.stack([(keys >> shift & 0x7FFF) - 1 for shift in (0, 15, 30)], axis=1)
+    own, at = np.nonzero(grams >= 0)[0], grams[grams >= 0]
+
+    def scores():
+        return 1 / (1 + np.exp(-(np.bincount(own, weights=w[at], minlength=len(keys)) + w[-1])))
+
+    for _ in range(steps if len(keys) else 0):
+        err = (scores() - y) * weight
+        grad = np.bincount(at, weights=err[own], minlength=BINS + 1) + l2 * w * weight.sum() / 100
         grad[-1] = err.sum()
         g2 += grad**2
         w -= rate * grad / np.sqrt(g2)
-    return w
+    return w, scores()
 
 
 def _slots(word: str, kind: str, bits: int) -> tuple[int, int]:
@@ -315,29 +342,22 @@ class Words:
         return word not in TITLES and any(self.listed(p, "given") for p in parts) or not any(self.ordinary(p) for p in parts)
 
 
-def learn_words(names: list[tuple[str, str]], others: list[str], common: frozenset = frozenset(), table: np.ndarray | None = None) -> Words:
-    """names: (text, kind). Other words may hold names that the list lacks: those that score high after a first
-    round are left out of the next."""
-    table = bit_table(names) if table is None else table
-    given, family = ({n.lower() for n, k in names if n and k == kind} for kind in ("given", "family"))
-    if not given and not family:
+def learn_words(endings: dict[str, dict[int, int]], table: np.ndarray, common: frozenset = frozenset()) -> Words:
+    """endings: how many words of each kind (given, family, other) have which ending. Other words may hold names that
+    the list lacks: those that score high after a first round are left out of the next."""
+    if not endings["given"] and not endings["family"]:
         return Words(table, None, common)
-    told = Words(table, None)
-    pool = sorted({w for w in others if not told.listed(w, "given") and not told.listed(w, "family")})
     weights = {}
-    for kind, own in (("given", given), ("family", family)):
-        other_kind = family if kind == "given" else given
-        good, bad = sorted(own), pool + sorted(other_kind)
+    for kind, rival in (("given", "family"), ("family", "given")):
+        good, against, bad = (sorted(endings[k].items()) for k in (kind, rival, "other"))
         for turn in range(3):
-            rows = [_ngrams(w) for w in good] + [_ngrams(w) for w in bad]
-            y = np.array([1.0] * len(good) + [0.0] * len(bad))
-            weight = np.array([1.0] * len(good) + [min(1.0, len(good) / max(1, len(bad)))] * len(bad))
-            w = _logistic(rows, y, weight, BINS, l2=0.02)
-            weights[kind] = w
+            keys, n = [k for k, _ in good + against + bad], np.array([n for _, n in good + against + bad], float)
+            y = np.arange(len(keys)) < len(good)
+            weight = np.where(y, n, n * min(1.0, n[y].sum() / max(1.0, n[~y].sum())))
+            weights[kind], scores = _logistic(keys, y, weight)
             # unlisted words: the mean score of listed ones tells how often a name is listed at all
-            scores = np.array([1 / (1 + np.exp(-(w[_ngrams(x)].sum() + w[-1]))) for x in good + bad])
-            listed = scores[: len(good)].mean() if good else 1.0
-            bad = [x for x, v in zip(bad, scores[len(good) :]) if x in other_kind or v < listed / 3]
+            listed = np.average(scores[y], weights=n[y]) if good else 1.0
+            bad = [x for x, v in zip(bad, scores[len(good) + len(against) :]) if v < listed / 3]
     return Words(table, weights, common)
 
 
@@ -470,7 +490,7 @@ def features(kind: int, votes, around: list[str] = ()) -> list[int]:
     """Indices of the span classifier's weights: every vote of every labeler of every type has its own, and each
     piece of the surroundings one by its hash and type."""
     own = [kind * VOTES * 3 + 3 * i + v + 1 for i, v in enumerate(votes)]
-    base = len(TYPES) * VOTES * 3
+    base = VOTE_WEIGHTS
     for a in around:
         k = _HASHED.get((kind, a))
         if k is None:
@@ -481,19 +501,20 @@ def features(kind: int, votes, around: list[str] = ()) -> list[int]:
     return own
 
 
-def reliabilities(votes: np.ndarray, rounds: int = 25, trust: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation over (n, VOTES) votes of -1, 0, 1. Returns the probability that each span is true and
-    the table (2, VOTES, 3) of vote probabilities given the truth. Labelers are trusted to be better than chance: as
-    many made-up agreeing votes as ``trust``."""
+def reliabilities(votes: np.ndarray, rounds: int = 25, trust: float = 8.0, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation over (n, VOTES) votes of -1, 0, 1, each as often as ``counts`` says. Returns the
+    probability that each span is true and the table (2, VOTES, 3) of vote probabilities given the truth. Labelers are
+    trusted to be better than chance: as many made-up agreeing votes as ``trust``."""
     if not len(votes):
         return np.zeros(0), np.full((2, VOTES, 3), 1 / 3)
+    counts = np.ones(len(votes)) if counts is None else counts
     p = 1 / (1 + np.exp(-votes.sum(axis=1).astype(float)))
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
     prior = np.array([[trust, trust, trust / 8], [trust / 8, trust, trust]])
     for _ in range(rounds):
-        table = np.stack([np.einsum("n,nlv->lv", w, hot) + prior[k] for k, w in enumerate((1 - p, p))])
+        table = np.stack([np.einsum("n,nlv->lv", w * counts, hot) + prior[k] for k, w in enumerate((1 - p, p))])
         table /= table.sum(axis=2, keepdims=True)
-        base = np.clip(p.mean(), 0.05, 0.95)
+        base = np.clip(np.average(p, weights=counts), 0.05, 0.95)
         log = np.einsum("nlv,klv->nk", hot, np.log(table)) + np.log([1 - base, base])
         p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -30, 30)))
     return p, table
@@ -519,26 +540,149 @@ class Model:
         return out
 
 
-def train(texts: list[str], names: list[tuple[str, str]], table: np.ndarray | None = None) -> Model:
-    """A model from a sample of texts and of the gazetteer; no labels are needed."""
-    seen: dict[str, int] = {}
-    small: dict[str, int] = {}
+#: What the labelers can say about each type is known before any text: one made-up span of each kind of agreement.
+AGREED = [(k, v) for k in range(len(TYPES)) for v in ((1,) * 6 + (0, 0), (-1,) * 6 + (-1, -1))]
+
+
+def _pattern(kind: int, votes) -> int:
+    """Type and votes of a span as one number."""
+    for v in votes:
+        kind = 3 * kind + v + 1
+    return kind
+
+
+def _votes_of(patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The types and (n, VOTES) votes of patterns."""
+    votes = np.empty((len(patterns), VOTES), np.int64)
+    for i in reversed(range(VOTES)):
+        patterns, votes[:, i] = np.divmod(patterns, 3)
+    return patterns, votes - 1
+
+
+def _count_words(texts) -> tuple[Counter, Counter]:
+    """In how many texts each capitalised and each small word stands."""
+    seen, small = Counter(), Counter()
     for t in texts:
-        for w in set(CAPITAL.findall(t)):
-            seen[w] = seen.get(w, 0) + 1
-        for w in set(LOWER.findall(t)):
-            small[w] = small.get(w, 0) + 1
-    often = {w.lower() for w, n in seen.items() if n > max(5, len(texts) / 150)}
-    words = learn_words(names, list(seen), frozenset({w for w, n in small.items() if n > 1} | often), table)
-    spans = [(TYPES.index(k), v, surroundings(t, a, b)) for t in texts for k, a, b, v in propose(t, words)]
-    # what the labelers can say about each type is known before any text: one made-up span of each kind of agreement
-    spans += [(k, v, []) for k in range(len(TYPES)) for v in ((1,) * 6 + (0, 0), (-1,) * 6 + (-1, -1))]
-    kinds, votes = np.array([k for k, *_ in spans]), np.array([v for _, v, _ in spans])
-    truth, tables = np.zeros(len(spans)), {}
+        seen.update(set(CAPITAL.findall(t)))
+        small.update(set(LOWER.findall(t)))
+    return seen, small
+
+
+def _often(texts: int) -> tuple[float, float]:
+    """Capitalised and small words in more texts than this are common ones. Both are shares of all texts, so that a
+    name that is misspelt here and there doesn't become common where there are many texts."""
+    return max(5, texts / 150), max(1, texts / KNOWN)
+
+
+def _weight(texts: int) -> float:
+    """The weight of what is known before any text: as much as in ``KNOWN`` texts, in more a share. A fixed weight would
+    count for nothing in many texts, and expectation-maximisation be free to part true spans from true ones."""
+    return max(1.0, texts / KNOWN)
+
+
+def _count_spans(texts, words: Words) -> Counter:
+    """How many proposed spans have which pattern and surroundings: the pattern above 48 bits of surroundings."""
+    out = Counter()
+    for t in texts:
+        for name, start, end, votes in propose(t, words):
+            kind = TYPES.index(name)
+            key = _pattern(kind, votes)
+            for at in features(kind, votes, surroundings(t, start, end))[VOTES:]:
+                key = key << 12 | at - VOTE_WEIGHTS
+            out[key] += 1
+    return out
+
+
+def _judge(patterns: dict[int, int], known: float) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The probability that spans of each pattern are true, by pattern, and the labelers' reliabilities by type."""
+    told = Counter(patterns)
+    told.update({_pattern(*a): known for a in AGREED})
+    keys = np.array(sorted(told), np.int64)
+    counts, (kinds, votes) = np.array([told[k] for k in keys.tolist()], float), _votes_of(keys)
+    truth, tables = np.zeros(len(TYPES) * 3**VOTES), {}
     for k, name in enumerate(TYPES):
-        truth[kinds == k], tables[name] = reliabilities(votes[kinds == k])
-    weights = _logistic([features(*s) for s in spans], truth, np.ones(len(spans)), len(TYPES) * VOTES * 3 + SURROUNDINGS, l2=1e-5, steps=300, steady=len(TYPES) * VOTES * 3)
-    return Model(words, weights, tables)
+        truth[keys[kinds == k]], tables[name] = reliabilities(votes[kinds == k], trust=8.0 * known, counts=counts[kinds == k])
+    return truth, tables
+
+
+def _block(patterns: np.ndarray, around: np.ndarray, counts: np.ndarray, truth: np.ndarray):
+    """Training rows of groups of equal spans: indices of weights, truth and number."""
+    kinds, votes = _votes_of(patterns)
+    at = np.empty((len(patterns), VOTES + PIECES), np.int16)
+    at[:, :VOTES] = kinds[:, None] * VOTES * 3 + 3 * np.arange(VOTES) + votes + 1
+    for j in range(PIECES):
+        at[:, VOTES + j] = VOTE_WEIGHTS + (around >> 12 * j & (1 << 12) - 1)
+    return at, truth[patterns], counts.astype(float)
+
+
+def _slope(w: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic loss and, after it, its gradient."""
+    z = w[at].sum(axis=1) + w[-1]
+    err = (1 / (1 + np.exp(-z)) - y) * weight
+    grad = np.bincount(at.ravel(), weights=np.repeat(err, at.shape[1]), minlength=WEIGHTS)
+    grad[-1] = err.sum()
+    return np.concatenate([[((np.logaddexp(0, z) - y * z) * weight).sum()], grad])
+
+
+def _descend(slope, rounds: int = 100, memory: int = 10, flat: float = 1e-6) -> np.ndarray:
+    """The lowest point of a convex function by limited-memory BFGS; slope(w) gives its value and, after it, its gradient."""
+    w, steps = np.zeros(WEIGHTS), []
+    f, g = (out := slope(w))[0], out[1:]
+    for _ in range(rounds):
+        if np.abs(g).max() < flat:
+            break
+        d, kept = g.copy(), []
+        for s, y in reversed(steps):
+            kept.append((s @ d) / (s @ y))
+            d -= kept[-1] * y
+        d *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / np.linalg.norm(g)
+        for s, y in steps:
+            d += (kept.pop() - (y @ d) / (s @ y)) * s
+        length = 1.0
+        while True:
+            out = slope(w - length * d)
+            if out[0] <= f - 1e-4 * length * (g @ d):
+                break
+            length /= 2
+            if length < 1e-6:
+                return w
+        if -length * d @ (out[1:] - g) > 1e-12:
+            steps = [*steps[-memory + 1 :], (-length * d, out[1:] - g)]
+        w, f, g = w - length * d, out[0], out[1:]
+    return w
+
+
+def _classifier(slopes, truth: np.ndarray, spans: int, known: float) -> np.ndarray:
+    """Weights of the span classifier; slopes(w) is the sum of _slope() over all spans. Weights of surroundings are held
+    back a hundred times as much as those of votes."""
+    made = np.array([features(*a) for a in AGREED]), truth[[_pattern(*a) for a in AGREED]], np.full(len(AGREED), known)
+    l2 = np.repeat([1e-7, 1e-5, 0.0], [VOTE_WEIGHTS, SURROUNDINGS, 1])
+
+    def slope(w):
+        out = (slopes(w) + _slope(w, *made)) / (spans + known * len(AGREED))
+        out[0] += (l2 * w * w).sum() / 2
+        out[1:] += l2 * w
+        return out
+
+    return _descend(slope)
+
+
+def train(texts: list[str], names: list[tuple[str, str]], table: np.ndarray | None = None) -> Model:
+    """A model from texts and names (text, kind) on this machine; no labels are needed. fit() does the same for tables."""
+    table = bit_table(names) if table is None else table
+    told, (seen, small), least = Words(table, None), _count_words(texts), _often(len(texts))
+    common = {w.lower() for counts, low in zip((seen, small), least) for w, n in counts.items() if n > low}
+    endings = {kind: Counter(map(_ending, {n.lower() for n, k in names if n and k == kind})) for kind in ("given", "family")}
+    endings["other"] = Counter(_ending(w) for w in seen if not told.listed(w, "given") and not told.listed(w, "family"))
+    words = learn_words(endings, table, frozenset(common))
+    spans, patterns = _count_spans(texts, words), Counter()
+    for key, n in spans.items():
+        patterns[key >> 48] += n
+    known = _weight(len(texts))
+    truth, tables = _judge(patterns, known)
+    keys = np.array(sorted(spans), np.uint64)
+    rows = _block((keys >> np.uint64(48)).astype(np.int64), (keys & np.uint64((1 << 48) - 1)).astype(np.int64), np.array([spans[k] for k in keys.tolist()]), truth)
+    return Model(words, _classifier(lambda w: _slope(w, *rows), truth, sum(spans.values()), known), tables)
 
 
 def _slotter(bits: int):
@@ -563,15 +707,101 @@ def gazetteer(names: DataFrame, most: int = MOST_BITS) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def fit(documents: DataFrame, names: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = 3000, names_sample: int = 100_000) -> Model:
-    """Train on at most ``sample`` documents and ``names_sample`` names, the same ones for the same tables."""
-    usable = names.select("name_text", "name_kind").where("name_text is not null").distinct()
-    listed = [(r[0].strip(), r[1]) for r in usable.orderBy(F.xxhash64("name_text", "name_kind")).limit(names_sample).collect()]
-    total = max(1, documents.count())
-    point = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1_000_000))
-    chosen = documents.where(F.col(text).isNotNull()).where(point < int(1_000_000 * min(1.0, 1.3 * sample / total)) + 1)
-    rows = chosen.orderBy(F.xxhash64(F.col(doc_id)), doc_id).limit(sample).select(text).collect()
-    return train([r[0] for r in rows], listed, gazetteer(names))
+def _word_counter(batches):
+    """Words with the number of texts they stand in; the row without a word has the number of texts."""
+    for b in batches:
+        seen, small = _count_words(b.column(0).to_pylist())
+        rows = [[*seen, *small, None], [True] * len(seen) + [False] * len(small) + [None], [*seen.values(), *small.values(), b.num_rows]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.bool_(), pa.int64()))], names=["word", "capital", "n"])
+
+
+def _name_endings(batches):
+    for b in batches:
+        names = [n.strip().lower() for n in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(names), b.column(1), pa.array([_ending(n) for n in names], pa.int64())], names=["name", "kind", "ending"])
+
+
+def _other_endings(sent):
+    def run(batches):
+        told = Words(sent.value, None)
+        for b in batches:
+            own = [_ending(w) for w in b.column(0).to_pylist() if not told.listed(w, "given") and not told.listed(w, "family")]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64())], names=["ending"])
+
+    return run
+
+
+def _span_counter(sent):
+    def run(batches):
+        words = pickle.loads(sent.value)
+        for b in batches:
+            spans = _count_spans(b.column(0).to_pylist(), words)
+            rows = [k >> 48 for k in spans], [k & (1 << 48) - 1 for k in spans], list(spans.values())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int64(), pa.int64()))], names=["pattern", "around", "n"])
+
+    return run
+
+
+def _packer(batches):
+    """The rows of a partition as blocks of bytes, whatever the batches' size."""
+    held = []
+    for b in batches:
+        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
+        if sum(h.shape[1] for h in held) >= BLOCK:
+            yield pa.RecordBatch.from_arrays([pa.array([np.hstack(held).tobytes()], pa.binary())], names=["block"])
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([np.hstack(held).tobytes()], pa.binary())], names=["block"])
+
+
+def _trained(spans: DataFrame, truth: np.ndarray, groups: int, total: int, known: float) -> np.ndarray:
+    """The span classifier over a table (pattern, around, n): each round sums the gradients of all blocks where they are
+    held. Rows are sorted, so that sums have one order."""
+    sc = spans.sparkSession.sparkContext
+    judged = sc.broadcast(truth)
+    packed = spans.repartition(max(1, -(-groups // BLOCK)), "pattern", "around").sortWithinPartitions("pattern", "around").mapInArrow(_packer, "block binary")
+    blocks = packed.rdd.map(lambda r: _block(*np.frombuffer(r[0], np.int64).reshape(3, -1), judged.value)).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def slopes(w):
+        return sum(blocks.map(lambda b: _slope(w, *b)).collect(), np.zeros(WEIGHTS + 1))
+
+    try:
+        return _classifier(slopes, truth, total, known)
+    finally:
+        blocks.unpersist()
+
+
+def fit(documents: DataFrame, names: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int | None = None) -> Model:
+    """Train on all documents and all names. Only where a caller sets ``sample`` it is that many documents, the same ones
+    for the same table."""
+    spark = documents.sparkSession
+    sc = spark.sparkContext
+    texts = documents.where(F.col(text).isNotNull())
+    if sample is not None:
+        texts = texts.orderBy(F.xxhash64(F.col(doc_id)), doc_id).limit(sample)
+    texts = texts.select(F.col(text).cast("string").alias("text"))
+    listed = names.select(F.col("name_text").cast("string"), F.col("name_kind").cast("string")).where("name_text is not null and name_kind in ('given', 'family')")
+    counted = listed.mapInArrow(_name_endings, "name string, kind string, ending long").where("name != ''").distinct().groupBy("kind", "ending").count()
+    with Workspace(spark, "privacy") as space:
+        vocabulary, table, own = side_by_side([
+            lambda: space.put(texts.mapInArrow(_word_counter, "word string, capital boolean, n long").groupBy("word", "capital").agg(F.sum("n").alias("n")), "words"),
+            lambda: gazetteer(names),
+            lambda: counted.collect(),
+        ])
+        n_texts = vocabulary.where("word is null").agg(F.sum("n")).first()[0] or 0
+        (capital, small), known = _often(n_texts), _weight(n_texts)
+        common, other = side_by_side([
+            lambda: vocabulary.where(F.col("n") > F.when(F.col("capital"), capital).otherwise(small)).where("word is not null").select("word").collect(),
+            lambda: vocabulary.where("capital").select("word").mapInArrow(_other_endings(sc.broadcast(table)), "ending long").groupBy("ending").count().collect(),
+        ])
+        endings = {kind: {r[1]: r[2] for r in own if r[0] == kind} for kind in ("given", "family")}
+        words = learn_words({**endings, "other": dict(map(tuple, other))}, table, frozenset(r[0].lower() for r in common))
+        found_in = texts.mapInArrow(_span_counter(sc.broadcast(pickle.dumps(words))), "pattern int, around long, n long")
+        spans = space.put(found_in.groupBy("pattern", "around").agg(F.sum("n").alias("n")), "spans")
+        patterns = spans.groupBy("pattern").agg(F.sum("n"), F.count("*")).collect()
+        truth, tables = _judge({r[0]: r[1] for r in patterns}, known)
+        weights = _trained(spans, truth, sum(r[2] for r in patterns), sum(r[1] for r in patterns), known)
+    return Model(words, weights, tables)
 
 
 def _finder(sent):

@@ -262,6 +262,41 @@ def test_fit_is_repeatable_and_bounded(spark):
     assert privacy.found(df, empty).where("pii_type = 'name'").count() == 0
 
 
+def test_fit_takes_all_texts_and_names(spark):
+    """More texts and names than the 3,000 and 100,000 that were once the most: the same model as on one machine."""
+    rnd = random.Random(7)
+    made = sorted({"".join(rnd.choices("abdeiklmnorstuvy", k=rnd.randint(4, 8))).capitalize() for _ in range(110_000)})
+    names = NAMES + [(n, "family") for n in made]
+    texts = [f"Notes on Zq{''.join(rnd.choices('abcdefgh', k=5))} are kept. We thank {rnd.choice(GIVEN)} {rnd.choice(FAMILY)} for item {i}. Call 555.555.01{i % 90 + 10} now." for i in range(3100)]
+    texts += [f"Some gralbic words. Mail {i}.x@lab.example, attn {rnd.choice(made)}, Nisor." for i in range(20)] + [None]
+    listed = spark.createDataFrame(names, "name_text string, name_kind string")
+    got, whole = privacy.fit(_docs(spark, texts), listed), privacy.train(texts[:-1], names, privacy.gazetteer(listed))
+    assert len(made) > 100_000 and "gralbic" in got.words.common and got.words.common == whole.words.common
+    assert all(np.allclose(got.words.weights[k], whole.words.weights[k]) for k in ("given", "family"))
+    assert all(np.allclose(got.tables[k], whole.tables[k]) for k in privacy.TYPES)
+    assert np.allclose(got.weights, whole.weights, atol=1e-4)
+
+
+def test_what_is_known_is_a_share():
+    """Ten times the same spans are judged like one of each, whatever their number."""
+    rng = np.random.default_rng(3)
+    patterns = {privacy._pattern(4, v): int(n) for v, n in zip(rng.integers(-1, 2, (60, privacy.VOTES)).tolist(), rng.integers(1, 900, 60))}
+    one, ten = privacy._judge(patterns, 1.0), privacy._judge({k: 10 * n for k, n in patterns.items()}, 10.0)
+    assert np.allclose(one[0], ten[0]) and privacy._weight(30_000) == 10 and privacy._weight(20) == 1
+    # counts stand for as many equal rows
+    votes = np.array([v for k, n in patterns.items() for v in [privacy._votes_of(np.array([k]))[1][0]] * n])
+    p, table = privacy.reliabilities(votes)
+    by_count = privacy.reliabilities(privacy._votes_of(np.array(list(patterns)))[1], counts=np.array(list(patterns.values()), float))
+    assert np.allclose(table, by_count[1])
+
+
+def test_descent_finds_the_lowest_point():
+    rng = np.random.default_rng(5)
+    low, steep = rng.standard_normal(privacy.WEIGHTS), 10 ** rng.uniform(-1, 1, privacy.WEIGHTS)
+    w = privacy._descend(lambda w: np.concatenate([[(steep * (w - low) ** 2).sum() / 2 + np.logaddexp(0, w - low).sum() - (w - low).sum() / 2], steep * (w - low) + 1 / (1 + np.exp(low - w)) - 0.5]))
+    assert np.allclose(w, low, atol=1e-4)
+
+
 def test_reliabilities_find_the_bad_labeler():
     rng = np.random.default_rng(0)
     truth = rng.random(3000) < 0.6
